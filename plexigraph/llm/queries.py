@@ -12,6 +12,24 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexigraph.llm.quality import quality
+
+    return quality(_docs(spark, sf_dir))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexigraph.llm.mixing import mix, word_count
+
+    return mix(_docs(spark, sf_dir).select("doc_id", "source", word_count("text").alias("size"))).drop("source")
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexigraph.llm.urlfilter import judge_urls, rule_table
+
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rule_table(spark))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plexigraph.llm.exact import exact_dedup
 
@@ -32,7 +50,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: DuckDB's form of lower-casing A-Z only.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
 _SQL = {
+    "op1_quality_rules": f"""
+        WITH t AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS text FROM documents),
+        d AS (SELECT *, {_WORDS.format("text")} AS w FROM t),
+        win AS (SELECT k, w[i : i + 7] AS g, i FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+        rep AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM win) WHERE n > 1),
+        rw AS (SELECT k, count(DISTINCT i + j) AS n FROM rep, range(8) r(j) GROUP BY k),
+        ln AS (SELECT k, count(*) - count(DISTINCT l) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS l FROM t) WHERE len({_WORDS.format("l")}) > 0 GROUP BY k),
+        b AS (SELECT d.k, doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(ln.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words
+              FROM d LEFT JOIN rw USING (k) LEFT JOIN ln USING (k)),
+        f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
+        h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS x FROM f WHERE source IS NOT NULL GROUP BY source),
+        m AS (SELECT least(greatest(sum(x) / sum(n), 1e-6), 1 - 1e-6) AS mean, sum(x * x / n) / sum(n) - (sum(x) / sum(n)) ** 2 AS spread, count(*) AS hosts FROM h),
+        p AS (SELECT mean, least(greatest(CASE WHEN hosts > 1 AND spread > 1e-12 THEN mean * (1 - mean) / spread - 1 ELSE 2.0 END, 2.0), 1000.0) AS s FROM m),
+        v AS (SELECT source, (x + mean * s) / (n + s) AS host_rate FROM h, p)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND coalesce(host_rate < 0.5, true) AS kept, f.source, host_rate
+        FROM f LEFT JOIN v ON f.source = v.source""",
+    "op9_url_filters": """
+        WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        s AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM u),
+        p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM s),
+        r(action, rh, rp) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+        f AS (SELECT p.page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, length(rh || rp)) AS action
+              FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY p.page_id)
+        SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)""",
     "op3_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
