@@ -18,6 +18,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_docs(spark, sf_dir))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexigraph.llm.simhash import simhash_groups
+
+    return simhash_groups(_docs(spark, sf_dir))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from plexigraph.llm.packing import pack_documents
+
+    return pack_documents(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plexigraph.llm.mixing import mix, word_count
 
