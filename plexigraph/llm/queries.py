@@ -18,6 +18,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_docs(spark, sf_dir))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexigraph.llm.pfp import substring_dedup
+
+    return substring_dedup(_docs(spark, sf_dir))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexigraph.llm.rlz import word_span_dedup
+
+    return word_span_dedup(_docs(spark, sf_dir))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plexigraph.llm.simhash import simhash_groups
 
