@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
 
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        lengths = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
         start = 0
         for i, n in enumerate(lengths):
             if size + n > limit and (held or i > start):

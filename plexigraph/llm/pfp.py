@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,13 +90,13 @@ def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: i
 
 def _settle(t: pa.Table) -> pa.Table:
     """One bucket: dictionary, sieve, suffix order, spans."""
-    passed = t.filter(pa.compute.is_valid(t["h"]))
+    passed = t.filter(pc.is_valid(t["h"]))
     out = own_spans(passed)
     number: dict[bytes, int] = {}
     content: list[bytes] = []
     windows, trigger, least = [], [], []
     occ_entry, occ_doc, occ_h, occ_pos = [], [], [], []
-    for blob in t.filter(pa.compute.is_null(t["h"]))["payload"].to_pylist():
+    for blob in t.filter(pc.is_null(t["h"]))["payload"].to_pylist():
         data, more, trig, ids, which, of, pos, docs, hs = unpack(blob, _KINDS)
         ends = np.cumsum(more.astype(np.int64) + SPAN)
         own, s = np.empty(len(ends), np.int64), 0

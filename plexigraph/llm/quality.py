@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,7 +80,7 @@ def measure(texts: list[bytes], chars: np.ndarray) -> dict[str, np.ndarray]:
 def rule_counts(text: pa.Array) -> pa.Array:
     """The counts, taken over about 4 MB of text at a time."""
     texts = text_bytes(text)
-    chars = pa.compute.utf8_length(text).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    chars = pc.utf8_length(text).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     parts, start, size = [], 0, 0
     for i, b in enumerate(texts):
         size += len(b)

@@ -24,6 +24,12 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_docs(spark, sf_dir))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexigraph.llm.lm import lm_scores
+
+    return lm_scores(_docs(spark, sf_dir))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plexigraph.llm.rlz import word_span_dedup
 

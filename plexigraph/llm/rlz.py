@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,13 +114,13 @@ def _repeated(phrases: list[list[bytes]], windows: np.ndarray, places: np.ndarra
 
 def _settle(t: pa.Table) -> pa.Table:
     """One reference block: equal phrases, phrases that agree to one side of the trigger, factors of those."""
-    out = own_spans(t.filter(pa.compute.is_valid(t["h"])))
+    out = own_spans(t.filter(pc.is_valid(t["h"])))
     out.append(span_table(*[np.zeros(0, np.int64)] * 4))
     number: dict[bytes, int] = {}
     content: list[bytes] = []
     windows, trigger, places = [], [], []
     singles = []
-    for blob in t.filter(pa.compute.is_null(t["h"]))["payload"].to_pylist():
+    for blob in t.filter(pc.is_null(t["h"]))["payload"].to_pylist():
         data, size, wins, trig, n, of, pos, docs, hs = unpack(blob, _KINDS)
         s, own = 0, np.empty(len(size), np.int64)
         for i, (e, k) in enumerate(zip(np.cumsum(size, dtype=np.int64).tolist(), n.tolist(), strict=True)):
