@@ -34,9 +34,27 @@ from plexigraph.session import shuffle_width
 
 SPAN = 50
 GRAM = 8
-CHUNK = 3 << 20
+#: Text whose phrases share one dictionary and one set of blobs, and how much of it is cut at a time.
+CHUNK = 12 << 20
 SEGMENT = 1 << 20
-_KINDS = [None, "u1", "u1", "<i8", "<u4", "<u4", "<i8", "<i8", "<i8"]
+#: phrases' bytes; windows - 1; bytes before the trigger; of each place: phrase and row (as differences), position; rows' ids and hashes
+_KINDS = [None, "u1", "u1", "<i4", "<i4", "u1", "<i8", "<i8"]
+
+
+def _triggers(parts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first window, last window, trigger, trigger's hash) of the parts' phrases, by byte of all parts together."""
+    at, held, size = 0, [], 0
+    for i, p in enumerate(parts):
+        held.append(p)
+        size += len(p)
+        if size < 2 << 20 and i + 1 < len(parts):
+            continue
+        doc = np.repeat(np.arange(len(held), dtype=np.int32), np.fromiter(map(len, held), np.int64, len(held)))
+        padded = np.frombuffer(b"".join(held) + bytes(GRAM), np.uint8)
+        gram = mixed64(np.ndarray((size,), "<u8", padded, strides=(1,)).astype(np.uint64)) if size else np.zeros(0, np.uint64)
+        first, last, trigger = cut(gram, doc, SPAN, GRAM)
+        yield first + at, last + at, trigger + at, gram[trigger]
+        at, held, size = at + size, [], 0
 
 
 def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: int) -> list[tuple]:
@@ -50,15 +68,11 @@ def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: i
             row.append(r)
             base.append(s)
     data = b"".join(parts)
-    n = len(data)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     begin = np.cumsum(lengths) - lengths
-    doc = np.repeat(np.arange(len(parts), dtype=np.int32), lengths)
-    padded = np.frombuffer(data + bytes(GRAM), np.uint8)
-    gram = mixed64(np.ndarray((n,), "<u8", padded, strides=(1,)).astype(np.uint64)) if n else np.zeros(0, np.uint64)
-    first, last, trigger = cut(gram, doc, SPAN, GRAM)
-    part = doc[first]
-    where = (gram[trigger] % np.uint64(n_buckets)).astype(np.int64)
+    first, last, trigger, gram = (np.concatenate(x) for x in zip(*_triggers(parts), strict=True))
+    part = np.searchsorted(begin, first, "right") - 1
+    where = (gram % np.uint64(n_buckets)).astype(np.int64)
     # the dictionary of this chunk, in order of doc_id: the first to have a phrase is the smallest
     seen: dict[bytes, int] = {}
     entry = np.fromiter((seen.setdefault(data[s : e + SPAN], i) for i, (s, e) in enumerate(zip(first.tolist(), last.tolist(), strict=True))), np.int64, len(first))
@@ -75,14 +89,15 @@ def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: i
     rows = [(int(hashes[r] % n_buckets), None if ids[r] == NULL_ID else int(ids[r]), int(hashes[r]), x.astype("<i8").tobytes()) for r, x in out]
     keep = np.flatnonzero(~later)
     keep = keep[np.lexsort((keep, entry[keep], where[keep]))]
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=3)
     for mine in np.split(keep, np.flatnonzero(np.diff(where[keep])) + 1) if len(keep) else []:
         heads, which = np.unique(entry[mine], return_inverse=True)
         content = b"".join(data[s:e] for s, e in zip(first[heads].tolist(), (last[heads] + SPAN).tolist(), strict=True))
         docs, of = np.unique(at_row[mine], return_inverse=True)
         arrays = [
-            content, (last[heads] - first[heads]).astype("u1"), (trigger[heads] - first[heads]).astype("u1"), own_id[heads].astype("<i8"),
-            which.astype("<u4"), of.astype("<u4"), pos[mine].astype("<i8"), ids[docs].astype("<i8"), hashes[docs].astype("<i8"),
+            content, (last[heads] - first[heads]).astype("u1"), (trigger[heads] - first[heads]).astype("u1"),
+            np.diff(which, prepend=0).astype("<i4"), np.diff(of, prepend=0).astype("<i4"), np.ascontiguousarray(pos[mine].astype("<u4").view("u1").reshape(-1, 4).T),
+            ids[docs].astype("<i8"), hashes[docs].astype("<i8"),
         ]
         rows.append((int(where[mine[0]]), None, None, pack(arrays, squeeze)))
     return rows
@@ -97,7 +112,10 @@ def _settle(t: pa.Table) -> pa.Table:
     windows, trigger, least = [], [], []
     occ_entry, occ_doc, occ_h, occ_pos = [], [], [], []
     for blob in t.filter(pc.is_null(t["h"]))["payload"].to_pylist():
-        data, more, trig, ids, which, of, pos, docs, hs = unpack(blob, _KINDS)
+        data, more, trig, which, of, pos, docs, hs = unpack(blob, _KINDS)
+        which, of = np.cumsum(which, dtype=np.int64), np.cumsum(of, dtype=np.int64)
+        pos = np.ascontiguousarray(pos.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        ids = docs[of][np.unique(which, return_index=True)[1]]
         ends = np.cumsum(more.astype(np.int64) + SPAN)
         own, s = np.empty(len(ends), np.int64), 0
         for i, e in enumerate(ends.tolist()):
