@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plexigraph.session import materialize, release
+
 NULL_ID = np.iinfo(np.int64).max
 SPAN_ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])
 BLOBS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("payload", T.BinaryType())])
@@ -109,9 +111,18 @@ def runs_of(flag: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def settle(parsed: DataFrame, solve) -> DataFrame:
-    """All blobs of a bucket to ``solve``; one row a document: doc_id, h, spans (sorted list of s, e)."""
-    found = parsed.groupBy("bucket").applyInArrow(solve, SPAN_ROWS)
-    return found.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__dh")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    """All blobs of a bucket to ``solve``; one row a document: doc_id, h, spans (sorted list of s, e).
+
+    The result is written, and the blobs' shuffle let go, before texts are shuffled to meet it.
+    """
+
+    def written() -> DataFrame:
+        found = parsed.groupBy("bucket").applyInArrow(solve, SPAN_ROWS)
+        return materialize(found.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__dh")).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+
+    spans = written()
+    release(parsed.sparkSession)
+    return spans
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
