@@ -33,7 +33,7 @@ from plexigraph.session import shuffle_width
 SPAN = 35
 GRAM = 2
 HALF = (SPAN - GRAM + 1) // 2
-CHUNK = 3 << 20
+CHUNK = 8 << 20
 #: content, its length in bytes, windows, words before the trigger, places (1, or 2 for more), row of a single place, its position, rows' ids and hashes
 _KINDS = [None, "<u4", "u1", "u1", "u1", "<u4", "<u4", "<i8", "<i8"]
 
@@ -80,7 +80,7 @@ def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: i
             rows.append((int(hashes[r] % n_buckets), None if ids[r] == NULL_ID else int(ids[r]), int(hashes[r]), x.astype("<i8").tobytes()))
     heads = np.flatnonzero(entry == np.arange(len(first)))
     heads = heads[np.argsort(where[heads], kind="stable")]
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=3)
     for mine in np.split(heads, np.flatnonzero(np.diff(where[heads])) + 1):
         content = b"".join(data[s:e] for s, e in zip(lo[mine].tolist(), hi[mine].tolist(), strict=True))
         docs, of = np.unique(row[mine], return_inverse=True)
