@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from plexigraph.llm.common import chunks, text_bytes
-from plexigraph.llm.phrases import BLOBS, NULL_ID, SPAN_ROWS, blobs, cut, flat, merged, mixed64, own_spans, pack, runs_of, settle, span_table, unpack
+from plexigraph.llm.phrases import BLOBS, NULL_ID, SPAN_ROWS, blobs, cut, flat, merged, mixed64, own_spans, pack, runs_of, settle, span_table, spread, unpack
 from plexigraph.session import shuffle_width
 
 SPAN = 50
@@ -86,7 +86,7 @@ def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: i
         by = done[np.argsort(at_row[done], kind="stable")]
         for mine in np.split(by, np.flatnonzero(np.diff(at_row[by])) + 1):
             out.append((int(at_row[mine[0]]), np.stack([pos[mine], pos[mine] + last[mine] - first[mine] + SPAN], 1)))
-    rows = [(int(hashes[r] % n_buckets), None if ids[r] == NULL_ID else int(ids[r]), int(hashes[r]), x.astype("<i8").tobytes()) for r, x in out]
+    rows = [(spread(ids[r], hashes[r], n_buckets), None if ids[r] == NULL_ID else int(ids[r]), int(hashes[r]), x.astype("<i8").tobytes()) for r, x in out]
     keep = np.flatnonzero(~later)
     keep = keep[np.lexsort((keep, entry[keep], where[keep]))]
     squeeze = zstandard.ZstdCompressor(level=3)

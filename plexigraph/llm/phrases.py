@@ -81,6 +81,11 @@ def blobs(rows: list[tuple[int, int | None, int | None, bytes]]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(i, pa.int64()), pa.array(h, pa.int64()), pa.array(p, pa.binary())], ["bucket", "doc_id", "h", "payload"])
 
 
+def spread(doc_id: int, h: int, n: int) -> int:
+    """The bucket that carries a document's own spans: copies of one text go to different ones."""
+    return ((int(doc_id) * 0x9E3779B97F4A7C15 + int(h)) % (1 << 64) >> 24) % n
+
+
 def span_table(doc: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Table:
     doc = np.asarray(doc, np.int64)
     return pa.table({"doc_id": pa.array(doc, mask=doc == NULL_ID), "h": pa.array(np.asarray(h, np.int64)), "s": pa.array(np.asarray(s, np.int64)), "e": pa.array(np.asarray(e, np.int64))})

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from plexigraph.llm.common import chunks, text_bytes
-from plexigraph.llm.phrases import BLOBS, NULL_ID, blobs, cut, flat, merged, mixed64, own_spans, pack, runs_of, settle, span_table, unpack
+from plexigraph.llm.phrases import BLOBS, NULL_ID, blobs, cut, flat, merged, mixed64, own_spans, pack, runs_of, settle, span_table, spread, unpack
 from plexigraph.session import shuffle_width
 
 SPAN = 35
@@ -77,7 +77,7 @@ def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: i
         for mine in np.split(twice, np.flatnonzero(np.diff(row[twice])) + 1):
             r = int(row[mine[0]])
             x = np.stack([pos[mine], pos[mine] + last[mine] - first[mine] + SPAN], 1)
-            rows.append((int(hashes[r] % n_buckets), None if ids[r] == NULL_ID else int(ids[r]), int(hashes[r]), x.astype("<i8").tobytes()))
+            rows.append((spread(ids[r], hashes[r], n_buckets), None if ids[r] == NULL_ID else int(ids[r]), int(hashes[r]), x.astype("<i8").tobytes()))
     heads = np.flatnonzero(entry == np.arange(len(first)))
     heads = heads[np.argsort(where[heads], kind="stable")]
     squeeze = zstandard.ZstdCompressor(level=3)
