@@ -82,7 +82,7 @@ def read_pattern(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``id attr n t1 .. tn`` a line: nodes (id, attr) and edges (src, dst)."""
     t = _tokens(spark, path)
     nodes = t.select(F.col("t")[0].cast("long").alias("id"), F.col("t")[1].cast("int").alias("attr"))
-    edges = t.select(F.col("t")[0].cast("long").alias("src"), F.explode(F.slice("t", F.lit(4), F.greatest(F.col("t")[2].cast("int"), F.lit(0)))).cast("long").alias("dst"))
+    edges = t.select(F.col("t")[0].cast("long").alias("src"), F.explode(F.slice("t", F.lit(4), F.greatest(F.col("t")[2].cast("int"), F.lit(0))).cast("array<bigint>")).alias("dst"))
     return nodes, edges
 
 
