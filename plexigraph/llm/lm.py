@@ -217,7 +217,21 @@ def build_filter(counts: DataFrame, n_buckets: int, max_filter_bytes: int) -> Lo
     return LogBloom(n_buckets, size, low, bits)
 
 
-def lm_scores(docs: DataFrame, head: int = 200_000, max_filter_bytes: int = 32 << 20, k: float = 200.0) -> DataFrame:
+def _head_count(vocab: DataFrame, head: int, most: int = 10_000) -> int:
+    """The least count c such that at most ``head`` words have it or more, from how many words have each count.
+
+    Counts above ``most`` are taken together, so at most that many rows come to the driver.
+    """
+    words = {r["k"]: r["n"] for r in vocab.groupBy(F.least("c", F.lit(most)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, least = 0, most + 1
+    for c in sorted(words, reverse=True):
+        if (total := total + words[c]) > head:
+            break
+        least = c
+    return least if least <= most else np.iinfo(np.int64).max
+
+
+def lm_scores(docs: DataFrame, head: int = 150_000, max_filter_bytes: int = 32 << 20, k: float = 200.0) -> DataFrame:
     """Scores every whole text with a model of the training documents (crc32 of doc_id as text, mod 7, not 2).
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known (tokens seen in training), train_tokens,
@@ -232,7 +246,8 @@ def lm_scores(docs: DataFrame, head: int = 200_000, max_filter_bytes: int = 32 <
     train = rows.where(~F.col("held_out"))
     vocab = materialize(vocabulary(train), "vocabulary")
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = {bytes(r["word"]): r["c"] for r in vocab.orderBy(F.desc("c"), "word").limit(head).collect()}  # at most `head` words
+    least = _head_count(vocab, head)
+    top = {bytes(r["word"]): r["c"] for r in vocab.where(F.col("c") >= least).collect()}  # at most `head` words
     every = v <= head
     n_buckets = 4 * shuffle_width(spark)
     # levels that could not fit, even if each token were one n-gram, are not written at all
