@@ -7,14 +7,15 @@ threshold.  m and the thresholds come from a dynamic programme over estimated pr
 from bit counts and bit-pair counts of *all* distinct fingerprints.
 
 Each distinct fingerprint is dealt out by its group values and, for thresholds over 0, by those values
-with up to t_i set bits cleared (two values within t_i share such a form).  Rows that meet are verified
-by their full distance; of the links in one meeting only a spanning forest is kept, so a dense group
+with up to t_i set bits cleared (two values within t_i share such a form).  A group that is too large is
+dealt out again by pieces of its other bits.  Rows that meet are verified by their full distance; of the links in one meeting only a spanning forest is kept, so a dense group
 gives as many rows as it has members, never all its pairs.  Components follow by minimum label.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 from math import comb
 
@@ -157,47 +158,57 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
-def _forest(fp: np.ndarray, parent: list[int], base: np.ndarray, distance: int, fixed: int, out: list[tuple[int, int]]) -> None:
-    """Joins rows ``base`` (indices into fp) that lie within the distance; adds only links between separate trees to out.
-
-    Over 4096 rows, they are dealt out again by distance + 1 pieces of the bits not yet used: rows within
-    the distance agree on one piece.
-    """
-    x = fp[base]
-    if len(x) > 4096:
-        left = [j for j in range(64) if not fixed >> j & 1]
-        pieces = [left[k :: distance + 1] for k in range(distance + 1)]
-        if all(pieces):
-            deeper = False
-            for piece in pieces:
-                mask = sum(1 << j for j in piece)
-                v = x & np.uint64(mask)
-                order = np.argsort(v, kind="stable")
-                cuts = np.flatnonzero(np.diff(v[order])) + 1
-                if len(cuts):
-                    deeper = True
-                    for part in np.split(order, cuts):
-                        if len(part) > 1:
-                            _forest(fp, parent, base[part], distance, fixed | mask, out)
-                else:
-                    _forest(fp, parent, base, distance, fixed | mask, out)
-                    deeper = True
-            if deeper:
-                return
-    label = np.array([_find(parent, i) for i in base.tolist()])
+def _forest(fp: np.ndarray, parent: list[int], base: np.ndarray, distance: int, out: list[tuple[int, int]]) -> None:
+    """Joins rows ``base`` (indices into fp, not yet joined) that lie within the distance; adds only links between separate trees to out."""
+    x, label = fp[base], np.arange(len(base))
     for d in range(1, len(x)):
-        near = np.flatnonzero((np.bitwise_count(x[d:] ^ x[:-d]) <= distance) & (label[d:] != label[:-d]))
-        for i in near.tolist():
-            a, b = _find(parent, int(base[i])), _find(parent, int(base[i + d]))
+        for i in np.flatnonzero((np.bitwise_count(x[d:] ^ x[:-d]) <= distance) & (label[d:] != label[:-d])).tolist():
+            a, b = label[i], label[i + d]
             if a != b:
-                parent[max(a, b)] = min(a, b)
+                label[label == max(a, b)] = min(a, b)
                 out.append((int(base[i]), int(base[i + d])))
-        if len(near):
-            label = np.array([_find(parent, i) for i in base.tolist()])
+    for i, top in zip(base.tolist(), base[label].tolist(), strict=True):
+        parent[i] = top
 
 
-def links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """``fps``: distinct (fp).  Links (src, dst) between fingerprints within the distance: enough to connect whatever is linked."""
+def _spread(rows: DataFrame, distance: int, crowd: int) -> DataFrame:
+    """``rows``: (used, value, fp), groups by (used, value).  Deals groups of over ``crowd`` rows out again.
+
+    The bits that such a group has not used are cut into distance + 1 pieces; rows within the distance agree on
+    one of them, so each piece's value makes a narrower group, and so on until none is too large or under
+    distance + 1 bits are left (then a group is small, as its fingerprints are distinct).  All by joins and
+    counts, so a third of all rows in one group is as spread as any other third.
+    """
+
+    def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            used, value, fp = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in b.columns)
+            for u in np.unique(used):
+                at = np.flatnonzero(used == u)
+                left = [j for j in range(64) if not int(u) >> j & 1]
+                for k in range(distance + 1):
+                    piece = np.uint64(sum(1 << j for j in left[k :: distance + 1]))
+                    cols = (np.full(len(at), u | piece), value[at] | (fp[at] & piece), fp[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], ["used", "value", "fp"])
+
+    settled: list[DataFrame] = []
+    while True:
+        wide = F.bit_count("used") < 64 - distance
+        sizes = rows.groupBy("used", "value").agg(F.count(F.lit(1)).alias("n"))
+        crowded = materialize(sizes.where((F.col("n") > crowd) & wide).select("used", "value"), "crowded")
+        n = crowded.count()
+        if not n:
+            return reduce(DataFrame.union, settled, rows)
+        few = F.broadcast(crowded) if n <= 200_000 else crowded  # some 10 MB; beyond, Spark joins by shuffle
+        settled.append(rows.join(few, ["used", "value"], "left_anti"))
+        rows = materialize(rows.join(few, ["used", "value"], "left_semi").mapInArrow(deeper, "used long, value long, fp long"), "deeper")
+
+
+def links(fps: DataFrame, distance: int = 4, crowd: int = 1 << 15) -> DataFrame:
+    """``fps``: distinct (fp).  Links (src, dst) between fingerprints within the distance: enough to connect whatever is linked.
+
+    Groups of over ``crowd`` fingerprints are split over tasks before their rows are compared.
+    """
     n, pairs = bit_counts(fps)
     groups = plan(n, pairs, distance) if n else [((1 << 64) - 1, distance)]
 
@@ -206,17 +217,18 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
             every = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for s in range(0, len(every), 1 << 13):
                 fp = every[s : s + (1 << 13)]
-                for k, (mask, t) in enumerate(groups):
+                for mask, t in groups:
                     for rows, value in _signatures(fp, mask, t):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(value.view(np.int64)), pa.array(fp[rows].view(np.int64))], ["part", "value", "fp"])
+                        cols = (np.full(len(rows), mask, np.uint64), value, fp[rows])
+                        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], ["used", "value", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def solve(t: pa.Table) -> pa.RecordBatch:
-            part, value, fp = (t.column(i).to_numpy() for i in range(3))
+            used, value, fp = (t.column(i).to_numpy() for i in range(3))
             fp = fp.view(np.uint64)
-            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(value) != 0)) + 1
+            cuts = np.flatnonzero((used[1:] != used[:-1]) | (value[1:] != value[:-1])) + 1
             starts, ends = np.append(0, cuts), np.append(cuts, len(fp))
             out: list[tuple[int, int]] = []
             size = ends - starts
@@ -234,7 +246,7 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
                         parent[max(a, b)] = min(a, b)
                         out.append((int(x_at[i]), int(x_at[i + d])))
             for k in np.flatnonzero(~small).tolist():
-                _forest(fp, parent, np.arange(starts[k], ends[k]), distance, groups[int(part[starts[k]])][0], out)
+                _forest(fp, parent, np.arange(starts[k], ends[k]), distance, out)
             a = np.array(out, np.int64).reshape(-1, 2)
             signed = fp.view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(signed[a[:, 0]]), pa.array(signed[a[:, 1]])], ["src", "dst"])
@@ -244,9 +256,9 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
                 continue
             held.append(b)
             t = pa.Table.from_batches(held)
-            part, value = t.column(0).to_numpy(), t.column(1).to_numpy()
+            used, value = t.column(0).to_numpy(), t.column(1).to_numpy()
             # all groups but the last are whole
-            cut = np.flatnonzero((part != part[-1]) | (value != value[-1]))
+            cut = np.flatnonzero((used != used[-1]) | (value != value[-1]))
             if len(cut):
                 whole = int(cut[-1]) + 1
                 yield solve(t.slice(0, whole))
@@ -255,8 +267,8 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
             yield solve(pa.Table.from_batches(held))
 
     width = shuffle_width(fps.sparkSession)
-    dealt = fps.select("fp").mapInArrow(deal, "part int, value long, fp long").repartition(width, "part", "value").sortWithinPartitions("part", "value", "fp")
-    return dealt.mapInArrow(meet, "src long, dst long")
+    dealt = _spread(fps.select("fp").mapInArrow(deal, "used long, value long, fp long"), distance, crowd)
+    return dealt.repartition(width, "used", "value").sortWithinPartitions("used", "value", "fp").mapInArrow(meet, "src long, dst long")
 
 
 def near_groups(rows: DataFrame, distance: int = 4) -> DataFrame:

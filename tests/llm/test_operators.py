@@ -187,7 +187,7 @@ def test_pigeonhole(spark):
     n, pairs = simhash.bit_counts(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long"))
     assert n == len(f)
     real = simhash.plan
-    for m in (1, 2, 3, 4, 5):
+    for m, crowd in ((1, 0), (2, 4096), (3, 4096), (4, 4096), (5, len(f) // 4)):
         groups = simhash.bit_groups(n, pairs, m)
         ts = simhash.thresholds(n, pairs, groups, 4)[1]
         assert sum(t + 1 for t in ts) == 5 and sorted(j for g in groups for j in g) == list(range(64))
@@ -195,7 +195,7 @@ def test_pigeonhole(spark):
             continue
         simhash.plan = lambda *_, g=groups, t=ts: [(sum(1 << j for j in x), y) for x, y in zip(g, t) if y >= 0]
         try:
-            found = simhash.links(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long").repartition(3)).collect()
+            found = simhash.links(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long").repartition(3), crowd=crowd).collect()
         finally:
             simhash.plan = real
         at, own = {int(x): i for i, x in enumerate(f.view(np.int64))}, list(range(len(f)))
@@ -204,7 +204,7 @@ def test_pigeonhole(spark):
             own[max(a, b)] = min(a, b)
         assert [simhash._find(own, i) for i in range(len(f))] == want
     parent, out = list(range(len(f))), []
-    simhash._forest(np.tile(f, 1), parent, np.arange(len(f)), 4, 0, out)
+    simhash._forest(np.tile(f, 1), parent, np.arange(len(f)), 4, out)
     assert [simhash._find(parent, i) for i in range(len(f))] == want
 
 
