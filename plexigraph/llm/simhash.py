@@ -177,7 +177,7 @@ def _spread(rows: DataFrame, distance: int, crowd: int) -> DataFrame:
     The bits that such a group has not used are cut into distance + 1 pieces; rows within the distance agree on
     one of them, so each piece's value makes a narrower group, and so on until none is too large or under
     distance + 1 bits are left (then a group is small, as its fingerprints are distinct).  All by joins and
-    counts, so a third of all rows in one group is as spread as any other third.
+    counts, so no task gathers a large group.  Each level writes distance + 1 rows for each row of such a group.
     """
 
     def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
