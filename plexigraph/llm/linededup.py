@@ -15,8 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexigraph.llm.common import WHITE, ascii_lower, packed, unpacked, with_lengths
-from plexigraph.session import discard, materialize
+from plexigraph.llm.common import WHITE, ascii_lower, packed, with_lengths
+from plexigraph.session import discard, materialize, shuffle_width
 
 
 def line_key(line: Column) -> Column:
@@ -93,34 +93,39 @@ def line_dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, n_ba
     its lines and then has an empty text; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(packed(docs), F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("__text"))
-    rows = rows.select("*", F.xxhash64("__text").alias("__h"), F.split("__text", "\n", -1).alias("__lines"))
-    hashed = materialize(rows.select(F.col("__id").alias("doc_id"), F.col("__h").alias("h"), _hashes(F.col("__lines"), least_chars).alias("keys")), "lines")
+    keep = ["doc_id"] if keep is None else keep
+    carried = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)]
+    rows = docs.select(*carried, F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("__text"))
+    rows = rows.select("*", F.xxhash64("__text").alias("__h")).withColumn("__j", F.xxhash64("__id", "__h"))
+    hashed = materialize(rows.select(F.col("__id").alias("doc_id"), F.col("__h").alias("h"), F.col("__j").alias("j"), _hashes(F.split("__text", "\n", -1), least_chars).alias("keys")), "lines")
     store = LineRuns(spark)
     for k in range(n_batches):
-        part = hashed.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(n_batches)) == k)
+        part = hashed.where(F.pmod("j", F.lit(n_batches)) == k)
         once = part.select("doc_id", F.explode(F.array_distinct(F.filter("keys", lambda x: x.isNotNull()))).alias("k"))
         store.add(once.select("doc_id", "k.a", "k.b"))
     frequent = materialize(store.totals().where(F.col("n") >= least_docs).select("a", "b", "last"), "frequent")
-    at = hashed.select("doc_id", "h", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("doc_id", "h", "pos", "k.a", "k.b")
+    at = hashed.select("doc_id", "h", "j", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("doc_id", "h", "j", "pos", "k.a", "k.b")
     hits = at.join(frequent, ["a", "b"]).where(F.col("last").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("last")))
-    drops = hits.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__dh")).agg(F.collect_set("pos").alias("__drop"))
-    out = rows.drop("__text").join(drops, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__dh")), "left")
+    drops = hits.groupBy(F.col("j").alias("__dj"), F.col("h").alias("__dh")).agg(F.collect_set("pos").alias("__drop"))
+    # each text moves once, in as many partitions as the session has (never joined to larger ones), and streams past a
+    # hash table of what goes: texts are not sorted; lines are cut again afterwards
+    rows = rows.repartition(shuffle_width(spark), "__j", "__h")
+    out = rows.join(drops.hint("shuffle_hash"), (F.col("__j") == F.col("__dj")) & (F.col("__h") == F.col("__dh")), "left")
+    out = out.select("*", F.split("__text", "\n", -1).alias("__lines"))
     size = F.size("__lines")
-    stays = F.array_except(F.sequence(F.lit(0), size - 1), F.coalesce("__drop", F.array().cast("array<int>")))
-    # a null for each line that goes: array_join leaves nulls out
-    mask = F.transform(stays, lambda i: F.element_at(F.col("__lines"), i + 1))
-    text = F.when(F.col("__drop").isNull(), F.array_join("__lines", "\n")).otherwise(F.array_join(mask, "\n"))
-    n_dropped = F.coalesce(F.size("__drop"), F.lit(0))
-    keep = ["doc_id"] if keep is None else keep
+    stays = F.array_except(F.sequence(F.lit(0), size - 1), "__drop")
+    left = F.array_join(F.transform(stays, lambda i: F.element_at(F.col("__lines"), i + 1)), "\n")
+    whole = F.col("__drop").isNull()
     return out.select(
-        *[F.col(f"`__row`.`{c}`").alias(c) for c in keep], size.cast("long").alias("n_lines"),
-        F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(n_dropped).cast("long").alias("n_dropped"), text.alias("kept_text"),
+        *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], size.cast("long").alias("n_lines"),
+        F.when(whole, F.lit(0)).otherwise(F.size("__drop")).cast("long").alias("n_dropped"), F.when(whole, F.col("__text")).otherwise(left).alias("kept_text"),
     )
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> DataFrame:
     """``docs`` with the lines of :func:`line_dedup` gone; every row and column stays, text (and n_chars) change."""
-    inner = docs.select(packed(docs), "doc_id", "text")
+    others = docs.drop("text")
+    inner = docs.select(packed(others), "doc_id", "text")
     out = line_dedup(inner, least_chars, least_docs, keep=["__row"])
-    return unpacked(out, docs.columns, **with_lengths(docs.columns, F.col("kept_text")))
+    changed = with_lengths(docs.columns, F.col("kept_text"))
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`__row`.`{c}`").alias(c) for c in docs.columns])
