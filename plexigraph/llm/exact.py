@@ -156,9 +156,11 @@ def _same_bytes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Two rows that share a doc_id but not a text are told apart by the digest.
     """
-    need = pairs.select("digest", F.explode(F.array("old", "new")).alias("id"))
-    texts = docs.select(F.col("doc_id").alias("id"), text_digest("text").alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(need.distinct(), ["digest", "id"], "left_semi")
+    need = pairs.select("digest", F.explode(F.array(F.xxhash64("old"), F.xxhash64("new"))).alias("j")).distinct()
+    texts = docs.select(F.xxhash64("doc_id").alias("j"), text_digest("text").alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    # one plan at every size: each text moves once and streams past a hash table of the rows needed, unsorted
+    texts = texts.repartition(shuffle_width(docs.sparkSession), "digest", "j")
+    found = texts.join(need.hint("shuffle_hash"), ["digest", "j"], "left_semi")
 
     @arrow_udf(T.BinaryType())
     def lowered(text: pa.Array) -> pa.Array:
@@ -195,7 +197,7 @@ def exact_dedup(docs: DataFrame, n_batches: int = 2) -> DataFrame:
             for entries, filters in snapshots:
                 hits = screen(new, filters, n_buckets).where("maybe").select("digest", F.col("last").alias("new"))
                 pairs = materialize(hits.join(entries.select("digest", F.col("last").alias("old")), "digest"), "pairs")
-                same = _same_bytes(docs, pairs)
+                same = materialize(_same_bytes(docs, pairs), "same")
                 differ = pairs.join(same, "digest", "left_anti")
                 if not differ.isEmpty():
                     raise ArithmeticError("two different texts share a SHA-256 digest")
