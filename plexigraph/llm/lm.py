@@ -4,9 +4,10 @@ Unigram and bigram counts come from all training documents.  A count c is held a
 1 + floor(log2 c): the n-gram is in the filter together with each level from the lowest kept one up to
 its own, and reading a count means probing level after level until one is missing.  Levels stand for
 the middle of their counts.  The filter is cut into segments by hash range; each segment is built where
-its n-grams meet and only finished segments come to the driver, ``max_filter_bytes`` in all: rare
-n-grams are left out, from the lowest level up, until what is kept fits (the usual count cutoff of
-language models, so the size is bounded for any corpus).  The filter is then broadcast.
+its n-grams meet.  Every n-gram is kept, so the filter grows with the corpus.  Up to ``max_filter_bytes``
+in all its segments come to the driver and are broadcast.  A larger one is never gathered: each chunk of
+texts sends the n-grams it asks for to their buckets, which answer from their own segment, and the chunk's
+answers meet its texts (as numbered n-grams) again.  Both ways read the same bits and give the same scores.
 
 The model is a bigram with Dirichlet smoothing: (c(h w) + k p(w)) / (c(h) + k), with p(w) the add-one
 unigram over quantised counts.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from plexigraph.llm.common import chunks, text_bytes
 from plexigraph.llm.phrases import mixed64, pack, unpack
-from plexigraph.session import materialize, shuffle_width
+from plexigraph.session import discard, materialize, release, shuffle_width
 
 #: No word holds white space, so these can't be words.
 END, START = b"\n", b"\t"
@@ -67,6 +68,15 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
+def _gaps(h: np.ndarray) -> np.ndarray:
+    """Differences of sorted hashes, byte by byte: the high bytes are mostly zero."""
+    return np.ascontiguousarray(np.diff(h, prepend=np.uint64(0)).view("u1").reshape(-1, 8).T)
+
+
+def _ungaps(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(gaps.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _level(c: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(c, 1)).astype(np.int64) + 1
 
@@ -100,11 +110,8 @@ def vocabulary(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def ngram_counts(train: DataFrame, n_buckets: int, floor: int) -> DataFrame:
-    """Counted unigrams and bigrams by bucket: (bucket, level, n, total, payload), of levels ``floor`` and up.
-
-    total: what the level's unigrams add up to, as quantised counts.
-    """
+def ngram_counts(train: DataFrame, n_buckets: int) -> DataFrame:
+    """All counted unigrams and bigrams by bucket and level: (bucket, level, n, payload)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -118,10 +125,8 @@ def ngram_counts(train: DataFrame, n_buckets: int, floor: int) -> DataFrame:
             cuts = np.append(np.append(0, np.flatnonzero(np.diff(at)) + 1), len(at))
             own, data = [], []
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                # differences of sorted hashes, byte by byte: the high bytes are mostly zero
-                gaps = np.diff(h[s:e], prepend=np.uint64(0)).view("u1").reshape(-1, 8).T
                 own.append(int(at[s]))
-                data.append(pack([np.ascontiguousarray(gaps), n[s:e].astype("<u4").view("u1").reshape(-1, 4).T.copy()], squeeze))
+                data.append(pack([_gaps(h[s:e]), n[s:e].astype("<u4").view("u1").reshape(-1, 4).T.copy()], squeeze))
             return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(data, pa.binary())], ["bucket", "payload"])
 
         edge = _hashes([START, END])
@@ -140,14 +145,14 @@ def ngram_counts(train: DataFrame, n_buckets: int, floor: int) -> DataFrame:
         hs, ns = [], []
         for p in t["payload"].to_pylist():
             gaps, n = unpack(p, ["u1", "u1"])
-            hs.append(np.cumsum(np.ascontiguousarray(gaps.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64))
+            hs.append(_ungaps(gaps))
             ns.append(np.ascontiguousarray(n.reshape(4, -1).T).view("<u4").ravel())
         h, n = np.concatenate(hs), np.concatenate(ns).astype(np.int64)
         order = np.argsort(h)
         h, n = h[order], n[order]
         heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         h, level = h[heads], _level(np.add.reduceat(n, heads))
-        rows = [(x, int((level == x).sum()), h[level == x].tobytes()) for x in np.unique(level).tolist() if x >= floor]
+        rows = [(x, int((level == x).sum()), h[level == x].tobytes()) for x in np.unique(level).tolist()]
         x, n, p = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.table({"bucket": pa.array([t["bucket"][0].as_py()] * len(x), pa.int32()), "level": pa.array(x, pa.int32()), "n": pa.array(n, pa.int64()), "payload": pa.array(p, pa.binary())})
 
@@ -155,10 +160,10 @@ def ngram_counts(train: DataFrame, n_buckets: int, floor: int) -> DataFrame:
 
 
 class LogBloom:
-    """The filter: segments of ``size`` bytes, one for each bucket of hashes; levels from ``low`` up."""
+    """The filter: segments of ``size`` bytes, one for each bucket of hashes from ``first`` on; levels from ``low`` up."""
 
-    def __init__(self, n_buckets: int, size: int, low: int, bits: np.ndarray) -> None:
-        self.n_buckets, self.size, self.low, self.bits = n_buckets, size, low, bits
+    def __init__(self, n_buckets: int, size: int, low: int, bits: np.ndarray, first: int = 0) -> None:
+        self.n_buckets, self.size, self.low, self.bits, self.first = n_buckets, size, low, bits, first
 
     @staticmethod
     def _spots(h: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
@@ -179,7 +184,7 @@ class LogBloom:
         """The level of each n-gram, by repeated probes; 0 if the lowest kept level is missing."""
         out = np.zeros(len(h), np.int64)
         alive = np.arange(len(h))
-        base = _bucket(h, self.n_buckets) * self.size
+        base = (_bucket(h, self.n_buckets) - self.first) * self.size
         level = self.low
         while len(alive):
             for probe in range(PROBES):
@@ -193,28 +198,45 @@ class LogBloom:
         return out
 
 
-def build_filter(counts: DataFrame, n_buckets: int, max_filter_bytes: int) -> LogBloom:
-    """Segments are built by bucket; at most ``max_filter_bytes`` come to the driver."""
+def filter_shape(counts: DataFrame, n_buckets: int) -> tuple[int, int]:
+    """(size, low): bytes of a segment by the number of entries of all n-grams, and the lowest level there is."""
     sums = {r["level"]: r["n"] for r in counts.groupBy("level").agg(F.sum("n").alias("n")).collect()}  # one row a level
     low = min(sums, default=1)
+    # by bucket, with room for buckets over the mean
+    entries = sum(n * (x - low + 1) for x, n in sums.items())
+    return max(8, int(entries * BITS / 8 / n_buckets * 1.05) + 8), low
 
-    def need(low: int) -> int:
-        # by bucket, with room for buckets over the mean
-        entries = sum(n * (x - low + 1) for x, n in sums.items() if x >= low)
-        return max(8, int(entries * BITS / 8 / n_buckets * 1.05) + 8)
 
-    while need(low) * n_buckets > max(max_filter_bytes, 8 * n_buckets) and low < 64:
-        low += 1
-    size = need(low)
+def segments(counts: DataFrame, size: int, low: int) -> DataFrame:
+    """(bucket, bits) of each bucket that holds n-grams."""
 
     def build(t: pa.Table) -> pa.Table:
-        by_level = {x: np.frombuffer(p, np.uint64) for x, p in zip(t["level"].to_pylist(), t["payload"].to_pylist(), strict=True) if x >= low}
+        by_level = {x: np.frombuffer(p, np.uint64) for x, p in zip(t["level"].to_pylist(), t["payload"].to_pylist(), strict=True)}
         return pa.table({"bucket": t["bucket"][:1], "bits": pa.array([LogBloom.segment(by_level, size, low)], pa.binary())})
 
+    return counts.groupBy("bucket").applyInArrow(build, "bucket int, bits binary")
+
+
+def gathered(held: DataFrame, n_buckets: int, size: int) -> bytes:
+    """The whole filter at the driver."""
     bits = np.zeros(n_buckets * size, np.uint8)
-    for r in counts.where(F.col("level") >= low).groupBy("bucket").applyInArrow(build, "bucket int, bits binary").collect():
+    for r in held.collect():
         bits[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return LogBloom(n_buckets, size, low, bits)
+    return bits.tobytes()
+
+
+def _asked(kinds: np.ndarray, which: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bigrams of a chunk in text order, and all its n-grams once, sorted."""
+    at = np.flatnonzero(second)
+    pair = _pair(kinds[which[at - 1]], kinds[which[at]])
+    return pair, np.unique(np.concatenate([kinds, pair]))
+
+
+def _seconds(size: np.ndarray) -> np.ndarray:
+    """Which of a chunk's tokens end a bigram: all but each text's start; ``size`` counts words and end."""
+    second = np.ones(int(size.sum()) + len(size), bool)
+    second[np.cumsum(size + 1) - (size + 1)] = False
+    return second
 
 
 def _head_count(vocab: DataFrame, head: int, most: int = 10_000) -> int:
@@ -250,25 +272,26 @@ def lm_scores(docs: DataFrame, head: int = 150_000, max_filter_bytes: int = 32 <
     top = {bytes(r["word"]): r["c"] for r in vocab.where(F.col("c") >= least).collect()}  # at most `head` words
     every = v <= head
     n_buckets = 4 * shuffle_width(spark)
-    # levels that could not fit, even if each token were one n-gram, are not written at all
-    floor = 1 if n * 2 * BITS / 8 <= max_filter_bytes * 4 else 2
-    counts = materialize(ngram_counts(train, n_buckets, floor), "ngrams")
-    bloom = build_filter(counts, n_buckets, max_filter_bytes)
-    sent = spark.sparkContext.broadcast((top, bloom.bits.tobytes(), bloom.size, bloom.low))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = materialize(ngram_counts(train, n_buckets), "ngrams")
+    release(spark)
+    size, low = filter_shape(counts, n_buckets)
+    held = materialize(segments(counts, size, low), "filter")
+    discard(counts)
+    fits = size * n_buckets <= max_filter_bytes
+    sent = spark.sparkContext.broadcast((top, gathered(held, n_buckets, size) if fits else b""))
+
+    def texts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Chunks without their model's scores, and the hashes of their tokens: each text is start, words, end."""
         from pyspark import TaskContext
 
-        known, bits, size, low = sent.value
-        model = LogBloom(n_buckets, size, low, np.frombuffer(bits, np.uint8))
+        known = sent.value[0]
         edge = _hashes([START, END])
         row = TaskContext.get().partitionId() << 40
         log_end = log10(known.get(END, 0) + 1)
         logs: dict[int, float] = {}
-        for b in chunks(batches, "text", 2 << 20):
-            texts = text_bytes(b.column(1))
-            words = [t.lower().split() for t in texts]
-            size_ = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        for b in chunks(batches, "text", limit):
+            words = [t.lower().split() for t in text_bytes(b.column(1))]
+            sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
             n_known, base, rare = [], [], []
             for x in words:
                 c = list(map(known.get, x))
@@ -283,27 +306,93 @@ def lm_scores(docs: DataFrame, head: int = 150_000, max_filter_bytes: int = 32 <
                 n_known.append(hits)
                 base.append(total)
                 rare.append([] if every else list(missing.items()))
-            # the model: each text is start, words, end
             flat_hash = np.concatenate([np.concatenate([edge[:1], _hashes(x), edge[1:]]) for x in words])
-            place = np.cumsum(size_ + 1) - (size_ + 1)
-            second = np.ones(len(flat_hash), bool)
-            second[place] = False
-            at = np.flatnonzero(second)
-            kinds, which = np.unique(flat_hash, return_inverse=True)
-            uni = _middle(model.levels(kinds))
-            p = (uni + 1.0) / (n + v + 1.0)
-            pair = _pair(flat_hash[at - 1], flat_hash[at])
-            both = np.minimum(_middle(model.levels(pair)), np.minimum(uni[which[at - 1]], uni[which[at]]))
-            logp = np.log10((both + k * p[which[at]]) / (np.maximum(uni[which[at - 1]], both) + k))
-            scores = np.add.reduceat(logp, np.cumsum(size_) - size_)
-            ids = np.arange(row, row + len(texts))
-            row += len(texts)
+            ids = np.arange(row, row + len(words))
+            row += len(words)
             kind = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
             rare = pa.array([[{"word": w, "tf": t} for w, t in x] for x in rare], kind)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(0), b.column(2), pa.array(size_), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), rare], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(0), b.column(2), pa.array(sizes), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), rare], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "rare"]), flat_hash
+
+    def scores(sizes: np.ndarray, which: np.ndarray, uni_level: np.ndarray, pair_level: np.ndarray) -> pa.Array:
+        """Of each text, by the levels of the chunk's kinds of token and of its bigrams."""
+        at = np.flatnonzero(_seconds(sizes))
+        uni = _middle(uni_level)
+        p = (uni + 1.0) / (n + v + 1.0)
+        both = np.minimum(_middle(pair_level), np.minimum(uni[which[at - 1]], uni[which[at]]))
+        logp = np.log10((both + k * p[which[at]]) / (np.maximum(uni[which[at - 1]], both) + k))
+        return pa.array(np.add.reduceat(logp, np.cumsum(sizes) - sizes))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = LogBloom(n_buckets, size, low, np.frombuffer(sent.value[1], np.uint8))
+        for b, flat_hash in texts(batches, 2 << 20):
+            sizes = b.column("n_tokens").to_numpy()
+            kinds, which = np.unique(flat_hash, return_inverse=True)
+            at = np.flatnonzero(_seconds(sizes))
+            pair = _pair(flat_hash[at - 1], flat_hash[at])
+            yield b.append_column("score", scores(sizes, which, model.levels(kinds), model.levels(pair)))
 
-    schema = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, tf: bigint>>"
-    scored = materialize(rows.select("doc_id", "text", "held_out").mapInArrow(score, schema), "scored")
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks with their tokens numbered."""
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for b, flat_hash in texts(batches, 4 << 20):
+            kinds, which = np.unique(flat_hash, return_inverse=True)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as out:
+                out.write_batch(b)
+            data = pack([sink.getvalue().to_pybytes(), _gaps(kinds), which.astype("<u4").view("u1").reshape(-1, 4).T.copy()], squeeze)
+            yield pa.RecordBatch.from_arrays([b.column("row")[:1], pa.array([data], pa.binary())], ["chunk", "payload"])
+
+    def numbered(payload: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        data, kinds, which = unpack(payload, [None, "u1", "u1"])
+        which = np.ascontiguousarray(which.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        return pa.ipc.open_stream(data).read_all(), _ungaps(kinds), which
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's n-grams to their buckets."""
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                b, kinds, which = numbered(payload.as_py())
+                h = _asked(kinds, which, _seconds(b["n_tokens"].to_numpy()))[1]
+                at = _bucket(h, n_buckets)
+                cuts = np.append(np.append(0, np.flatnonzero(np.diff(at)) + 1), len(at))
+                own = at[cuts[:-1]]
+                data = [pack([_gaps(h[s:e])], squeeze) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), pa.array(own, pa.int32()), pa.array(data, pa.binary())], ["chunk", "bucket", "payload"])
+
+    def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        levels = []
+        if asked.num_rows:
+            bits = np.frombuffer(held["bits"][0].as_py(), np.uint8) if held.num_rows else np.zeros(size, np.uint8)
+            model = LogBloom(n_buckets, size, low, bits, asked["bucket"][0].as_py())
+            levels = [pack([model.levels(_ungaps(unpack(p.as_py(), ["u1"])[0])).astype(np.uint8)], squeeze) for p in asked["payload"]]
+        return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "payload": pa.array(levels, pa.binary())})
+
+    def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
+        b, kinds, which = numbered(own["payload"][0].as_py())
+        sizes = b["n_tokens"].to_numpy()
+        pair, h = _asked(kinds, which, _seconds(sizes))
+        # buckets are ranges of the hash, so their answers in order are those of the sorted n-grams
+        level = np.concatenate([unpack(p, ["u1"])[0] for _, p in sorted(zip(answers["bucket"].to_pylist(), answers["payload"].to_pylist(), strict=True))]).astype(np.int64)
+        return b.append_column("score", scores(sizes, which, level[np.searchsorted(h, kinds)], level[np.searchsorted(h, pair)]))
+
+    schema = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, rare array<struct<word: binary, tf: bigint>>, score double"
+    texts_in = rows.select("doc_id", "text", "held_out")
+    if fits:
+        scored = materialize(texts_in.mapInArrow(score, schema), "scored")
+    else:
+        own = materialize(texts_in.mapInArrow(number, "chunk long, payload binary"), "numbered")
+
+        def answered() -> DataFrame:
+            kind = "chunk long, bucket int, payload binary"
+            return materialize(held.groupBy("bucket").cogroup(own.mapInArrow(ask, kind).groupBy("bucket")).applyInArrow(answer, kind), "answers")
+
+        answers = answered()
+        release(spark)  # the n-grams asked for
+        scored = materialize(own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema), "scored")
+        discard(own)
+        discard(answers)
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.tf").join(vocab, "word")
     more = rare.groupBy(F.col("row").alias("r")).agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"))
     out = scored.drop("rare").join(more, F.col("row") == F.col("r"), "left")

@@ -226,6 +226,40 @@ def test_lm(docs, none, rows):
     assert lm_scores(none).count() == 0
 
 
+def test_lm_keeps_every_ngram(docs, rows):
+    """A filter too large to broadcast loses nothing: the same scores as broadcast, near those by exact levels."""
+    from plexigraph.llm.lm import lm_scores
+
+    def middle(c):
+        return (2 ** (c.bit_length() - 1) + 2 ** c.bit_length() - 1) / 2 if c else 0.0
+
+    one, two, toks = Counter(), Counter(), []
+    for d, t, *_ in rows:
+        toks.append([b"\t", *low(data(t)).split(), b"\n"])
+        if zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2:
+            one.update(toks[-1])
+            two.update(zip(toks[-1], toks[-1][1:]))
+    n, v = sum(one.values()) - one[b"\t"], len(one) - 1
+    want = []
+    for w in toks:
+        score = 0.0
+        for a, b in zip(w, w[1:]):
+            ua, ub = middle(one[a]), middle(one[b])
+            both = min(middle(two[a, b]), ua, ub)
+            score += math.log10((both + 200 * (ub + 1) / (n + v + 1)) / (max(ua, both) + 200))
+        want.append(score)
+    assert 1 in two.values()
+
+    def scores(**args):
+        return sorted(((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)), r["score"]) for r in lm_scores(docs, **args).collect())
+
+    joined = scores(max_filter_bytes=64)
+    assert joined == scores()
+    assert scores(max_filter_bytes=64, head=20) == scores(head=20)
+    off = np.abs(np.sort([x for _, x in joined]) - np.sort(want)) / np.sort([len(w) for w in toks]).mean()
+    assert off.mean() < 0.01, off.mean()
+
+
 def test_log_bloom():
     from plexigraph.llm.lm import LogBloom, _bucket, _level
 
