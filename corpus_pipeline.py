@@ -9,7 +9,7 @@ from plexigraph.llm.linededup import dedup_lines
 from plexigraph.llm.mixing import mixed
 from plexigraph.llm.packing import pack_documents
 from plexigraph.llm.quality import keep_good
-from plexigraph.llm.simhash import keep_one
+from plexigraph.llm.similar import keep_similar
 from plexigraph.session import materialize
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the smallest doc_id stays."""
-    return keep_one(docs)
+    """Of each component of near copies (five-word Jaccard of 0.8 or more), the smallest doc_id stays."""
+    return keep_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -297,14 +297,19 @@ def simhash_groups(docs: DataFrame, distance: int = 4) -> DataFrame:
     return rows.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """``docs`` with one row for each component: that of the smallest doc_id.  All columns stay."""
-    rows = materialize(docs.select("doc_id", fingerprint("text").alias("fp"), F.xxhash64("text").alias("h")), "fingerprints")
+def keep_first(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``labelled``: (doc_id, h, label), h the text's xxhash64.  The row of each label's smallest doc_id; all columns stay."""
     last = F.lit((1 << 63) - 1).cast("long")
     first = F.min(F.struct(F.coalesce("doc_id", last).alias("i"), "doc_id", "h")).alias("k")
-    keep = rows.join(near_groups(rows.select("doc_id", "fp"), distance), "fp").groupBy("label").agg(first)
+    keep = labelled.groupBy("label").agg(first)
     keep = materialize(keep.select(F.col("k.doc_id").alias("__id"), F.col("k.h").alias("__h")), "keep")
     own = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
     numbered = docs.select(packed(docs), F.row_number().over(own).alias("__nth")).where("__nth = 1")
     hit = numbered.join(keep, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("__row.text") == F.col("__h")), "left_semi")
     return unpacked(hit, docs.columns)
+
+
+def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
+    """``docs`` with one row for each component: that of the smallest doc_id.  All columns stay."""
+    rows = materialize(docs.select("doc_id", fingerprint("text").alias("fp"), F.xxhash64("text").alias("h")), "fingerprints")
+    return keep_first(docs, rows.join(near_groups(rows.select("doc_id", "fp"), distance), "fp"))

@@ -167,6 +167,38 @@ def test_simhash(docs, none, rows):
     assert simhash_groups(none).count() == 0 and keep_one(none).count() == 0
 
 
+def test_similar(spark, docs, none, rows):
+    """Recall of the pipeline's near copies against all pairs: 1."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = [t for _, t, *_ in rows]
+    for k in range(60):  # copies from alike to just under 0.8, of a group and of each other
+        words = list(base) if k % 3 else texts[rng.randrange(60)].split()
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"new{k}"
+        texts.append(" ".join(words))
+    sets = []
+    for t in texts:
+        w = low(data(t)).split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(texts)))
+    pairs = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                pairs += 1
+                x, y = group[i], group[j]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    assert pairs > 300
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.simhash_near_dedup(spark, df, "")
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(group))
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and corpus_pipeline.simhash_near_dedup(spark, none, "").count() == 0
+
+
 def test_pigeonhole(spark):
     """Planted chains and a dense ball over random fingerprints, for every number of parts."""
     from plexigraph.llm import simhash
