@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +26,17 @@ class VertexProgram:
     better: Callable[[Column, Column], Column] = field(default=lambda new, old: old.isNull() | (new < old))
 
 
-def run_program(program: VertexProgram, state: DataFrame, edges: DataFrame, max_steps: int = 10_000, stats: list | None = None) -> DataFrame:
+def run_program(program: VertexProgram, state: DataFrame, edges: DataFrame, max_steps: int | None = None, stats: list | None = None) -> DataFrame:
     """``state``: (id, value), value null where nothing has arrived.  ``edges``: (src, dst, weight).  Returns the fixpoint.
 
+    Runs until nothing changes; raises if ``max_steps`` is given and not enough.
     ``stats`` gets (step, active vertices) for each superstep.
     """
     edges = materialize(edges.select("src", "dst", "weight").repartition("src"), "edges")
     state = materialize(state.select("id", "value", F.col("value").isNotNull().alias("active")), "state")
-    for step in range(max_steps):
+    for step in count():
+        if step == max_steps:
+            raise RuntimeError(f"no fixpoint after {max_steps} supersteps")
         front = state.where("active").select("id", "value")
         sent = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("to"), program.message(F.col("value"), F.col("weight")).alias("new"))
         got = sent.groupBy("to").agg(program.combine("new").alias("new"))

@@ -127,3 +127,18 @@ def test_files(spark, tmp_path):
     (d / "Mirror.1").write_text("1 0\n")
     got = files.read_partition(spark, str(d))
     assert got["edges"].count() == 2 and got["masters"].first()["mirrors"] == [1] and got["mirrors"].first()["master_part"] == 0
+
+
+def test_caps_are_not_silent(spark):
+    from plexigraph.operators.components import weak_components
+    from plexigraph.plans.fixpoint import VertexProgram, run_program
+
+    path = spark.createDataFrame([(i, i + 1, 1) for i in range(6)], "src long, dst long, weight long")
+    state = spark.createDataFrame([(i, 0 if i == 0 else None) for i in range(7)], "id long, value long")
+    hops = VertexProgram(lambda value, weight: value + weight)
+    with pytest.raises(RuntimeError):
+        run_program(hops, state, path, max_steps=3)
+    with pytest.raises(RuntimeError):
+        weak_components(path, max_rounds=1)
+    assert {r["id"]: r["value"] for r in run_program(hops, state, path).collect()} == {i: i for i in range(7)}
+    assert {r["label"] for r in weak_components(path).collect()} == {0}
