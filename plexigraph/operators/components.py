@@ -30,12 +30,12 @@ def weak_components(edges: DataFrame, max_rounds: int | None = None) -> DataFram
         hooked = labels.join(near, labels["id"] == near["src"], "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         hooked = materialize(hooked, "hooked")
         up = hooked.select(F.col("id").alias("root"), F.col("label").alias("top"))
-        jumped = materialize(hooked.join(up, hooked["label"] == up["root"]).select("id", "old", F.least("label", "top").alias("label")), "labels")
+        jumped = materialize(hooked.join(up, hooked["label"] == up["root"]).select("id", F.least("label", "top").alias("label"), "old"), "labels")
         moved = jumped.where("label <> old").limit(1).count()
         for t in (hooked, labels):
             discard(t)
-        labels = jumped.select("id", "label")
+        labels = jumped
         if not moved:
             break
     discard(both)
-    return labels
+    return labels.select("id", "label")

@@ -13,6 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark removes the shuffle files of a query when it ends, without waiting for the driver's garbage collector.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def get_session(app: str = "plexigraph", cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session with adaptive execution on; for tests, benches and notebooks (a cluster brings its own)."""
     builder = (
@@ -46,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             own = current.get()
+        elif not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             own = tempfile.mkdtemp(prefix="plexigraph-")
             context.setCheckpointDir(own)
@@ -57,24 +63,30 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there.
 
-    A lost executor costs the re-run of a task, never of what came before the table.
+    A lost executor costs the re-run of a task, never of what came before the table.  The shuffle files
+    of the write itself are removed when it ends, since nothing refers to them any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._plexigraph_path = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` which nothing will read again."""
     spark = df.sparkSession
-    root = shared_dir(spark).rstrip("/").removeprefix("file://").removeprefix("file:")
-    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    jvm = spark._jvm
-    for p in paths:
-        if root in p:
-            target = jvm.org.apache.hadoop.fs.Path(p)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    path = getattr(df, "_plexigraph_path", None)
+    if path is None:
+        raise ValueError("not a table that materialize returned")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
