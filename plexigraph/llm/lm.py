@@ -1,24 +1,25 @@
 """LM scoring (5): quantised n-gram counts in a log-frequency Bloom filter.
 
-Unigram and bigram counts come from all training documents.  A count c is held as its level
-1 + floor(log2 c): the n-gram is in the filter together with each level from the lowest kept one up to
-its own, and reading a count means probing level after level until one is missing.  Levels stand for
-the middle of their counts.  The filter is cut into segments by hash range; each segment is built where
-its n-grams meet.  Every n-gram is kept, so the filter grows with the corpus.  Up to ``max_filter_bytes``
-in all its segments come to the driver and are broadcast.  A larger one is never gathered: each chunk of
-texts sends the n-grams it asks for to their buckets, which answer from their own segment, and the chunk's
-answers meet its texts (as numbered n-grams) again.  Both ways read the same bits and give the same scores.
-
-The model is a bigram with Dirichlet smoothing: (c(h w) + k p(w)) / (c(h) + k), with p(w) the add-one
-unigram over quantised counts.
-
-Base scores need exact counts of every word.  The most frequent ``head`` words are broadcast (a bound
-on the size); each document's other words join the whole vocabulary by shuffle.
+*Counts.*  One pass over the training texts counts unigrams and bigrams.  N-grams meet in buckets, which are
+ranges of their hash, and a bucket writes its part of the model.
+
+*Filter.*  A count c has the level 1 + floor(log2 c).  For each bucket and level there is one Bloom filter, of
+the n-grams that reach the level; a count is read by probing level after level until one is missing, and a
+level stands for the middle of its counts.  Every n-gram is kept, so the filter grows with the corpus.  The
+levels from ``low`` up that fit ``max_filter_bytes`` together are broadcast; a chunk of texts asks the buckets
+about the n-grams that miss level ``low`` there, and they probe the levels below.  On a small corpus ``low`` is
+1 and no bigram is asked for.  Where the cut lies decides who probes, never what is kept.
+
+*Model.*  p(w | h) = (q(h w) + k p(w)) / (Q(h) + k) and p(w) = (q(w) + 1) / (Q + V + 1), where q are the
+quantised counts, Q(h) the sum of q over the bigrams that begin with h, and Q that over all V words: apart
+from the filter's false positives, the probabilities of all words, one unknown word included, add up to 1.
+
+*Base scores* need the exact count of every word.  Chunks ask the buckets for them as well: a word that fills a
+third of the corpus is one question a chunk.  Words are known by 96 bits of their hash.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from math import log10
 
@@ -28,35 +29,31 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexigraph.llm.common import chunks, text_bytes
+from plexigraph.llm.common import chunks, split_words
 from plexigraph.llm.phrases import mixed64, pack, unpack
-from plexigraph.session import discard, materialize, release, shuffle_width
+from plexigraph.session import discard, materialize, shuffle_width
 
 #: No word holds white space, so these can't be words.
 END, START = b"\n", b"\t"
-PROBES = 5
+PROBES = 6
 BITS = 9
-FLUSH = 3_000_000
-_words: dict[bytes, int] = {}
+#: Text a chunk when counting and when scoring, and text a bucket.
+COUNTED, SCORED, BUCKET = 24 << 20, 8 << 20, 4 << 20
+#: What a row of the model holds.
+BLOOM, WORDS, SUMS = 0, 1, 2
+MODEL = "bucket int, kind int, level int, payload binary, bytes long, n long, v long, q double"
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of each word, remembered by the worker up to a bound."""
-    from xxhash import xxh64_intdigest
+def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of each word's hash, and 32 more."""
+    from xxhash import xxh3_128_digest
 
-    if len(_words) > 600_000:
-        _words.clear()
-    get = _words.get
-    out = list(map(get, words))
-    if None in out:
-        for i, h in enumerate(out):
-            if h is None:
-                out[i] = _words.get(words[i]) or _words.setdefault(words[i], xxh64_intdigest(words[i]))
-    return np.array(out, np.uint64)
+    both = np.frombuffer(b"".join(map(xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), (both[:, 1] >> np.uint64(32)).astype(np.uint32)
 
 
 def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -68,192 +65,216 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
+def _planes(a: np.ndarray) -> np.ndarray:
+    """Byte by byte: the high bytes are mostly zero."""
+    return np.ascontiguousarray(a.view("u1").reshape(-1, a.dtype.itemsize).T)
+
+
+def _unplanes(a: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(a.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _gaps(h: np.ndarray) -> np.ndarray:
-    """Differences of sorted hashes, byte by byte: the high bytes are mostly zero."""
-    return np.ascontiguousarray(np.diff(h, prepend=np.uint64(0)).view("u1").reshape(-1, 8).T)
+    """Sorted hashes as differences."""
+    return _planes(np.diff(h, prepend=np.uint64(0)))
 
 
 def _ungaps(gaps: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(gaps.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_unplanes(gaps, "<u8"), dtype=np.uint64)
 
 
-def _level(c: np.ndarray) -> np.ndarray:
-    return np.log2(np.maximum(c, 1)).astype(np.int64) + 1
+def _stretches(at: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of each stretch of equal values."""
+    if not len(at):
+        return []
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]]).tolist()
+    return [(int(at[s]), s, e) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _middle(level: np.ndarray) -> np.ndarray:
-    """The count that a level stands for; level 0: none."""
-    top = np.exp2(level)
-    return np.where(level > 0, (top / 2 + top - 1) / 2, 0.0)
+def _heads(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where each group of equal rows begins."""
+    new = np.ones(len(sorted_by[0]), bool)
+    new[1:] = False
+    for a in sorted_by:
+        new[1:] |= a[1:] != a[:-1]
+    return np.flatnonzero(new)
 
 
-def vocabulary(train: DataFrame) -> DataFrame:
-    """(word, c) of all training tokens, one end a document included."""
+def level_of(c: np.ndarray) -> np.ndarray:
+    return np.frexp(np.maximum(c, 1).astype(np.float64))[1].astype(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-            seen.clear()
-            return b
+def middle(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for; level 0: none."""
+    top = np.exp2(level)
+    return np.where(level > 0, (top / 2 + top - 1) / 2, 0.0)
 
-        for b in chunks(batches, "text", 1 << 20):
-            for text in text_bytes(b.column(0)):
-                seen.update(text.lower().split())
-                seen[END] += 1
-            if len(seen) > 300_000:
-                yield flush()
-        if seen:
-            yield flush()
 
-    return train.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+def unigram(q: np.ndarray, total: float, v: int) -> np.ndarray:
+    return (q + 1.0) / (total + v + 1.0)
 
 
-def ngram_counts(train: DataFrame, n_buckets: int) -> DataFrame:
-    """All counted unigrams and bigrams by bucket and level: (bucket, level, n, payload)."""
+def bigram(q: np.ndarray, p: np.ndarray, total: np.ndarray, k: float) -> np.ndarray:
+    """q: the bigram's; p: its second word's probability; total: Q of its first word."""
+    return (q + k * p) / (total + k)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        squeeze = zstandard.ZstdCompressor(level=1)
 
-        def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            at = _bucket(h, n_buckets)
-            cuts = np.append(np.append(0, np.flatnonzero(np.diff(at)) + 1), len(at))
-            own, data = [], []
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                own.append(int(at[s]))
-                data.append(pack([_gaps(h[s:e]), n[s:e].astype("<u4").view("u1").reshape(-1, 4).T.copy()], squeeze))
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(data, pa.binary())], ["bucket", "payload"])
-
-        edge = _hashes([START, END])
-        for b in chunks(batches, "text", 1 << 20):
-            for text in text_bytes(b.column(0)):
-                h = np.concatenate([edge[:1], _hashes(text.lower().split()), edge[1:]])
-                held += [h, _pair(h[:-1], h[1:])]
-                size += 2 * len(h)
-            if size > FLUSH:
-                yield flush()
-                size = 0
-        if held:
-            yield flush()
+class Sequence:
+    """The tokens of some texts as numbers of their kinds; each text is a start, its words and an end."""
 
-    def add(t: pa.Table) -> pa.Table:
-        hs, ns = [], []
-        for p in t["payload"].to_pylist():
-            gaps, n = unpack(p, ["u1", "u1"])
-            hs.append(_ungaps(gaps))
-            ns.append(np.ascontiguousarray(n.reshape(4, -1).T).view("<u4").ravel())
-        h, n = np.concatenate(hs), np.concatenate(ns).astype(np.int64)
+    def __init__(self, texts: pa.Array) -> None:
+        self.sizes, words = split_words(texts, lower=True)
+        coded = words.dictionary_encode()
+        kinds = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        h, check = _hashes([*kinds, END, START])
         order = np.argsort(h)
-        h, n = h[order], n[order]
-        heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        h, level = h[heads], _level(np.add.reduceat(n, heads))
-        rows = [(x, int((level == x).sum()), h[level == x].tobytes()) for x in np.unique(level).tolist()]
-        x, n, p = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.table({"bucket": pa.array([t["bucket"][0].as_py()] * len(x), pa.int32()), "level": pa.array(x, pa.int32()), "n": pa.array(n, pa.int64()), "payload": pa.array(p, pa.binary())})
-
-    return train.select("text").mapInArrow(gather, "bucket int, payload binary").groupBy("bucket").applyInArrow(add, "bucket int, level int, n long, payload binary")
+        number = np.empty(len(h), np.int32)
+        number[order] = np.arange(len(h), dtype=np.int32)
+        self.h, self.check = h[order], check[order]
+        ends = np.cumsum(self.sizes + 2)
+        self.begin = ends - self.sizes - 2
+        inner = np.ones(int(ends[-1]) if len(ends) else 0, bool)
+        inner[self.begin] = inner[ends - 1] = False
+        self.tokens = np.empty(len(inner), np.int32)
+        self.tokens[inner] = number[coded.indices.to_numpy(zero_copy_only=False)]
+        self.tokens[self.begin], self.tokens[ends - 1] = number[-1], number[-2]
+        self.start = int(number[-1])
+
+
+def _bigrams(tokens: np.ndarray, begin: np.ndarray, kinds: int) -> np.ndarray:
+    """Each token but the starts, with the one before: first * kinds + second."""
+    second = np.ones(len(tokens), bool)
+    second[begin] = False
+    at = np.flatnonzero(second)
+    return tokens[at - 1].astype(np.int64) * kinds + tokens[at]
 
 
 class LogBloom:
-    """The filter: segments of ``size`` bytes, one for each bucket of hashes from ``first`` on; levels from ``low`` up."""
-
-    def __init__(self, n_buckets: int, size: int, low: int, bits: np.ndarray, first: int = 0) -> None:
-        self.n_buckets, self.size, self.low, self.bits, self.first = n_buckets, size, low, bits, first
+    """Filters by (bucket, level), one after the other in ``bits``; ``base`` and ``size`` in bytes, size 0 where there is none."""
+
+    def __init__(self, n_buckets: int, low: int, parts: dict[tuple[int, int], bytes], first: int = 0, buckets: int | None = None) -> None:
+        self.n_buckets, self.first, self.low = n_buckets, first, low
+        self.high = max((level for _, level in parts), default=low)
+        shape = (n_buckets if buckets is None else buckets, self.high - low + 2)
+        self.base, self.size = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        at = 0
+        for (b, level), data in parts.items():
+            self.base[b - first, level - low], self.size[b - first, level - low] = at, len(data)
+            at += len(data)
+        self.bits = np.frombuffer(b"".join(parts.values()), np.uint8)
 
     @staticmethod
-    def _spots(h: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
-        """The bit of one probe within the segment."""
-        x = mixed64(h + np.uint64((level * PROBES + probe) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        return (((x >> np.uint64(32)) * np.uint64(size * 8)) >> np.uint64(32)).astype(np.int64)
+    def _steps(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        x = mixed64(h + np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        return x >> np.uint64(32), x & np.uint64(0xFFFFFFFF) | np.uint64(1)
 
     @classmethod
-    def segment(cls, by_level: dict[int, np.ndarray], size: int, low: int) -> bytes:
-        bits = np.zeros(size * 8, bool)
-        for top, h in by_level.items():
-            for level in range(low, top + 1):
-                for probe in range(PROBES):
-                    bits[cls._spots(h, level, probe, size)] = True
-        return np.packbits(bits, bitorder="little").tobytes()
+    def build(cls, h: np.ndarray, level: int, bits: int = BITS) -> bytes:
+        """The filter of the n-grams that reach ``level``."""
+        size = len(h) * bits // 8 + 8
+        out = np.zeros(size * 8, bool)
+        a, b = cls._steps(h, level)
+        for _ in range(PROBES):
+            out[(a * np.uint64(size * 8)) >> np.uint64(32)] = True
+            a = (a + b) & np.uint64(0xFFFFFFFF)
+        return np.packbits(out, bitorder="little").tobytes()
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """The level of each n-gram, by repeated probes; 0 if the lowest kept level is missing."""
-        out = np.zeros(len(h), np.int64)
+        """The highest level from ``low`` on that each n-gram reaches without a gap; ``low`` - 1 if none."""
+        out = np.full(len(h), self.low - 1, np.int64)
         alive = np.arange(len(h))
-        base = (_bucket(h, self.n_buckets) - self.first) * self.size
-        level = self.low
-        while len(alive):
-            for probe in range(PROBES):
-                spot = self._spots(h[alive], level, probe, self.size)
-                hit = (self.bits[base[alive] + (spot >> 3)] >> (spot & 7).astype(np.uint8)) & 1
-                alive = alive[hit.astype(bool)]
-                if not len(alive):
-                    break
+        bucket = _bucket(h, self.n_buckets) - self.first
+        for level in range(self.low, self.high + 1):
+            alive = alive[self.size[bucket[alive], level - self.low] > 0]
+            if not len(alive):
+                break
+            a, b = self._steps(h[alive], level)
+            base, bits = self.base[bucket[alive], level - self.low], (self.size[bucket[alive], level - self.low] * 8).astype(np.uint64)
+            for _ in range(PROBES):
+                spot = ((a * bits) >> np.uint64(32)).astype(np.int64)
+                hit = (self.bits[base + (spot >> 3)] >> (spot & 7).astype(np.uint8)) & 1 > 0
+                if not hit.all():
+                    alive, a, b, base, bits = alive[hit], a[hit], b[hit], base[hit], bits[hit]
+                a = (a + b) & np.uint64(0xFFFFFFFF)
             out[alive] = level
-            level += 1
         return out
 
 
-def filter_shape(counts: DataFrame, n_buckets: int) -> tuple[int, int]:
-    """(size, low): bytes of a segment by the number of entries of all n-grams, and the lowest level there is."""
-    sums = {r["level"]: r["n"] for r in counts.groupBy("level").agg(F.sum("n").alias("n")).collect()}  # one row a level
-    low = min(sums, default=1)
-    # by bucket, with room for buckets over the mean
-    entries = sum(n * (x - low + 1) for x, n in sums.items())
-    return max(8, int(entries * BITS / 8 / n_buckets * 1.05) + 8), low
-
-
-def segments(counts: DataFrame, size: int, low: int) -> DataFrame:
-    """(bucket, bits) of each bucket that holds n-grams."""
-
-    def build(t: pa.Table) -> pa.Table:
-        by_level = {x: np.frombuffer(p, np.uint64) for x, p in zip(t["level"].to_pylist(), t["payload"].to_pylist(), strict=True)}
-        return pa.table({"bucket": t["bucket"][:1], "bits": pa.array([LogBloom.segment(by_level, size, low)], pa.binary())})
-
-    return counts.groupBy("bucket").applyInArrow(build, "bucket int, bits binary")
-
-
-def gathered(held: DataFrame, n_buckets: int, size: int) -> bytes:
-    """The whole filter at the driver."""
-    bits = np.zeros(n_buckets * size, np.uint8)
-    for r in held.collect():
-        bits[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return bits.tobytes()
-
-
-def _asked(kinds: np.ndarray, which: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bigrams of a chunk in text order, and all its n-grams once, sorted."""
-    at = np.flatnonzero(second)
-    pair = _pair(kinds[which[at - 1]], kinds[which[at]])
-    return pair, np.unique(np.concatenate([kinds, pair]))
-
-
-def _seconds(size: np.ndarray) -> np.ndarray:
-    """Which of a chunk's tokens end a bigram: all but each text's start; ``size`` counts words and end."""
-    second = np.ones(int(size.sum()) + len(size), bool)
-    second[np.cumsum(size + 1) - (size + 1)] = False
-    return second
-
-
-def _head_count(vocab: DataFrame, head: int, most: int = 10_000) -> int:
-    """The least count c such that at most ``head`` words have it or more, from how many words have each count.
-
-    Counts above ``most`` are taken together, so at most that many rows come to the driver.
-    """
-    words = {r["k"]: r["n"] for r in vocab.groupBy(F.least("c", F.lit(most)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, least = 0, most + 1
-    for c in sorted(words, reverse=True):
-        if (total := total + words[c]) > head:
-            break
-        least = c
-    return least if least <= most else np.iinfo(np.int64).max
+def build_model(train: DataFrame, n_buckets: int, bits: int = BITS) -> DataFrame:
+    """The model's rows by bucket (see ``MODEL``): filters by level, exact counts of words, sums of histories."""
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for b in chunks(batches, "text", COUNTED):
+            s = Sequence(b.column(0))
+            n = np.bincount(s.tokens, minlength=len(s.h))
+            words = {k: [_gaps(s.h[i:j]), _planes(s.check[i:j]), _planes(n[i:j].astype("<u4"))] for k, i, j in _stretches(_bucket(s.h, n_buckets))}
+            key, times = np.unique(_bigrams(s.tokens, s.begin, len(s.h)), return_counts=True)
+            first = key // len(s.h)
+            pair = _pair(s.h[first], s.h[key - first * len(s.h)])
+            at = _bucket(pair, n_buckets)
+            order = np.argsort(at * len(s.h) + first)  # by history within a bucket
+            pair, first, times = pair[order], first[order], times[order].astype("<u4")
+            pairs = {k: [_gaps(s.h[first[i:j]]), _planes(pair[i:j]), _planes(times[i:j])] for k, i, j in _stretches(at[order])}
+            own = sorted({*words, *pairs})
+            none = [np.zeros(0, np.uint8)] * 3
+            data = [pack([*words.get(k, none), *pairs.get(k, none)], squeeze) for k in own]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(data, pa.binary())], ["bucket", "payload"])
+
+    edge = _hashes([START])[0][0]
 
-def lm_scores(docs: DataFrame, head: int = 150_000, max_filter_bytes: int = 32 << 20, k: float = 200.0) -> DataFrame:
+    def add(t: pa.Table) -> pa.Table:
+        own = t["bucket"][0].as_py()
+        parts = [unpack(p.as_py(), ["u1"] * 6) for p in t["payload"]]
+        w, check, n = (np.concatenate(x) for x in zip(*((_ungaps(p[0]), _unplanes(p[1], "<u4"), _unplanes(p[2], "<u4")) for p in parts), strict=True))
+        first, pair, times = (np.concatenate(x) for x in zip(*((_ungaps(p[3]), _unplanes(p[4], "<u8"), _unplanes(p[5], "<u4")) for p in parts), strict=True))
+        del parts
+        squeeze = zstandard.ZstdCompressor(level=1)
+        order = np.lexsort((check, w))
+        w, check, n = w[order], check[order], n[order].astype(np.int64)
+        heads = _heads(w, check) if len(w) else np.zeros(0, np.int64)
+        w, check, n = w[heads], check[heads], np.add.reduceat(n, heads) if len(heads) else n
+        token = w != edge
+        rows = [(own, WORDS, 0, pack([_gaps(w), _planes(check), _planes(n.astype("<u8"))], squeeze), int(n[token].sum()), int(token.sum()), float(middle(level_of(n[token])).sum()))]
+        order = np.argsort(pair)
+        first, pair, times = first[order], pair[order], times[order].astype(np.int64)
+        heads = _heads(pair) if len(pair) else np.zeros(0, np.int64)
+        first, pair, times = first[heads], pair[heads], np.add.reduceat(times, heads) if len(heads) else times
+        # twice the quantised counts, which are whole numbers, of each history to the history's own bucket
+        twice = (2 * middle(level_of(times))).astype(np.int64)
+        order = np.argsort(first)
+        first, twice = first[order], twice[order]
+        heads = _heads(first) if len(first) else np.zeros(0, np.int64)
+        first, twice = first[heads], np.add.reduceat(twice, heads) if len(heads) else twice
+        for k, i, j in _stretches(_bucket(first, n_buckets)):
+            rows.append((k, SUMS, 0, pack([_gaps(first[i:j]), _planes(twice[i:j].astype("<u8"))], squeeze), 0, 0, 0.0))
+        h, level = np.concatenate([w, pair]), np.concatenate([level_of(n), level_of(times)])
+        for x in range(1, int(level.max(initial=0)) + 1):
+            rows.append((own, BLOOM, x, LogBloom.build(h[level >= x], x, bits), 0, 0, 0.0))
+        b, kind, x, data, n, v, q = zip(*rows, strict=True)
+        return pa.table({"bucket": pa.array(b, pa.int32()), "kind": pa.array(kind, pa.int32()), "level": pa.array(x, pa.int32()), "payload": pa.array(data, pa.binary()), "bytes": pa.array(map(len, data), pa.int64()), "n": pa.array(n, pa.int64()), "v": pa.array(v, pa.int64()), "q": pa.array(q, pa.float64())})
+
+    return train.select("text").mapInArrow(gather, "bucket int, payload binary").groupBy("bucket").applyInArrow(add, MODEL)
+
+
+def lowest_level(model: DataFrame, most: int) -> int:
+    """The lowest level such that all filters from it up take at most ``most`` bytes.  One row a level comes to the driver."""
+    sums = {r["level"]: r["n"] for r in model.where(F.col("kind") == BLOOM).groupBy("level").agg(F.sum("bytes").alias("n")).collect()}
+    low, size = max(sums, default=0) + 1, 0
+    while low > 1 and (size := size + sums[low - 1]) <= most:
+        low -= 1
+    return low
+
+
+def _lookup(at: np.ndarray, by: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """value where ``by`` (sorted) holds ``at``, else 0."""
+    if not len(by):
+        return np.zeros(len(at), value.dtype)
+    i = np.minimum(np.searchsorted(by, at), len(by) - 1)
+    return np.where(by[i] == at, value[i], 0)
+
+
+def lm_scores(docs: DataFrame, max_filter_bytes: int = 32 << 20, k: float = 200.0, bits: int = BITS) -> DataFrame:
     """Scores every whole text with a model of the training documents (crc32 of doc_id as text, mod 7, not 2).
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known (tokens seen in training), train_tokens,
@@ -261,143 +282,119 @@ def lm_scores(docs: DataFrame, head: int = 150_000, max_filter_bytes: int = 32 <
 
     Defined cases: a null text is empty and scores its end alone; a null doc_id hashes as the empty string and
     so trains; repeated rows train and score as often as they occur; without training documents base and score
-    come from zero counts; an empty table gives no rows; other columns are not read.
+    come from zero counts; an empty table gives no rows; other columns are not read.  A text is never cut: one
+    of any length is a chunk by itself, which takes some 25 times its size of memory in a Python worker.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
-    train = rows.where(~F.col("held_out"))
-    vocab = materialize(vocabulary(train), "vocabulary")
-    n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = _head_count(vocab, head)
-    top = {bytes(r["word"]): r["c"] for r in vocab.where(F.col("c") >= least).collect()}  # at most `head` words
-    every = v <= head
-    n_buckets = 4 * shuffle_width(spark)
-    counts = materialize(ngram_counts(train, n_buckets), "ngrams")
-    release(spark)
-    size, low = filter_shape(counts, n_buckets)
-    held = materialize(segments(counts, size, low), "filter")
-    discard(counts)
-    fits = size * n_buckets <= max_filter_bytes
-    sent = spark.sparkContext.broadcast((top, gathered(held, n_buckets, size) if fits else b""))
-
-    def texts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-        """Chunks without their model's scores, and the hashes of their tokens: each text is start, words, end."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = max(2 * shuffle_width(spark), -(-total // BUCKET))
+    model = materialize(build_model(rows.where(~F.col("held_out")), n_buckets, bits), "model")
+    n, v, mass = model.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "q"))).first()
+    low = lowest_level(model, max_filter_bytes)
+    is_bloom = F.col("kind") == BLOOM
+    high = model.where(is_bloom & (F.col("level") >= low)).select("bucket", "level", "payload").collect()  # at most max_filter_bytes
+    sent = spark.sparkContext.broadcast(LogBloom(n_buckets, low, {(r["bucket"], r["level"]): bytes(r["payload"]) for r in high}))
+    held = model.where(~is_bloom | (F.col("level") < low)).select("bucket", "kind", "level", "payload")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks of texts as numbers (bucket -1), and their questions to each bucket."""
         from pyspark import TaskContext
 
-        known = sent.value[0]
-        edge = _hashes([START, END])
-        row = TaskContext.get().partitionId() << 40
-        log_end = log10(known.get(END, 0) + 1)
-        logs: dict[int, float] = {}
-        for b in chunks(batches, "text", limit):
-            words = [t.lower().split() for t in text_bytes(b.column(1))]
-            sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            n_known, base, rare = [], [], []
-            for x in words:
-                c = list(map(known.get, x))
-                missing = Counter(w for w, y in zip(x, c, strict=True) if y is None) if None in c else {}
-                total, hits = log_end, 1 if END in known else 0
-                for y, times in Counter(c).items():
-                    if y is not None:
-                        if y not in logs:
-                            logs[y] = log10(y + 1)
-                        total += times * logs[y]
-                        hits += times
-                n_known.append(hits)
-                base.append(total)
-                rare.append([] if every else list(missing.items()))
-            flat_hash = np.concatenate([np.concatenate([edge[:1], _hashes(x), edge[1:]]) for x in words])
-            ids = np.arange(row, row + len(words))
-            row += len(words)
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
-            rare = pa.array([[{"word": w, "tf": t} for w, t in x] for x in rare], kind)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(0), b.column(2), pa.array(sizes), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), rare], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "rare"]), flat_hash
-
-    def scores(sizes: np.ndarray, which: np.ndarray, uni_level: np.ndarray, pair_level: np.ndarray) -> pa.Array:
-        """Of each text, by the levels of the chunk's kinds of token and of its bigrams."""
-        at = np.flatnonzero(_seconds(sizes))
-        uni = _middle(uni_level)
-        p = (uni + 1.0) / (n + v + 1.0)
-        both = np.minimum(_middle(pair_level), np.minimum(uni[which[at - 1]], uni[which[at]]))
-        logp = np.log10((both + k * p[which[at]]) / (np.maximum(uni[which[at - 1]], both) + k))
-        return pa.array(np.add.reduceat(logp, np.cumsum(sizes) - sizes))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LogBloom(n_buckets, size, low, np.frombuffer(sent.value[1], np.uint8))
-        for b, flat_hash in texts(batches, 2 << 20):
-            sizes = b.column("n_tokens").to_numpy()
-            kinds, which = np.unique(flat_hash, return_inverse=True)
-            at = np.flatnonzero(_seconds(sizes))
-            pair = _pair(flat_hash[at - 1], flat_hash[at])
-            yield b.append_column("score", scores(sizes, which, model.levels(kinds), model.levels(pair)))
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks with their tokens numbered."""
         squeeze = zstandard.ZstdCompressor(level=1)
-        for b, flat_hash in texts(batches, 4 << 20):
-            kinds, which = np.unique(flat_hash, return_inverse=True)
+        chunk = TaskContext.get().partitionId() << 32
+        for b in chunks(batches, "text", SCORED):
+            s = Sequence(b.column(1))
+            key = np.unique(_bigrams(s.tokens, s.begin, len(s.h)))
+            first = key // len(s.h)
+            pair = np.sort(_pair(s.h[first], s.h[key - first * len(s.h)]))
+            found = sent.value.levels(pair)
+            open_ = pair[found < low] if low > 1 else pair[:0]
+            words = {x: [_gaps(s.h[i:j]), _planes(s.check[i:j])] for x, i, j in _stretches(_bucket(s.h, n_buckets))}
+            pairs = {x: _gaps(open_[i:j]) for x, i, j in _stretches(_bucket(open_, n_buckets))}
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, b.schema) as out:
-                out.write_batch(b)
-            data = pack([sink.getvalue().to_pybytes(), _gaps(kinds), which.astype("<u4").view("u1").reshape(-1, 4).T.copy()], squeeze)
-            yield pa.RecordBatch.from_arrays([b.column("row")[:1], pa.array([data], pa.binary())], ["chunk", "payload"])
-
-    def numbered(payload: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-        data, kinds, which = unpack(payload, [None, "u1", "u1"])
-        which = np.ascontiguousarray(which.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-        return pa.ipc.open_stream(data).read_all(), _ungaps(kinds), which
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A chunk's n-grams to their buckets."""
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                b, kinds, which = numbered(payload.as_py())
-                h = _asked(kinds, which, _seconds(b["n_tokens"].to_numpy()))[1]
-                at = _bucket(h, n_buckets)
-                cuts = np.append(np.append(0, np.flatnonzero(np.diff(at)) + 1), len(at))
-                own = at[cuts[:-1]]
-                data = [pack([_gaps(h[s:e])], squeeze) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), pa.array(own, pa.int32()), pa.array(data, pa.binary())], ["chunk", "bucket", "payload"])
+            head = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s.sizes)], ["doc_id", "held_out", "n"])
+            with pa.ipc.new_stream(sink, head.schema) as out:
+                out.write_batch(head)
+            own = [-1, *sorted({*words, *pairs})]
+            none = np.zeros(0, np.uint8)
+            data = [pack([sink.getvalue().to_pybytes(), _gaps(s.h), _planes(s.tokens), found.astype(np.uint8)], squeeze)]
+            data += [pack([*words.get(x, [none, none]), pairs.get(x, none)], squeeze) for x in own[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array(data, pa.binary())], ["chunk", "bucket", "payload"])
+            chunk += 1
 
     def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        levels = []
-        if asked.num_rows:
-            bits = np.frombuffer(held["bits"][0].as_py(), np.uint8) if held.num_rows else np.zeros(size, np.uint8)
-            model = LogBloom(n_buckets, size, low, bits, asked["bucket"][0].as_py())
-            levels = [pack([model.levels(_ungaps(unpack(p.as_py(), ["u1"])[0])).astype(np.uint8)], squeeze) for p in asked["payload"]]
-        return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "payload": pa.array(levels, pa.binary())})
+        """For each question: counts, levels and sums of its words, and levels of its bigrams."""
+        if not asked.num_rows:
+            return asked
+        own = asked["bucket"][0].as_py()
+        parts, w, check, n, first, twice = {}, *([np.zeros(0, np.uint64)] * 5)
+        sums = []
+        for kind, level, p in zip(held["kind"].to_pylist(), held["level"].to_pylist(), held["payload"], strict=True):
+            if kind == BLOOM:
+                parts[own, level] = p.as_py()
+            elif kind == WORDS:
+                a = unpack(p.as_py(), ["u1"] * 3)
+                w, check, n = _ungaps(a[0]), _unplanes(a[1], "<u4"), _unplanes(a[2], "<u8")
+            else:
+                a = unpack(p.as_py(), ["u1"] * 2)
+                sums.append((_ungaps(a[0]), _unplanes(a[1], "<u8")))
+        if sums:
+            first, twice = (np.concatenate(x) for x in zip(*sums, strict=True))
+            order = np.argsort(first)
+            first, twice = first[order], twice[order]
+            heads = _heads(first)
+            first, twice = first[heads], np.add.reduceat(twice, heads)
+        bloom = LogBloom(n_buckets, 1, parts, own, 1)
+        squeeze, out = zstandard.ZstdCompressor(level=1), []
+        for p in asked["payload"]:
+            a = unpack(p.as_py(), ["u1"] * 3)
+            h, c, pair = _ungaps(a[0]), _unplanes(a[1], "<u4"), _ungaps(a[2])
+            i = np.searchsorted(w, h)
+            count = np.zeros(len(h), np.uint64)
+            todo = np.arange(len(h))
+            while len(todo := todo[i[todo] < len(w)]) and len(todo := todo[w[i[todo]] == h[todo]]):
+                same = check[i[todo]] == c[todo]  # words that share a hash stand next to each other
+                count[todo[same]] = n[i[todo[same]]]
+                todo = todo[~same]
+                i[todo] += 1
+            out.append(pack([_planes(count.astype("<u8")), _planes(_lookup(h, first, twice).astype("<u8")), bloom.levels(pair).astype(np.uint8)], squeeze))
+        return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "payload": pa.array(out, pa.binary())})
 
     def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
-        b, kinds, which = numbered(own["payload"][0].as_py())
-        sizes = b["n_tokens"].to_numpy()
-        pair, h = _asked(kinds, which, _seconds(sizes))
-        # buckets are ranges of the hash, so their answers in order are those of the sorted n-grams
-        level = np.concatenate([unpack(p, ["u1"])[0] for _, p in sorted(zip(answers["bucket"].to_pylist(), answers["payload"].to_pylist(), strict=True))]).astype(np.int64)
-        return b.append_column("score", scores(sizes, which, level[np.searchsorted(h, kinds)], level[np.searchsorted(h, pair)]))
-
-    schema = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, rare array<struct<word: binary, tf: bigint>>, score double"
-    texts_in = rows.select("doc_id", "text", "held_out")
-    if fits:
-        scored = materialize(texts_in.mapInArrow(score, schema), "scored")
-    else:
-        own = materialize(texts_in.mapInArrow(number, "chunk long, payload binary"), "numbered")
-
-        def answered() -> DataFrame:
-            kind = "chunk long, bucket int, payload binary"
-            return materialize(held.groupBy("bucket").cogroup(own.mapInArrow(ask, kind).groupBy("bucket")).applyInArrow(answer, kind), "answers")
-
-        answers = answered()
-        release(spark)  # the n-grams asked for
-        scored = materialize(own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema), "scored")
-        discard(own)
-        discard(answers)
-    rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.tf").join(vocab, "word")
-    more = rare.groupBy(F.col("row").alias("r")).agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"))
-    out = scored.drop("rare").join(more, F.col("row") == F.col("r"), "left")
-    base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(log10(n + v + 1))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
-    )
+        head, h, tokens, found = unpack(own["payload"][0].as_py(), [None, "u1", "u1", "u1"])
+        t, h, tokens = pa.ipc.open_stream(head).read_all(), _ungaps(h), _unplanes(tokens, "<i4")
+        # buckets are ranges of the hash, so answers in the order of buckets are in that of hashes
+        got = [unpack(p, ["u1"] * 3) for _, p in sorted(zip(answers["bucket"].to_pylist(), answers["payload"].to_pylist(), strict=True))]
+        count, twice, deep = (np.concatenate(x) for x in zip(*((_unplanes(a[0], "<u8"), _unplanes(a[1], "<u8"), a[2]) for a in got), strict=True))
+        count, level = count.astype(np.float64), found.astype(np.int64)
+        if low > 1:
+            level[level < low] = deep
+        sizes = t["n"].to_numpy()
+        begin = np.cumsum(sizes + 2) - (sizes + 2)
+        key, which = np.unique(_bigrams(tokens, begin, len(h)), return_inverse=True)
+        first = key // len(h)
+        second = key - first * len(h)
+        order = np.argsort(_pair(h[first], h[second]))
+        of = np.empty(len(key), np.int64)
+        of[order] = level
+        top = np.where(count > 0, level_of(count), 0)  # a bigram is no more frequent than its words
+        p = unigram(middle(top), mass, v)
+        logp = np.log10(bigram(middle(np.minimum(of, np.minimum(top[first], top[second]))), p[second], twice[first] / 2, k))
+        at = np.cumsum(sizes + 1) - (sizes + 1)
+        score = np.add.reduceat(logp[which], at)
+        known, base = np.add.reduceat((count > 0)[second][which].astype(np.int64), at), np.add.reduceat(np.log10(count + 1)[second][which], at)
+        return pa.table({
+            "doc_id": t["doc_id"], "held_out": t["held_out"], "n_tokens": pa.array(sizes + 1), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(sizes), n)),
+            "base_score": pa.array(base - (sizes + 1) * log10(n + v + 1)), "score": pa.array(score),
+        })
+
+    kind = "chunk long, bucket int, payload binary"
+    both = materialize(rows.select("doc_id", "text", "held_out").mapInArrow(ask, kind), "asked")
+    answers = materialize(held.groupBy("bucket").cogroup(both.where("bucket >= 0").groupBy("bucket")).applyInArrow(answer, kind), "answers")
+    discard(model)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = materialize(both.where("bucket < 0").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema), "scored")
+    discard(both)
+    discard(answers)
+    return out

@@ -240,68 +240,63 @@ def test_pigeonhole(spark):
     assert [simhash._find(parent, i) for i in range(len(f))] == want
 
 
-def test_lm(docs, none, rows):
-    from plexigraph.llm.lm import lm_scores
-
-    count, toks = Counter(), []
-    for d, t, *_ in rows:
-        toks.append([*low(data(t)).split(), b"\n"])
-        if zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2:
-            count.update(toks[-1])
-    n, v = sum(count.values()), len(count)
-    want = sorted((str(d), len(w), sum(x in count for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 5)) for (d, *_), w in zip(rows, toks))
-    for head in (20, 100_000):  # with and without words that go by the join
-        got = lm_scores(docs, head=head).collect()
-        assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
-    held = [r for r in got if r["held_out"]]
-    assert held and all(r["score"] < 0 for r in got)
-    assert lm_scores(none).count() == 0
+def quantised(c: int) -> float:
+    return (2 ** (c.bit_length() - 1) + 2 ** c.bit_length() - 1) / 2 if c else 0.0
 
 
-def test_lm_keeps_every_ngram(docs, rows):
-    """A filter too large to broadcast loses nothing: the same scores as broadcast, near those by exact levels."""
+def test_lm(docs, none, rows):
+    """Base scores exactly; the model against one of quantised counts whose probabilities add up to 1."""
     from plexigraph.llm.lm import lm_scores
 
-    def middle(c):
-        return (2 ** (c.bit_length() - 1) + 2 ** c.bit_length() - 1) / 2 if c else 0.0
-
     one, two, toks = Counter(), Counter(), []
     for d, t, *_ in rows:
         toks.append([b"\t", *low(data(t)).split(), b"\n"])
         if zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2:
-            one.update(toks[-1])
+            one.update(toks[-1][1:])
             two.update(zip(toks[-1], toks[-1][1:]))
-    n, v = sum(one.values()) - one[b"\t"], len(one) - 1
-    want = []
-    for w in toks:
-        score = 0.0
-        for a, b in zip(w, w[1:]):
-            ua, ub = middle(one[a]), middle(one[b])
-            both = min(middle(two[a, b]), ua, ub)
-            score += math.log10((both + 200 * (ub + 1) / (n + v + 1)) / (max(ua, both) + 200))
-        want.append(score)
-    assert 1 in two.values()
-
-    def scores(**args):
-        return sorted(((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)), r["score"]) for r in lm_scores(docs, **args).collect())
-
-    joined = scores(max_filter_bytes=64)
-    assert joined == scores()
-    assert scores(max_filter_bytes=64, head=20) == scores(head=20)
-    off = np.abs(np.sort([x for _, x in joined]) - np.sort(want)) / np.sort([len(w) for w in toks]).mean()
-    assert off.mean() < 0.01, off.mean()
+    n, v = sum(one.values()), len(one)
+    mass, history = sum(map(quantised, one.values())), Counter()
+    for (a, _), c in two.items():
+        history[a] += quantised(c)
+
+    def p(b):
+        return (quantised(one[b]) + 1) / (mass + v + 1)
+
+    def q(a, b):
+        return (quantised(two[a, b]) + 200 * p(b)) / (history[a] + 200)
+
+    for a in [b"\t", *list(one)[:40], b"unknown"]:
+        assert sum(q(a, b) for b in [*one, b"unknown"]) == pytest.approx(1)
+    assert 1 in two.values() and max(two.values()) > 8
+    want = sorted(
+        (str(d), len(w) - 1, sum(x in one for x in w[1:]), n, round(sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w[1:]), 5), round(sum(math.log10(q(a, b)) for a, b in zip(w, w[1:])), 5))
+        for (d, *_), w in zip(rows, toks)
+    )
+    # wide filters have no false positives here: broadcast whole, in part, and not at all
+    for most in (1 << 25, 20_000, 0):
+        got = lm_scores(docs, max_filter_bytes=most, bits=200).collect()
+        assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in got) == want, most
+    assert any(r["held_out"] for r in got)
+    usual = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), r["score"]) for r in lm_scores(docs).collect())
+    assert [r[:5] for r in usual] == [r[:5] for r in want]
+    assert sum(abs(r[5] - x[5]) for r, x in zip(usual, want)) < 0.01 * sum(r[1] for r in usual)
+    assert lm_scores(none).count() == 0
 
 
 def test_log_bloom():
-    from plexigraph.llm.lm import LogBloom, _bucket, _level
+    from plexigraph.llm.lm import LogBloom, _bucket, level_of
 
     rng = np.random.default_rng(4)
     h = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2))
-    level = _level(rng.integers(1, 500, len(h)))
-    at, size = _bucket(h, 4), 4000
-    bits = b"".join(LogBloom.segment({int(x): h[(at == k) & (level == x)] for x in np.unique(level)}, size, 1) for k in range(4))
-    got = LogBloom(4, size, 1, np.frombuffer(bits, np.uint8)).levels(h)
+    level = level_of(rng.integers(1, 500, len(h)))
+    at = _bucket(h, 4)
+    parts = {(k, x): LogBloom.build(h[(at == k) & (level >= x)], x) for k in range(4) for x in range(1, 10)}
+    got = LogBloom(4, 1, parts).levels(h)
     assert (got >= level).all() and (got == level).mean() > 0.9
+    high = LogBloom(4, 3, {k: x for k, x in parts.items() if k[1] >= 3}).levels(h)
+    assert (high[level >= 3] >= level[level >= 3]).all() and (high[level < 3] == 2).mean() > 0.9
+    assert level_of(np.array([1, 2, 3, 4, 7, 8, 1023, 1024])).tolist() == [1, 2, 2, 3, 3, 4, 10, 11]
+    assert not LogBloom(4, 2, {}).levels(h).max() > 1
 
 
 def test_word_spans(docs, none, rows):
