@@ -60,8 +60,8 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def materialize(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there.
+def materialize(df: DataFrame, what: str = "table", by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there.  ``by``: columns with a folder a value.
 
     A lost executor costs the re-run of a task, never of what came before the table.  The shuffle files
     of the write itself are removed when it ends, since nothing refers to them any more.
@@ -71,7 +71,7 @@ def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by or []).parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
