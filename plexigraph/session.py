@@ -76,17 +76,59 @@ def materialize(df: DataFrame, what: str = "table", by: list[str] | None = None)
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._plexigraph_path = path
+    _tables(spark).add(path)
     return out
 
 
+def bucketed(df: DataFrame, n: int, keys: list[str], what: str = "table") -> DataFrame:
+    """As :func:`materialize`, in ``n`` buckets by ``keys``, each one sorted file: joins on the keys neither shuffle nor reorder it."""
+    spark = df.sparkSession
+    name = f"plexigraph_{what}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._plexigraph_path, out._plexigraph_name = path, name
+    _tables(spark).add(path)
+    return out
+
+
+def _tables(spark: SparkSession) -> set[str]:
+    """The tables of this application that are still there; what is left at its end goes then."""
+    context = spark.sparkContext
+    held = getattr(context, "_plexigraph_tables", None)
+    if held is None:
+        held = context._plexigraph_tables = set()
+        atexit.register(_leave, spark)
+    return held
+
+
+def _leave(spark: SparkSession) -> None:
+    try:
+        discard_all(spark)
+    except Exception:  # the session was stopped before
+        pass
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _tables(spark).discard(path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every table that :func:`materialize` has made and nobody has discarded: results that read them must have been consumed."""
+    for path in list(_tables(spark)):
+        _delete(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` which nothing will read again."""
-    spark = df.sparkSession
     path = getattr(df, "_plexigraph_path", None)
     if path is None:
         raise ValueError("not a table that materialize returned")
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if hasattr(df, "_plexigraph_name"):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._plexigraph_name}")
+    _delete(df.sparkSession, path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
