@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 
 from plexigraph.llm.common import chunks, split_words
 from plexigraph.llm.phrases import mixed64, pack, unpack
-from plexigraph.session import discard, materialize, shuffle_width
+from plexigraph.session import materialize, shuffle_width
 
 #: No word holds white space, so these can't be words.
 END, START = b"\n", b"\t"
 PROBES = 6
 BITS = 9
 #: Text a chunk when counting and when scoring, and text a bucket.
-COUNTED, SCORED, BUCKET = 24 << 20, 8 << 20, 4 << 20
+COUNTED, SCORED, BUCKET = 8 << 20, 6 << 20, 4 << 20
 #: What a row of the model holds.
 BLOOM, WORDS, SUMS = 0, 1, 2
 MODEL = "bucket int, kind int, level int, payload binary, bytes long, n long, v long, q double"
@@ -391,10 +391,6 @@ def lm_scores(docs: DataFrame, max_filter_bytes: int = 32 << 20, k: float = 200.
 
     kind = "chunk long, bucket int, payload binary"
     both = materialize(rows.select("doc_id", "text", "held_out").mapInArrow(ask, kind), "asked")
-    answers = materialize(held.groupBy("bucket").cogroup(both.where("bucket >= 0").groupBy("bucket")).applyInArrow(answer, kind), "answers")
-    discard(model)
+    answers = held.groupBy("bucket").cogroup(both.where("bucket >= 0").groupBy("bucket")).applyInArrow(answer, kind)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = materialize(both.where("bucket < 0").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema), "scored")
-    discard(both)
-    discard(answers)
-    return out
+    return both.where("bucket < 0").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
