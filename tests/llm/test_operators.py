@@ -428,13 +428,30 @@ def test_lines(docs, none, rows):
         want.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
     assert any(w[2] for w in want)
     for n in (1, 2, 6):  # six batches compact the runs
-        got = line_dedup(docs, n_batches=n)
+        got = line_dedup(docs, n_batches=n, bucket_lines=20)
         assert bag(got, *got.columns) == Counter(want)
     out = dedup_lines(docs)
     assert out.columns == docs.columns and bag(out, "doc_id", "text") == Counter((w[0], w[3]) for w in want)
     assert line_dedup(none).count() == 0 and dedup_lines(none).count() == 0
 
 
+def test_line_runs(spark):
+    """Fresh keys and compaction; joins and merges of runs shuffle nothing."""
+    from plexigraph.llm.linededup import LineRuns
+
+    rng, store, want = random.Random(3), LineRuns(spark, 3, 2), {}
+    for k in range(5):
+        batch = sorted({(100 - 10 * k - rng.randrange(10), rng.randrange(30), 1) for _ in range(40)})
+        for d, a, _ in batch:
+            n, last = want.get(a, (0, d))
+            want[a] = n + 1, max(last, d)
+        store.add(spark.createDataFrame(batch, "doc_id long, a long, b long"))
+        assert {r["a"]: (r["n"], r["last"]) for r in store.totals().collect()} == want
+        assert sum(r.where("fresh").count() for r in store.runs) == len(want)
+    assert [len(x) for x in store.levels] == [1, 0, 1]
+    assert "Exchange" not in store.totals()._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pipeline(spark, docs, none, tmp_path):
     import corpus_pipeline
 
