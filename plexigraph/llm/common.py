@@ -9,9 +9,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from plexigraph.session import materialize, shuffle_width
 
 #: ASCII white space, the only characters that end a word.
 WHITE = "\t\n\x0b\x0c\r "
@@ -93,50 +90,3 @@ def unpacked(df: DataFrame, columns: list[str], name: str = "__row", **new: Colu
 def with_lengths(columns: list[str], text: Column) -> dict[str, Column]:
     """What changes in a document when its text does."""
     return {"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in columns else {})
-
-
-def buckets(spark) -> int:
-    """Blob buckets: several for each shuffle partition, so that hashing deals them out evenly."""
-    return 8 * shuffle_width(spark)
-
-
-def prefix_sums(df: DataFrame, group: str, value: str, order: list[str], what: str = "prefix") -> DataFrame:
-    """Adds ``before`` (long): the sum of ``value`` over the rows of the same ``group`` that come earlier by ``order``.
-
-    Range partitions in (group, order); a running sum inside each partition (streamed, nothing is
-    gathered); the few sums by (group, partition) are summed again and joined back.  A group of any
-    size is spread over as many partitions as it fills.  ``group`` and ``value`` must not be null.
-    """
-    spark = df.sparkSession
-    schema = T.StructType([*df.schema.fields, T.StructField("__pid", T.IntegerType()), T.StructField("__run", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        last, carry = None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            g = b.column(b.schema.get_field_index(group))
-            v = b.column(b.schema.get_field_index(value)).to_numpy(zero_copy_only=False).astype(np.int64)
-            g = g.dictionary_encode().indices.to_numpy(), g
-            new = np.concatenate([[0], np.flatnonzero(np.diff(g[0])) + 1])
-            upto = np.cumsum(v) - v
-            base = np.repeat(upto[new], np.diff(np.concatenate([new, [len(v)]])))
-            out = upto - base
-            if last is not None and g[1][0].as_py() == last:
-                end = new[1] if len(new) > 1 else len(v)
-                out[:end] += carry
-            last, carry = g[1][-1].as_py(), int(out[-1] + v[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(v), pid, np.int32)), pa.array(out)], names=[*b.schema.names, "__pid", "__run"])
-
-    n = shuffle_width(spark)
-    local = materialize(df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).mapInArrow(run, schema), what)
-    sums = local.groupBy(group, "__pid").agg(F.sum(value).alias("__sum"))
-    from pyspark.sql import Window
-
-    earlier = Window.partitionBy(group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col(group).alias("__g"), F.col("__pid").alias("__p"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__off"))
-    out = local.join(offsets, (local[group] == offsets["__g"]) & (local["__pid"] == offsets["__p"]))
-    return out.select(*df.columns, (F.col("__run") + F.col("__off")).cast("long").alias("before"))

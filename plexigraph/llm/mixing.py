@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from plexigraph.llm.common import packed, prefix_sums, text_bytes, unpacked, with_lengths
+from plexigraph.llm.common import packed, text_bytes, unpacked, with_lengths
+from plexigraph.plans.prefix import numbered, prefix_sums
 from plexigraph.session import materialize
 
 #: Weights of the sources in code point order, repeating.
@@ -38,8 +39,8 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     and what is over is shared again among the others, until no target is above its stop.  Each round is
     one aggregate over the sources; none of them come to the driver.
     """
-    ranked = prefix_sums(sizes.withColumn("one", F.lit(1).cast("long")).withColumn("all", F.lit("")), "all", "one", ["g"], "sources")
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("before") % len(weights) + 1).cast("int"))
+    ranked = numbered(sizes, "rank", [F.col("g")], 0)
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     ranked = materialize(ranked.select("g", "source_size", weight.alias("w"), (F.col("source_size") * most).alias("stop")), "weights")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     rate = 0.0
@@ -56,26 +57,33 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return ranked.select("g", "source_size", F.least(F.col("w") * F.lit(rate), F.col("stop")).alias("target"))
 
 
+def _placed(rows: DataFrame, share: float, most: float, weights: tuple[float, ...], seed: int) -> DataFrame:
+    """``rows``: a table with doc_id, source, size.  (__row, g, source_size, target, taken)."""
+    g = _group(F.col("source"))
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
+    placed = prefix_sums(rows, g, F.col("size"), [key, F.col("doc_id"), F.col("size")], "mix").withColumn("__g", _group(F.col("__row.source")))
+    goal = targets(rows.groupBy(g.alias("g")).agg(F.sum("size").alias("source_size")), share, most, weights)
+    out = placed.join(goal, F.col("__g") == F.col("g"))  # a row a source: Spark broadcasts it if it is small
+    size = F.col("__row.size")
+    budget = F.floor("target").cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(0)
+    rest = budget - epochs * F.col("source_size")
+    part = F.greatest(F.lit(0), F.least(size, rest - F.col("__before"))).cast("long")
+    return out.select("__row", "source_size", "target", (epochs * size + part).cast("long").alias("taken"))
+
+
 def mix(rows: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
-    """``rows``: doc_id, source, size (not null) and any others.  Adds source_size, target, taken (words the mix takes).
+    """``rows``: doc_id, source, size (not null) and others of any name but these three: adds source_size, target, taken (words the mix takes).
 
     Taken words of a source add up to its target rounded down.  Reruns agree: keys are hashes of doc_id and
-    size, and ties among repeated rows fall among equal rows.
+    size, and ties among repeated rows fall among rows equal in doc_id and size.  ``rows`` is read several
+    times, so it should be a table.
 
     Defined cases: a null source is a source of its own, last by rank; a size of 0 takes 0; a null doc_id is a
     value like any other; an empty table gives no rows.
     """
-    keyed = rows.withColumn("g", _group(F.col("source"))).withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    placed = prefix_sums(keyed, "g", "size", ["key", "doc_id", "size"], "mix")
-    goal = targets(keyed.groupBy("g").agg(F.sum("size").alias("source_size")), share, most, weights)
-    n = goal.count()
-    goal = F.broadcast(goal) if n <= 200_000 else goal  # some 20 MB; beyond, Spark joins by shuffle
-    out = placed.join(goal, "g")
-    budget = F.floor("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(0)
-    rest = budget - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before"))).cast("long")
-    return out.select(*rows.columns, "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    out = _placed(rows, share, most, weights, seed)
+    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in rows.columns], "source_size", "target", "taken")
 
 
 @arrow_udf(T.StringType())
@@ -92,18 +100,26 @@ def first_words(text: pa.Array, n: pa.Array) -> pa.Array:
 def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document taken twice is two rows, one taken in part is cut.
 
-    Only the document at each source's budget is cut, so that budgets are exact; documents without words
-    are not taken.  Texts are joined to their counts by one shuffle on doc_id and the text's hash.
+    Only the document at each source's budget is cut, so that budgets are exact.  Texts are joined to their
+    counts by one shuffle on a hash of doc_id, text and source.
+
+    Defined cases: documents without words (null, empty, white space) are not taken; a null doc_id or source is a
+    value like any other; of repeated rows, which are equal in doc_id, text and source, each takes its own part,
+    and which of them takes which is open; an empty table gives no rows; a text of any length is one row.
     """
-    counted = materialize(docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("h")), "sizes")
-    takes = mix(counted, share, most, weights).where("taken > 0")
-    takes = takes.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__th"), F.col("source").alias("__s")).agg(
-        F.collect_list(F.struct("size", "taken")).alias("__takes")
-    )
-    rows = docs.select(packed(docs), F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), "source").orderBy(F.lit(0))).alias("__nth"))
-    hit = rows.join(takes, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("__row.text") == F.col("__th")) & F.col("__row.source").eqNullSafe(F.col("__s")))
-    take = F.element_at("__takes", F.col("__nth"))
-    hit = hit.where(F.col("__nth") <= F.size("__takes")).select("__row", take.alias("__t"))
+    name = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull(), "source", F.col("source").isNull())
+    counted = materialize(docs.select("doc_id", "source", word_count("text").alias("size"), name.alias("h"), F.xxhash64("text").alias("th")), "sizes")
+    takes = _placed(counted, share, most, weights, 7).where("taken > 0").select("__row.doc_id", "__row.h", "__row.th", "__row.size", "taken")
+    once = takes.groupBy("doc_id", "h", "th").agg(F.array_sort(F.collect_list(F.struct("taken", "size"))).alias("__takes"))  # one for each repeat of a row
+    once = once.select(F.col("h").alias("__h"), F.col("th").alias("__th"), F.col("doc_id").alias("__id"), "__takes")
+    alone = once.where(F.size("__takes") == 1)
+    rows = docs.select(packed(docs), name.alias("__name"))
+    same = (F.col("__name") == F.col("__h")) & (F.xxhash64("__row.text") == F.col("__th")) & F.col("__row.doc_id").eqNullSafe(F.col("__id"))
+    hit = rows.join(alone, same).select("__row", F.element_at("__takes", 1).alias("__t"))
+    # rows that occur several times are numbered to take one part each; all others need no sort
+    again = rows.join(once.where(F.size("__takes") > 1), same)
+    again = again.withColumn("__nth", F.row_number().over(Window.partitionBy("__h", "__th", "__id").orderBy(F.lit(0)))).where(F.col("__nth") <= F.size("__takes"))
+    hit = hit.unionAll(again.select("__row", F.element_at("__takes", F.col("__nth")).alias("__t")))
     times = F.sequence(F.lit(0), F.ceil(F.col("__t.taken") / F.col("__t.size")).cast("int") - 1)
     copies = hit.select("__row", "__t", F.explode(times).alias("__e")).select(
         "__row", F.least(F.col("__t.size"), F.col("__t.taken") - F.col("__e") * F.col("__t.size")).alias("__n"), F.col("__t.size").alias("__size")

@@ -52,8 +52,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plexigraph.llm.mixing import mix, word_count
+    from plexigraph.session import materialize
 
-    return mix(_docs(spark, sf_dir).select("doc_id", "source", word_count("text").alias("size"))).drop("source")
+    sizes = materialize(_docs(spark, sf_dir).select("doc_id", "source", word_count("text").alias("size")), "sizes")
+    return mix(sizes).drop("source")
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, g string, before long, fp string, `a.b` string"
 
@@ -51,7 +53,7 @@ def none(spark):
 
 
 def bag(df, *cols):
-    return Counter(tuple(r[c] for c in cols) for r in df.collect())
+    return Counter(tuple(r[c.strip("`")] for c in cols) for r in df.collect())
 
 
 def low(b: bytes) -> bytes:
@@ -336,16 +338,32 @@ def test_mixing(docs, none, rows):
             target[s] = 2.0 * total[s]
             left -= target[s]
         free -= over
-    counted = docs.select("doc_id", "source", word_count("text").alias("size"))
-    got = mix(counted).collect()
+    counted = docs.select("doc_id", "source", word_count("text").alias("size"), "g", "before", F.lit("k").alias("key"), "`a.b`", F.lit(1).alias("rank"))
+    out = mix(counted)
+    assert out.columns == [*counted.columns, "source_size", "target", "taken"]
+    assert bag(out, "g", "before", "key", "`a.b`", "rank") == bag(counted, "g", "before", "key", "`a.b`", "rank")
+    got = out.collect()
     for s in names:
         own = [r for r in got if r["source"] == s]
         assert own[0]["target"] == pytest.approx(target[s]) and own[0]["source_size"] == total[s]
         assert sum(r["taken"] for r in own) == math.floor(target[s] + 1e-9) and all(0 <= r["taken"] <= 2 * r["size"] for r in own)
     assert Counter(map(tuple, mix(counted.repartition(2)).collect())) == Counter(map(tuple, got))
+    # the mix itself: every document as often as it is taken whole, and one part of it
+    want = Counter()
+    held = {}
+    for r in rows:
+        held.setdefault((r[0], r[3], len(data(r[1]).split())), []).append(r)
+    for r in got:
+        row = held[r["doc_id"], r["source"], r["size"]].pop()
+        words = data(row[1]).split()
+        whole, part = divmod(r["taken"], r["size"]) if r["size"] else (0, 0)
+        want.update({(*row[:1], row[1], *row[2:5]): whole} if whole else {})
+        if part:
+            cut = re.match(rb"(?:[ \t-\r]*[^ \t-\r]+){%d}" % part, data(row[1]))[0].decode()
+            assert cut.encode().split() == words[:part]
+            want[row[0], cut, *row[2:4], len(cut)] += 1
     out = mixed(docs)
-    assert out.columns == docs.columns
-    assert sum(len(data(r["text"]).split()) for r in out.collect()) == sum(r["taken"] for r in got)
+    assert out.columns == docs.columns and bag(out, "doc_id", "text", "lang", "source", "n_chars") == want
     assert mix(none.select("doc_id", "source", word_count("text").alias("size"))).count() == 0 and mixed(none).count() == 0
 
 
@@ -353,7 +371,7 @@ def test_packing(docs, none, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from plexigraph.llm.packing import pack_documents
+    from plexigraph.llm.packing import pack, pack_documents
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tk = Tokenizer.from_file(path)
@@ -374,13 +392,46 @@ def test_packing(docs, none, rows):
             assert o == end
             end += n
         assert end <= 64
-    assert len(seqs) <= 1.1 * sum(r["length"] for r in got) / 64 + 1
+    assert len(seqs) <= best_fit_decreasing([r["length"] for r in got], 64)
     assert pack_documents(none, path).count() == 0
+    named = docs.select("doc_id", F.lit(0).alias("piece"), (1 + F.col("before") % 60).alias("length"), F.lit(7).cast("long").alias("ids_crc32"), "g", "before", F.lit("x").alias("one"), "`a.b`")
+    out = pack(named, 64)
+    assert out.columns == [*named.columns, "sequence_id", "offset"] and bag(out, *[f"`{c}`" for c in named.columns]) == bag(named, *[f"`{c}`" for c in named.columns])
+
+
+def best_fit_decreasing(lengths: list[int], capacity: int) -> int:
+    rooms: list[int] = []
+    for x in sorted(lengths, reverse=True):
+        at = min((r for r in rooms if r >= x), default=None)
+        if at is not None:
+            rooms.remove(at)
+        rooms.append((capacity if at is None else at) - x)
+    return len(rooms)
+
+
+def test_configurations():
+    """The program's worth against all patterns of a small case, and its use in a plan."""
+    from plexigraph.llm.packing import configurations, grouped, knapsack, plan
+
+    worth, count = knapsack(np.array([50, 30, 20]), np.array([0.6, 0.3, 0.1]), 100)
+    assert worth == pytest.approx(1.2) and count.tolist() == [2, 0, 0]
+    # three sizes that only fill up together: 60 + 40, 50 + 25 + 25
+    found = configurations([60, 50, 40, 25], [10, 10, 10, 20], 100)
+    assert sum(n for _, n in found) == 20
+    assert sum(n * c for c, n in found).tolist() == [10, 10, 10, 20]
+    runs = grouped({60: 10, 50: 10, 40: 10, 25: 20}, 100, 50, 8)
+    assert sum(r.n for r in runs) == 20 and all(r.free == 0 for r in runs)
+    assert sum(r.n for r in plan({60: 10, 50: 10, 40: 10, 25: 20, 3: 4}, 100)) == 21
 
 
 def test_plan():
-    from plexigraph.llm.packing import plan
+    from plexigraph.llm.packing import fewest, plan
 
+    rng = random.Random(1)
+    for k in range(12):
+        h = Counter(min(200, int(rng.expovariate(0.01 * (1 + k))) + 1) for _ in range(rng.randint(1, 2000)))
+        n = sum(r.n for r in plan(dict(h), 200))
+        assert fewest(sum(x * y for x, y in h.items()), h, 200) <= n <= best_fit_decreasing(list(h.elements()), 200)
     rng = random.Random(1)
     for _ in range(20):
         h = Counter(min(200, int(rng.expovariate(0.02)) + 1) for _ in range(rng.randint(1, 3000)))
