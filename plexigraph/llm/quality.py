@@ -8,6 +8,7 @@ moments), and hosts whose shrunk rate reaches ``host_limit`` lose all their docu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,34 +96,34 @@ def _failed(c: str) -> Column:
     return (F.col(f"{c}.n_words") < 20) | (100 * F.col(f"{c}.n_repeat_words") > 30 * F.col(f"{c}.n_words"))
 
 
-def fit_beta(n: float, failed: float, sum_nrr: float, hosts: int) -> tuple[float, float]:
-    """Beta prior of the hosts' failure rates by the method of moments; rates weigh as their documents.
+def fit_beta(n: float, failed: float, sum_nrr: float, sum_nn: float, hosts: int) -> tuple[float, float]:
+    """(mean, strength) of the hosts' beta prior by the method of moments.
 
-    With under two hosts, or rates that are all equal, the prior is worth two documents at the overall rate.
+    Of the spread of the hosts' rates, weighed by documents, what their own chance explains is taken off: with
+    k hosts of n_i documents, N in all, the expected sum of n_i (r_i - mean)^2 is
+    var (N - sum n_i^2 / N - (k - 1)) + mean (1 - mean) (k - 1).  The strength, the prior's worth in documents, is
+    mean (1 - mean) / var - 1.  If nothing is left of the spread, hosts do not differ and the strength is infinite;
+    a spread wider than any beta prior's has strength 0 (rates as they are); a single host has 0 too.
     """
-    if not n:
-        return 1.0, 1.0
-    mean = min(max(failed / n, 1e-6), 1 - 1e-6)
-    spread = sum_nrr / n - (failed / n) ** 2
-    strength = mean * (1 - mean) / spread - 1 if hosts > 1 and spread > 1e-12 else 2.0
-    strength = min(max(strength, 2.0), 1000.0)
-    return mean * strength, (1 - mean) * strength
+    if not n or hosts < 2:
+        return (failed / n if n else 0.0), 0.0
+    mean = failed / n
+    chance = mean * (1 - mean)
+    var = (sum_nrr - n * mean * mean - chance * (hosts - 1)) / max(n - sum_nn / n - (hosts - 1), 1e-9)
+    if var <= 1e-12:
+        return mean, math.inf
+    return mean, max(0.0, chance / var - 1)
 
 
 def host_verdicts(failures: DataFrame, host_limit: float = 0.5) -> DataFrame:
     """``failures``: (source, failed).  One row a host: host_docs, host_failed, host_rate (shrunk), host_kept."""
     hosts = failures.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("failed").cast("long")).alias("host_failed"))
     hosts = materialize(hosts, "hosts")
-    r = F.col("host_failed") / F.col("host_docs")
-    n, f, s, k = hosts.agg(F.sum("host_docs"), F.sum("host_failed"), F.sum(F.col("host_docs") * r * r), F.count(F.lit(1))).first()
-    a, b = fit_beta(float(n or 0), float(f or 0), float(s or 0), k)
-    rate = (F.col("host_failed") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b))
-    return hosts.withColumn("host_rate", rate).withColumn("host_kept", F.col("host_rate") < host_limit)
-
-
-def _small(hosts: DataFrame, bound: int = 200_000) -> DataFrame:
-    """Broadcast only if the counted hosts are at most ``bound`` (some 20 MB); else Spark joins by shuffle."""
-    return F.broadcast(hosts) if hosts.count() <= bound else hosts
+    docs, x = F.col("host_docs").cast("double"), F.col("host_failed").cast("double")
+    n, f, s, q, k = hosts.agg(F.sum(docs), F.sum(x), F.sum(x * x / docs), F.sum(docs * docs), F.count(F.lit(1))).first()
+    mean, strength = fit_beta(n or 0.0, f or 0.0, s or 0.0, q or 0.0, k)
+    rate = F.lit(mean) if math.isinf(strength) else (x + F.lit(mean * strength)) / (docs + F.lit(strength))
+    return hosts.withColumn("host_rate", F.round(rate, 9)).withColumn("host_kept", F.col("host_rate") < host_limit)
 
 
 def quality(docs: DataFrame, host_limit: float = 0.5) -> DataFrame:
@@ -133,12 +134,13 @@ def quality(docs: DataFrame, host_limit: float = 0.5) -> DataFrame:
 
     Defined cases: a null text has no words (and so fails); a document of null source belongs to no host and
     is judged alone (host_rate null); rows repeated count as often as they occur; empty tables give no rows;
-    other columns are not read.
+    other columns are not read.  A text is never cut: one of any length is counted by itself, which takes some 60
+    bytes of memory a word in a Python worker.
     """
     rules = materialize(docs.select("doc_id", "source", rule_counts("text").alias("r")), "rules")
     judged = rules.select("doc_id", "source", "r.*", _failed("r").alias("base_failed"))
     hosts = host_verdicts(judged.select("source", F.col("base_failed").alias("failed")), host_limit)
-    out = judged.join(_small(hosts.select(F.col("source").alias("host"), "host_rate", "host_kept")), F.col("source") == F.col("host"), "left")
+    out = judged.join(hosts.select(F.col("source").alias("host"), "host_rate", "host_kept"), F.col("source") == F.col("host"), "left")  # a row a host: Spark broadcasts it if it is small
     return out.select("doc_id", *[f.name for f in RULES.fields], "base_failed", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"), "source", "host_rate")
 
 
@@ -146,8 +148,10 @@ def keep_good(docs: DataFrame, host_limit: float = 0.5) -> DataFrame:
     """``docs`` without the rows that :func:`quality` rejects; all columns stay.
 
     Texts are read twice, once for the hosts' sums and once for the rows that stay, and never shuffled.
+
+    Defined cases: those of :func:`quality`; columns of any name stay as they are.
     """
     hosts = host_verdicts(docs.select("source", rule_counts("text").alias("r")).select("source", _failed("r").alias("failed")), host_limit)
     bad = hosts.where(~F.col("host_kept")).select(F.col("source").alias("__host"))
     rows = docs.select(packed(docs), rule_counts("text").alias("__r")).where(~_failed("__r"))
-    return unpacked(rows.join(_small(bad), F.col("__row.source") == F.col("__host"), "left_anti"), docs.columns)
+    return unpacked(rows.join(bad, F.col("__row.source") == F.col("__host"), "left_anti"), docs.columns)

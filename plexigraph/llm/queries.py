@@ -99,12 +99,13 @@ _SQL = {
               FROM d LEFT JOIN rw USING (k) LEFT JOIN ln USING (k)),
         f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
         h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS x FROM f WHERE source IS NOT NULL GROUP BY source),
-        m AS (SELECT least(greatest(sum(x) / sum(n), 1e-6), 1 - 1e-6) AS mean, sum(x * x / n) / sum(n) - (sum(x) / sum(n)) ** 2 AS spread, count(*) AS hosts FROM h),
-        p AS (SELECT mean, least(greatest(CASE WHEN hosts > 1 AND spread > 1e-12 THEN mean * (1 - mean) / spread - 1 ELSE 2.0 END, 2.0), 1000.0) AS s FROM m),
-        v AS (SELECT source, (x + mean * s) / (n + s) AS host_rate FROM h, p)
+        m AS (SELECT sum(x) / sum(n) AS mean, sum(n) AS docs, sum(x * x / n) AS s, sum(n * n) AS q, count(*) AS hosts FROM h),
+        v AS (SELECT mean, hosts, mean * (1 - mean) AS chance, (s - docs * mean * mean - mean * (1 - mean) * (hosts - 1)) / greatest(docs - q / docs - (hosts - 1), 1e-9) AS var FROM m),
+        p AS (SELECT mean, hosts < 2 OR var > 1e-12 AS finite, CASE WHEN hosts < 2 OR var <= 1e-12 THEN 0 ELSE greatest(0, chance / var - 1) END AS s FROM v),
+        hv AS (SELECT source, round(CASE WHEN finite THEN (x + mean * s) / (n + s) ELSE mean END, 9) AS host_rate FROM h, p)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND coalesce(host_rate < 0.5, true) AS kept, f.source, host_rate
-        FROM f LEFT JOIN v ON f.source = v.source""",
+        FROM f LEFT JOIN hv ON f.source = hv.source""",
     "op9_url_filters": """
         WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         s AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM u),

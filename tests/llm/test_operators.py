@@ -78,8 +78,9 @@ def test_quality(docs, none, rows):
     got = quality(docs)
     assert bag(got, *got.columns[:7]) == Counter(want)
     assert all(not (r["base_failed"] and r["kept"]) for r in got.collect())
+    good = Counter(w[0] for w in want if not w[6])  # no host of these fails as a whole
     kept = keep_good(docs)
-    assert kept.columns == docs.columns and bag(kept, "doc_id") == bag(got.where("kept"), "doc_id")
+    assert kept.columns == docs.columns and bag(kept, "doc_id") == bag(got.where("kept"), "doc_id") == Counter((d,) for d in good.elements())
     assert quality(none).count() == 0 and keep_good(none).count() == 0
 
 
@@ -89,7 +90,16 @@ def test_host_verdicts(spark):
     f = spark.createDataFrame([("bad", True)] * 40 + [("good", False)] * 60 + [("mix", True), ("mix", False)] + [(None, True)], "source string, failed boolean")
     v = {r["source"]: r["host_kept"] for r in host_verdicts(f).collect()}
     assert v["bad"] is False and v["good"] is True and set(v) == {"bad", "good", "mix"}
-    assert fit_beta(0, 0, 0, 0) == (1.0, 1.0)
+    assert fit_beta(0, 0, 0, 0, 0) == (0.0, 0.0) and fit_beta(10.0, 4.0, 1.6, 100.0, 1) == (0.4, 0.0)
+    # hosts drawn from a known prior, small ones too; and hosts that differ by chance alone
+    rng = np.random.default_rng(1)
+    size = rng.integers(2, 60, 20_000)
+    for a, b in ((2.0, 6.0), (0.5, 0.5), (30.0, 20.0)):
+        x = rng.binomial(size, rng.beta(a, b, len(size)))
+        mean, strength = fit_beta(float(size.sum()), float(x.sum()), float((x * x / size).sum()), float((size * size).sum()), len(size))
+        assert mean == pytest.approx(a / (a + b), abs=0.01) and strength == pytest.approx(a + b, rel=0.1)
+    x = rng.binomial(size, 0.3)
+    assert fit_beta(float(size.sum()), float(x.sum()), float((x * x / size).sum()), float((size * size).sum()), len(size))[1] > 500
 
 
 def test_suffix_array(docs, none, rows):
