@@ -29,8 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from plexigraph.llm.common import chunks, text_bytes
-from plexigraph.llm.phrases import BLOBS, NULL_ID, SPAN_ROWS, blobs, cut, flat, merged, mixed64, own_spans, pack, runs_of, settle, span_table, spread, unpack
-from plexigraph.session import shuffle_width
+from plexigraph.llm.phrases import BLOBS, NULL_ID, blobs, bucket_count, cut, flat, merged, mixed64, own_spans, pack, runs_of, settle, span_table, spread, unpack
 
 SPAN = 50
 GRAM = 8
@@ -197,7 +196,7 @@ REMOVED = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n
 def _remove(text: pa.Array, spans: pa.Array) -> pa.Array:
     rows = []
     for b, x in zip(text_bytes(text), spans.to_pylist(), strict=True):
-        runs, at, digest = merged(x), 0, hashlib.sha256()
+        runs, at, digest = merged((y["s"], y["e"]) for y in x or ()), 0, hashlib.sha256()
         for s, e in runs:
             digest.update(b[at:s])
             at = e
@@ -209,7 +208,7 @@ def _remove(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 def spans_of(docs: DataFrame) -> DataFrame:
     """Spans that repeat smaller documents: __d (doc_id), __dh (hash of the text), spans."""
-    n_buckets = 4 * shuffle_width(docs.sparkSession)
+    n_buckets = bucket_count(docs)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", CHUNK):

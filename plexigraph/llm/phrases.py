@@ -8,7 +8,7 @@ stand, have the same trigger at the same offset and meet in the bucket of the tr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plexigraph.session import materialize, release
+from plexigraph.session import materialize, shuffle_width
 
 NULL_ID = np.iinfo(np.int64).max
 SPAN_ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])
@@ -118,22 +118,22 @@ def runs_of(flag: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def settle(parsed: DataFrame, solve) -> DataFrame:
     """All blobs of a bucket to ``solve``; one row a document: doc_id, h, spans (sorted list of s, e).
 
-    The result is written, and the blobs' shuffle let go, before texts are shuffled to meet it.
+    The result is written, which lets the blobs' shuffle go before texts are shuffled to meet it.
     """
+    found = parsed.groupBy("bucket").applyInArrow(solve, SPAN_ROWS)
+    return materialize(found.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__dh")).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
 
-    def written() -> DataFrame:
-        found = parsed.groupBy("bucket").applyInArrow(solve, SPAN_ROWS)
-        return materialize(found.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__dh")).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
 
-    spans = written()
-    release(parsed.sparkSession)
-    return spans
+def bucket_count(docs: DataFrame, size: int = 4 << 20) -> int:
+    """A bucket for each ``size`` bytes of text, and some for each of the session's shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * shuffle_width(docs.sparkSession), -(-total // size))
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal runs of the spans."""
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of the spans (start, end)."""
     out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+    for s, e in sorted(spans):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:

@@ -1,15 +1,16 @@
 """Substring dedup (6): relative Lempel-Ziv parsing of word sequences.
 
-*Blocks.*  Phrases of the corpus (see ``phrases``) that share a trigger's bucket form one indexed
-reference block; together the blocks hold every 35-word window of the corpus once for each occurrence.
-*Factors.*  Each document is factored greedily against every block that can hold a match of it, which
-the triggers tell: phrases that match whole are one factor; in the others, consecutive windows that the
-block also holds elsewhere run together into the longest factor.  A factor of 35 words or more is a
-duplicate span.  Phrases overlap by 34 words, so a match that crosses the boundary of two factors lies
-whole in a phrase and is found there.
+*Blocks.*  Phrases of the corpus (see ``phrases``) are dealt out by their trigger's hash; those of a bucket form
+one reference block, with an index: the suffix array of the block's words and the longest common prefixes of
+neighbours in it.  Together the blocks hold every 35-word window of the corpus once for each occurrence.
+*Factors.*  Each phrase is factored greedily against its block: the factor at a word is the longest stretch from
+there that the block also holds at another place, and the next factor begins behind it.  A document needs no other
+blocks, as the triggers tell where a match of 35 words can be.  Equal phrases are one factor without an index.
+*Boundaries.*  A match may cross the boundary of two factors, or begin inside a short one.  So every word less
+than 35 before a boundary is looked up as well.  Matches of 35 words or more are duplicate spans.
 
 A window counts as repeated if its word sequence starts at two places at least, the same document
-included; all its places lose it.  Windows are compared as words (ranks by doubling), never by hash alone.
+included; all its places lose it.  Windows are compared as words, never by hash alone.
 """
 
 from __future__ import annotations
@@ -27,11 +28,10 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from plexigraph.llm.common import chunks, text_bytes
-from plexigraph.llm.phrases import BLOBS, NULL_ID, blobs, cut, flat, merged, mixed64, own_spans, pack, runs_of, settle, span_table, spread, unpack
-from plexigraph.session import shuffle_width
+from plexigraph.llm.phrases import BLOBS, NULL_ID, blobs, bucket_count, cut, flat, merged, mixed64, own_spans, pack, settle, span_table, spread, unpack
 
 SPAN = 35
-GRAM = 2
+GRAM = 6
 HALF = (SPAN - GRAM + 1) // 2
 CHUNK = 8 << 20
 #: content, its length in bytes, windows, words before the trigger, places (1, or 2 for more), row of a single place, its position, rows' ids and hashes
@@ -58,7 +58,10 @@ def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: i
     at = ends - length
     begin = np.cumsum(counts) - counts
     doc = np.repeat(np.arange(len(texts)), counts)
-    gram = mixed64(word * np.uint64(0x9E3779B97F4A7C15) + np.roll(word, -1)) if len(word) else word
+    gram = word
+    for k in range(1, GRAM):
+        gram = gram * np.uint64(0x9E3779B97F4A7C15) + np.roll(word, -k)
+    gram = mixed64(gram)
     first, last, trigger = cut(gram, doc, SPAN, GRAM)
     if not len(first):
         return []
@@ -92,28 +95,59 @@ def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: i
     return rows
 
 
-def _repeated(phrases: list[list[bytes]], windows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(flag, owner, offset) of every window of the phrases: does the block hold it at two places or more?
+class Block:
+    """The index of some phrases: ranks of all stretches of 1, 2, 4 ... words, and so the order of all suffixes."""
 
-    Ranks of 1, 2, 4 ... 32 and at last 35 words, each from two of the rank before: equal ranks are equal words.
-    """
-    number: dict[bytes, int] = {}
-    rank = np.array([number.setdefault(w, len(number)) for x in phrases for w in x], np.int64)
-    size = np.fromiter(map(len, phrases), np.int64, len(phrases))
-    span = 1
-    while span < SPAN:
-        step = min(span, SPAN - span)
-        pair = rank[: len(rank) - step] * np.int64(rank.max() + 1) + rank[step:]
-        rank, span = np.unique(pair, return_inverse=True)[1], span + step
-    begin = np.cumsum(size) - size
-    start = flat(begin, windows)
-    owner = np.repeat(np.arange(len(phrases)), windows)
-    total = np.bincount(rank[start], weights=places[owner])
-    return total[rank[start]] > 1, owner, start - begin[owner]
+    def __init__(self, phrases: list[list[bytes]]) -> None:
+        number: dict[bytes, int] = {}
+        rank = np.array([number.setdefault(w, len(number)) for x in phrases for w in x], np.int64)
+        size = np.fromiter(map(len, phrases), np.int64, len(phrases))
+        self.begin = np.cumsum(size) - size
+        place = np.arange(len(rank))
+        self.left = np.repeat(self.begin + size, size) - place  # words to the phrase's end
+        self.ranks, span = [rank], 1
+        while span < size.max():  # suffixes that end early come first
+            after = np.where(self.left > span, rank[np.minimum(place + span, len(rank) - 1)], -1)
+            rank = np.unique(rank * np.int64(len(rank) + 1) + after + 1, return_inverse=True)[1]
+            self.ranks.append(rank)
+            span *= 2
+        self.suffixes = np.argsort(rank, kind="stable")
+
+    def _common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many words the suffixes at x and y share, by stretches from the longest down."""
+        most, same = np.minimum(self.left[x], self.left[y]), np.zeros(len(x), np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            at = np.flatnonzero(same + (1 << k) <= most)
+            rank = self.ranks[k]
+            at = at[rank[x[at] + same[at]] == rank[y[at] + same[at]]]
+            same[at] += 1 << k
+        return same
+
+    def longest(self) -> np.ndarray:
+        """For each word, how far the block holds the same words at another place: more than one neighbour in order can't share."""
+        near = self._common(self.suffixes[:-1], self.suffixes[1:])
+        out = np.zeros(len(self.suffixes), np.int64)
+        out[self.suffixes] = np.maximum(np.append(0, near), np.append(near, 0))
+        return out
+
+
+def factors(longest: list[int], least: int = SPAN) -> list[tuple[int, int]]:
+    """Matches of ``least`` words or more of one phrase, as (start, end), by greedy factors and a look at their boundaries."""
+    out: list[tuple[int, int]] = []
+    at, n = 0, len(longest)
+    while at < n:
+        end = min(n, at + max(1, longest[at]))
+        if longest[at] >= least:
+            out.append((at, end))
+        for j in range(max(at + 1, end - least + 1), end):  # what crosses the boundary
+            if longest[j] >= least:
+                out.append((j, j + longest[j]))
+        at = end
+    return out
 
 
 def _settle(t: pa.Table) -> pa.Table:
-    """One reference block: equal phrases, phrases that agree to one side of the trigger, factors of those."""
+    """One bucket: equal phrases; phrases that agree to one side of the trigger make the block and are factored."""
     out = own_spans(t.filter(pc.is_valid(t["h"])))
     out.append(span_table(*[np.zeros(0, np.int64)] * 4))
     number: dict[bytes, int] = {}
@@ -159,18 +193,29 @@ def _settle(t: pa.Table) -> pa.Table:
     del left, right
     some = np.flatnonzero(met)
     if len(some):
-        flag, owner, offset = _repeated([content[j].split(b" ") for j in some.tolist()], width[some], count[some])
-        a, b = runs_of(flag, owner)
-        if len(a):
-            of_run = np.bincount(owner[a], minlength=len(some))
+        block = Block([content[j].split(b" ") for j in some.tolist()])
+        longest = block.longest()
+        # only phrases with a long match are factored
+        owner = np.repeat(np.arange(len(some)), width[some] + SPAN - 1)
+        held = np.unique(owner[longest >= SPAN])
+        of, s, e = [], [], []
+        for k in held.tolist():
+            lo = int(block.begin[k])
+            for x, y in merged(factors(longest[lo : lo + int(width[some[k]]) + SPAN - 1].tolist())):
+                of.append(k)
+                s.append(x)
+                e.append(y)
+        if of:
+            of, s, e = (np.array(x, np.int64) for x in (of, s, e))
+            count_of = np.bincount(of, minlength=len(some))
             slot = np.full(len(content), -1)
             slot[some] = np.arange(len(some))
             mine = np.flatnonzero((count[entry] == 1) & (slot[entry] >= 0))
-            mine = mine[of_run[slot[entry[mine]]] > 0]
-            times = of_run[slot[entry[mine]]]
-            pick = flat((np.cumsum(of_run) - of_run)[slot[entry[mine]]], times)
+            mine = mine[count_of[slot[entry[mine]]] > 0]
+            times = count_of[slot[entry[mine]]]
+            pick = flat((np.cumsum(count_of) - count_of)[slot[entry[mine]]], times)
             again = np.repeat(mine, times)
-            out.append(span_table(doc[again], h[again], pos[again] + offset[a][pick], pos[again] + offset[b][pick] + SPAN))
+            out.append(span_table(doc[again], h[again], pos[again] + s[pick], pos[again] + e[pick]))
     return pa.concat_tables(out)
 
 
@@ -182,7 +227,7 @@ def _remove(text: pa.Array, spans: pa.Array) -> pa.Array:
     rows = []
     for b, x in zip(text_bytes(text), spans.to_pylist(), strict=True):
         words, kept, at, gone = b.split(), [], 0, 0
-        for s, e in merged(x):
+        for s, e in merged((y["s"], y["e"]) for y in x or ()):
             kept += words[at:s]
             at, gone = e, gone + e - s
         kept += words[at:]
@@ -193,7 +238,7 @@ def _remove(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 def spans_of(docs: DataFrame) -> DataFrame:
     """Spans of words in repeated windows: __d (doc_id), __dh (hash of the text), spans."""
-    n_buckets = 4 * shuffle_width(docs.sparkSession)
+    n_buckets = bucket_count(docs)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", CHUNK):
@@ -211,7 +256,8 @@ def word_span_dedup(docs: DataFrame) -> DataFrame:
 
     Defined cases: a null text has no words; texts under 35 words lose nothing; windows never cross documents,
     may overlap, and are judged on the input; rows repeated (same doc_id and text too) count as places of
-    their own, so each loses what the other holds; an empty table gives no rows; other columns are not read.
+    their own, so each loses what the other holds; an empty table gives no rows; other columns are not read.  A text
+    is never cut: one of any length is parsed by itself, which takes some 250 bytes of memory a word in a Python worker.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     out = rows.join(spans_of(docs), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__dh")), "left")

@@ -328,6 +328,26 @@ def test_word_spans(docs, none, rows):
     assert word_span_dedup(none).count() == 0
 
 
+def test_factors():
+    """The index and the greedy parse against all pairs of places."""
+    from plexigraph.llm.phrases import merged
+    from plexigraph.llm.rlz import Block, factors
+
+    rng = random.Random(8)
+    for _ in range(30):
+        phrases = [[rng.choice([b"a", b"b"]) for _ in range(rng.randint(1, 40))] for _ in range(rng.randint(1, 8))]
+        got = Block(phrases).longest().tolist()
+        places = [(p, i) for p, x in enumerate(phrases) for i in range(len(x))]
+        for (p, i), n in zip(places, got):
+            best = max((next((k for k in range(40) if i + k >= len(phrases[p]) or j + k >= len(phrases[q]) or phrases[p][i + k] != phrases[q][j + k])) for q, j in places if (p, i) != (q, j)), default=0)
+            assert n == best
+        at = 0
+        for x in phrases:
+            own = got[at : at + len(x)]
+            at += len(x)
+            assert merged(factors(own, 5)) == merged((i, i + n) for i, n in enumerate(own) if n >= 5)
+
+
 def test_mixing(docs, none, rows):
     from plexigraph.llm.mixing import mix, mixed, word_count
 
