@@ -1,17 +1,21 @@
 """Suffix-array dedup (2): prefix-free parsing of the corpus, by bytes.
 
-*Parse.*  Rolling-hash triggers cut every document into overlapping phrases (see ``phrases``).  Each
-task keeps the dictionary of its own phrases: of a phrase that several of its documents hold, only the
-smallest document travels, the others are settled at once.
-*Dictionary.*  Phrases meet in the bucket of their trigger; equal ones become one entry with the
-smallest document that holds it.  Every occurrence of an entry in a larger document is settled whole.
-*Suffix order.*  An entry shares a window with another only if they agree on the 29 or 30 bytes to one
-side of the trigger; entries that agree with none are done.  The suffixes of the others are sorted to
-the depth of a window; a run of suffixes that agree to that depth is one window of the corpus, and the
-smallest document of its entries settles it.  Phrases of the parse give the order back to documents.
-
-The suffix order is whole within a bucket and to the depth of a window, which is all that windows
-need; no order across buckets is made.
+*Parse.*  Rolling-hash triggers cut every document into overlapping phrases (see ``phrases``): the windows of 50
+bytes that share a trigger.  Each task keeps the dictionary of its own phrases: of a phrase that several of its
+documents hold, only the smallest document travels, the others are settled at once.  Phrases meet in the bucket
+of their trigger; equal ones become one with the smallest document that holds it, and every occurrence in a larger
+document is settled whole.  A phrase shares a window with another only if they agree on the 29 or 30 bytes to one
+side of the trigger; those that agree with none are done.
+*Dictionary and parse.*  What remains is cut at the trigger: the text up to its end is a word of the dictionary,
+the text from its start on is what the parse continues with.  The dictionary's suffixes are sorted, and so are the
+continuations, to the depth of a window, each with the longest common prefixes of neighbours.
+*Corpus order.*  A window is a suffix of the dictionary, whose last bytes are the trigger, and then a continuation.
+Sorting pairs of ranks puts the windows of a bucket in order without comparing their texts again: neighbours with
+one suffix are the same window if their continuations share as many bytes as the window still has.  The smallest
+document of such a run settles it.
+
+The order is whole within a trigger's bucket and to the depth of a window; no order across buckets is made, as
+equal windows always share a bucket.
 """
 
 from __future__ import annotations
@@ -102,8 +106,88 @@ def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: i
     return rows
 
 
+def _sorted_suffixes(texts: list[bytes], of: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes (text, start) of up to SPAN bytes in byte order: (order, how many bytes each shares with the one before)."""
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(length) - length
+    buffer = np.frombuffer(b"".join(texts) + bytes(SPAN + 8), np.uint8)
+    words = np.ndarray((len(buffer) - 7,), ">u8", buffer, strides=(1,))
+    size, at = length[of] - start, begin[of] + start
+    # eight bytes at a time; what is behind the end counts as zero, and the size tells it from zeros of the text
+    mask = np.array([0, *((1 << 64) - (1 << (64 - 8 * k)) for k in range(1, 9))], np.uint64)
+    keys = [words[at + o].astype(np.uint64) & mask[np.clip(size - o, 0, 8)] for o in range(0, SPAN, 8)]
+    order = np.lexsort([size, *keys[::-1]])
+    shared, alive = np.zeros(len(order), np.int64), np.arange(1, len(order))
+    for k in keys:
+        s = k[order]
+        differ = s[alive] ^ s[alive - 1]
+        # equal bytes from the left: those above the highest bit that differs
+        top = np.frexp((differ >> np.uint64(32)).astype(np.float64))[1]
+        low = np.frexp((differ & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+        bits = np.where(top > 0, 32 + top, low)
+        shared[alive] += (64 - bits) // 8
+        alive = alive[bits == 0]
+    sizes = size[order]
+    shared[1:] = np.minimum(shared[1:], np.minimum(sizes[1:], sizes[:-1]))
+    return order, shared
+
+
+def _least_between(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """min(shared[a + 1 .. b]) for a < b."""
+    table, step = [shared], 1
+    while 2 * step <= len(shared):
+        table.append(np.minimum(table[-1][:-step], table[-1][step:]))
+        step *= 2
+    level = np.frexp((b - a).astype(np.float64))[1] - 1
+    out = np.empty(len(a), np.int64)
+    for k in np.unique(level).tolist():
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(table[k][a[at] + 1], table[k][b[at] - (1 << k) + 1])
+    return out
+
+
+def _distinct(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    number: dict[bytes, int] = {}
+    of = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
+    return list(number), of
+
+
+def corpus_order(phrases: list[bytes], trigger: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of the phrases in one order: (order, is it the same text as the one before, phrase and start of each window).
+
+    A phrase has ``windows`` windows and its trigger at ``trigger``, which is in all of them.
+    """
+    words, word = _distinct([p[: a + GRAM] for p, a in zip(phrases, trigger.tolist(), strict=True)])
+    rests, rest = _distinct([p[a:] for p, a in zip(phrases, trigger.tolist(), strict=True)])
+    # the dictionary's suffixes that are long enough to hold the trigger
+    starts = np.fromiter((len(w) - GRAM + 1 for w in words), np.int64, len(words))
+    first = np.cumsum(starts) - starts
+    of, at = np.repeat(np.arange(len(words)), starts), flat(np.zeros(len(words), np.int64), starts)
+    order, shared = _sorted_suffixes(words, of, at)
+    size = (starts[of] - at)[order]
+    new = np.append(True, (shared[1:] < size[1:] + GRAM - 1) | (size[1:] != size[:-1]))
+    suffix_rank = np.empty(len(order), np.int64)
+    suffix_rank[order] = np.cumsum(new) - 1
+    # the continuations
+    rest_order, rest_shared = _sorted_suffixes(rests, np.arange(len(rests)), np.zeros(len(rests), np.int64))
+    rest_rank = np.empty(len(rests), np.int64)
+    rest_rank[rest_order] = np.arange(len(rests))
+    # windows: a suffix and a continuation
+    owner, start = np.repeat(np.arange(len(phrases)), windows), flat(np.zeros(len(windows), np.int64), windows)
+    suffix, then = suffix_rank[first[word[owner]] + start], rest_rank[rest[owner]]
+    order = np.lexsort((then, suffix))
+    same = np.zeros(len(order), bool)
+    near = np.flatnonzero(suffix[order[1:]] == suffix[order[:-1]]) + 1
+    x, y = then[order[near - 1]], then[order[near]]
+    deep = np.full(len(near), SPAN)
+    apart = np.flatnonzero(x != y)
+    deep[apart] = _least_between(rest_shared, x[apart], y[apart])
+    same[near] = deep >= SPAN - (trigger[owner] - start)[order[near]]
+    return order, same, owner, start
+
+
 def _settle(t: pa.Table) -> pa.Table:
-    """One bucket: dictionary, sieve, suffix order, spans."""
+    """One bucket: equal phrases, sieve, corpus order, spans."""
     passed = t.filter(pc.is_valid(t["h"]))
     out = own_spans(passed)
     number: dict[bytes, int] = {}
@@ -154,20 +238,8 @@ def _settle(t: pa.Table) -> pa.Table:
     del left, right
     some = np.flatnonzero(met)
     if len(some):
-        buffer = np.frombuffer(b"".join(content[j] for j in some.tolist()), np.uint8)
-        begin = np.cumsum(size[some]) - size[some]
-        start = flat(begin, windows_a[some])
-        owner = np.repeat(np.arange(len(some)), windows_a[some])
-        # suffixes in byte order, eight bytes at a time, to the depth of a window
-        words = np.ndarray((len(buffer) - 7,), ">u8", buffer, strides=(1,))
-        keys = [words[start + o].astype(np.uint64) for o in (*range(0, SPAN - 7, 8), SPAN - 8)]
-        order = np.lexsort(keys[::-1])
-        differs = np.zeros(len(order), bool)
-        differs[0] = True
-        for k in keys:
-            s = k[order]
-            differs[1:] |= s[1:] != s[:-1]
-        heads = np.flatnonzero(differs)
+        order, same, owner, start = corpus_order([content[j] for j in some.tolist()], np.array(trigger, np.int64)[some], windows_a[some])
+        heads = np.flatnonzero(~same)
         low = np.minimum.reduceat(least_a[some][owner[order]], heads)
         smallest = np.empty(len(order), np.int64)
         smallest[order] = np.repeat(low, np.diff(np.append(heads, len(order))))
@@ -175,7 +247,7 @@ def _settle(t: pa.Table) -> pa.Table:
         a, b = runs_of(gone, owner)
         if len(a):
             # the runs of each entry, given to its occurrences in the entry's smallest document
-            run_entry, run_s, run_e = owner[a], start[a] - begin[owner[a]], start[b] - begin[owner[a]] + SPAN
+            run_entry, run_s, run_e = owner[a], start[a], start[b] + SPAN
             count = np.bincount(run_entry, minlength=len(some))
             slot = np.full(len(content), -1)
             slot[some] = np.arange(len(some))

@@ -123,6 +123,39 @@ def test_suffix_array(docs, none, rows):
     assert substring_dedup(none).count() == 0
 
 
+def test_corpus_order():
+    """The order from dictionary and parse is that of the windows' texts."""
+    from plexigraph.llm.pfp import GRAM, SPAN, corpus_order
+
+    rng = np.random.default_rng(6)
+    for alphabet in (1, 2, 4, 200):
+        base = bytes(rng.integers(0, alphabet, 120, dtype=np.uint8))
+        phrases, trigger, windows = [], [], []
+        for _ in range(60):
+            w = int(rng.integers(1, SPAN - GRAM + 2))
+            a = int(rng.integers(w - 1, SPAN - GRAM + 1))
+            s = int(rng.integers(0, 20))
+            text = bytearray(base[s : s + w + SPAN - 1])
+            if rng.random() < 0.5:
+                text[int(rng.integers(len(text)))] ^= 1
+            phrases.append(bytes(text))
+            trigger.append(a)
+            windows.append(w)
+        order, same, owner, start = corpus_order(phrases, np.array(trigger), np.array(windows))
+        text = [phrases[p][s : s + SPAN] for p, s in zip(owner.tolist(), start.tolist())]
+        key = [(phrases[p][s : trigger[p] + GRAM], phrases[p][trigger[p] : s + SPAN]) for p, s in zip(owner.tolist(), start.tolist())]
+        for k in range(1, len(order)):
+            a, b = order[k - 1], order[k]
+            assert key[a] <= key[b] or key[a][0] == key[b][0]
+            assert same[k] == (key[a] == key[b])
+        # windows with one trigger place in them make one run
+        runs = Counter()
+        for k, i in enumerate(order.tolist()):
+            if not same[k]:
+                runs[key[i]] += 1
+        assert set(runs.values()) == {1} and len(text) == len(order)
+
+
 def test_long_segments(spark, monkeypatch):
     from plexigraph.llm import pfp
 
