@@ -112,18 +112,34 @@ def bit_groups(n: int, pairs: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
+def agreement(n: int, pairs: np.ndarray, group: list[int]) -> float:
+    """Estimated chance that two fingerprints agree on all bits of a group.
+
+    The chances for single bits and for pairs of bits are exact, by the counts.  They are chained: each bit
+    counts given the earlier bit of its group that it goes with most, so bits that always agree count once.
+    """
+    p11 = pairs / max(1, n)
+    p = np.diag(p11)
+    one = p * p + (1 - p) * (1 - p)
+    p10, p01 = p[:, None] - p11, p[None, :] - p11
+    two = p11**2 + p10**2 + p01**2 + (1 - p11 - p10 - p01) ** 2
+    given = two / np.maximum(one[None, :], 1e-12)  # of the row's bit, given the column's
+    out = float(one[group[0]])
+    for k in range(1, len(group)):
+        out *= float(np.clip(given[group[k], group[:k]].max(), 0.0, 1.0))
+    return out
+
+
 def thresholds(n: int, pairs: np.ndarray, groups: list[list[int]], distance: int) -> tuple[float, list[int]]:
     """The cheapest thresholds by dynamic programming; cost: rows dealt out plus 1/20 for each estimated candidate."""
-    p = np.diag(pairs) / max(1, n)
-    meet = p * p + (1 - p) * (1 - p)
     need = distance + 1
     best: list[tuple[float, list[int]]] = [(0.0, [])] + [(float("inf"), [])] * need
     for g in groups:
-        b, same = len(g), float(np.prod(meet[g]))
+        b, same = len(g), agreement(n, pairs, g)
         costs = [0.0]
         for t in range(need):
             dealt = n * sum(comb((b + 1) // 2, k) for k in range(t + 1))
-            costs.append(dealt + 0.05 * n * n / 2 * same * sum(comb(b, k) for k in range(t + 1)))
+            costs.append(dealt + 0.05 * n * n / 2 * min(1.0, same * sum(comb(b, k) for k in range(t + 1))))
         best = [min(((best[s - x][0] + costs[x], [*best[s - x][1], x - 1]) for x in range(s + 1) if best[s - x][0] < float("inf")), default=(float("inf"), [])) for s in range(need + 1)]
     return best[need]
 
@@ -290,7 +306,8 @@ def simhash_groups(docs: DataFrame, distance: int = 4) -> DataFrame:
 
     Defined cases: a text without words (or null) has fingerprint zero and links like any other; repeated rows
     share a component; a null doc_id is never the smallest (component_id is null only if the whole component
-    has none); an empty table gives no rows; other columns are not read.
+    has none); an empty table gives no rows; other columns are not read.  A text is never cut: one of any length is
+    fingerprinted by itself, which takes some 200 bytes of memory a word in a Python worker.
     """
     rows = materialize(docs.select("doc_id", fingerprint("text").alias("fp")), "fingerprints")
     groups = near_groups(rows, distance)
@@ -298,18 +315,25 @@ def simhash_groups(docs: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``labelled``: (doc_id, h, label), h the text's xxhash64.  The row of each label's smallest doc_id; all columns stay."""
+    """``labelled``: (doc_id, h, label), a row for each of ``docs``, h its text's xxhash64.  The row of each label's smallest doc_id; all columns stay.
+
+    Texts move once and are not sorted, but for rows that repeat both doc_id and text, of which any one stays.
+    """
     last = F.lit((1 << 63) - 1).cast("long")
-    first = F.min(F.struct(F.coalesce("doc_id", last).alias("i"), "doc_id", "h")).alias("k")
-    keep = labelled.groupBy("label").agg(first)
-    keep = materialize(keep.select(F.col("k.doc_id").alias("__id"), F.col("k.h").alias("__h")), "keep")
-    own = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    numbered = docs.select(packed(docs), F.row_number().over(own).alias("__nth")).where("__nth = 1")
-    hit = numbered.join(keep, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("__row.text") == F.col("__h")), "left_semi")
-    return unpacked(hit, docs.columns)
+    once = labelled.groupBy("doc_id", "h").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.coalesce("doc_id", last).alias("i"), "doc_id", "h", "n")).alias("k")
+    keep = materialize(once.groupBy("label").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.h").alias("__h"), F.col("k.n").alias("__n")), "keep")
+    rows = docs.select(packed(docs), F.xxhash64("text").alias("__th"))
+    same = F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h"))
+    alone = rows.join(keep.where("__n = 1"), same, "left_semi").select("__row")
+    again = rows.join(keep.where("__n > 1"), same).withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(0)))).where("__nth = 1")
+    return unpacked(alone.unionAll(again.select("__row")), docs.columns)
 
 
 def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """``docs`` with one row for each component: that of the smallest doc_id.  All columns stay."""
+    """``docs`` with one row for each component: that of the smallest doc_id.  All columns stay.
+
+    Defined cases: those of :func:`simhash_groups`; a component without any doc_id keeps one of its rows.
+    """
     rows = materialize(docs.select("doc_id", fingerprint("text").alias("fp"), F.xxhash64("text").alias("h")), "fingerprints")
     return keep_first(docs, rows.join(near_groups(rows.select("doc_id", "fp"), distance), "fp"))

@@ -208,7 +208,10 @@ def test_simhash(docs, none, rows):
     got = simhash_groups(docs)
     assert bag(got, *got.columns) == Counter((rows[i][0], f"{prints[i]:016x}", least[group[i]]) for i in range(len(rows)))
     kept = keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(group))
+    first = {}
+    for i, g in enumerate(group):
+        first[g] = min(first.get(g, (math.inf,)), (math.inf if rows[i][0] is None else rows[i][0], rows[i][1] or "", i))
+    assert kept.columns == docs.columns and bag(kept, "doc_id") == Counter((None if x == math.inf else x,) for x, *_ in first.values())
     assert simhash_groups(none).count() == 0 and keep_one(none).count() == 0
 
 
@@ -263,6 +266,9 @@ def test_pigeonhole(spark):
     want = [simhash._find(parent, i) for i in range(len(f))]
     n, pairs = simhash.bit_counts(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long"))
     assert n == len(f)
+    # bits that always agree count once
+    twin = np.array([[50, 50, 26], [50, 50, 26], [26, 26, 52]], float)
+    assert simhash.agreement(100, twin, [0, 1]) == pytest.approx(0.5) and simhash.agreement(100, twin, [0, 1, 2]) == pytest.approx(0.25, abs=0.01)
     real = simhash.plan
     for m, crowd in ((1, 0), (2, 4096), (3, 4096), (4, 4096), (5, len(f) // 4)):
         groups = simhash.bit_groups(n, pairs, m)
