@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexigraph.operators.transforms import degrees
-from plexigraph.session import discard, materialize
+from plexigraph.plans.fixpoint import EdgeTable
+from plexigraph.session import bucketed, discard
 
 
 def pagerank(edges: DataFrame, mode: str = "cpu", max_iter: int = 200, eps: float | None = None, damping: float = 0.85, n: int | None = None, every: int = 5, stats: list | None = None) -> DataFrame:
@@ -14,15 +15,16 @@ def pagerank(edges: DataFrame, mode: str = "cpu", max_iter: int = 200, eps: floa
 
     cpu: vertices without in-edges stay at 1, and what dangling vertices hold is lost.
     gpu: all vertices are updated, and what dangling vertices hold is shared by all ``n`` (default: those with edges).
+    Edges lie in buckets by source and ranks in buckets by id, so a round shuffles the contributions alone.
     """
-    d = materialize(degrees(edges), "degrees")
+    table = EdgeTable(edges.select("src", "dst"))
+    d = bucketed(degrees(edges).select("id", "out_degree", "in_degree"), table.n, ["id"], "degrees")
     n = d.count() if n is None else n
-    out = d.select(F.col("id").alias("src"), F.col("out_degree").alias("od"))
-    links = materialize(edges.select("src", "dst").join(out, "src").repartition("src"), "links")
     ranks = d.select("id", "out_degree", "in_degree", F.lit(1.0).alias("pr"), F.lit(1.0).alias("old"))
     held: DataFrame | None = None
     for k in range(max_iter):
-        sent = ranks.select(F.col("id").alias("src"), "pr").join(links, "src").groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("pr") / F.col("od")).alias("acc"))
+        share = ranks.where("out_degree > 0").select("id", (F.col("pr") / F.col("out_degree")).alias("share"))
+        sent = table.out_of(share).groupBy(F.col("dst").alias("to")).agg(F.sum("share").alias("acc"))
         lost = F.lit(0.0)
         if mode == "gpu":
             # one number a round; its own job, so that the state must be a table
@@ -32,7 +34,7 @@ def pagerank(edges: DataFrame, mode: str = "cpu", max_iter: int = 200, eps: floa
             new = F.when(F.col("in_degree") == 0, F.lit(1.0)).otherwise(new)
         ranks = ranks.join(sent, F.col("id") == F.col("to"), "left").select("id", "out_degree", "in_degree", new.alias("pr"), F.col("pr").alias("old"))
         if eps is not None or (k + 1) % every == 0 or mode == "gpu":
-            ranks = materialize(ranks, "ranks")
+            ranks = bucketed(ranks, table.n, ["id"], "ranks")
             if held is not None:
                 discard(held)
             held = ranks

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexigraph.operators.transforms import symmetrize, vertices
-from plexigraph.plans.fixpoint import VertexProgram, run_program
+from plexigraph.plans.fixpoint import Superstep, VertexProgram, run_program
 from plexigraph.session import materialize
 
 
-def cc(edges: DataFrame, directed: bool = True, stats: list | None = None) -> DataFrame:
+def cc(edges: DataFrame, directed: bool = True, stats: list[Superstep] | None = None) -> DataFrame:
     """(id, label): the smallest id from which a vertex can be reached (itself included).
 
     Labels move along edges; with ``directed=False`` both ways, which gives weak components.
@@ -21,7 +21,7 @@ def cc(edges: DataFrame, directed: bool = True, stats: list | None = None) -> Da
     return out.withColumnRenamed("value", "label")
 
 
-def sssp(edges: DataFrame, source: Column | None = None, weighted: bool = True, stats: list | None = None) -> DataFrame:
+def sssp(edges: DataFrame, source: Column | None = None, weighted: bool = True, stats: list[Superstep] | None = None) -> DataFrame:
     """(id, dist): least distance from any source; null where none reaches.  Sources: id mod 100 = 1 unless given."""
     source = F.col("id") % 100 == 1 if source is None else source
     weight = F.col("weight") if weighted and "weight" in edges.columns else F.lit(1).cast("long")
