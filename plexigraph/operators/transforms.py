@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexigraph.plans.prefix import numbered, prefix_sums, running
+
 
 def no_loops(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst")
@@ -49,7 +51,7 @@ def with_degree_sum(edges: DataFrame) -> DataFrame:
 
 def degree_order(edges: DataFrame) -> DataFrame:
     """Edges numbered from 1 by (degree sum, src, dst); the last two settle ties that an unstable sort leaves open."""
-    return with_degree_sum(edges).withColumn("idx", F.row_number().over(Window.orderBy("degsum", "src", "dst")).cast("long"))
+    return numbered(with_degree_sum(edges), "idx", [F.col(c) for c in ("degsum", "src", "dst")])
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -61,9 +63,8 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def csr(edges: DataFrame) -> DataFrame:
     """(id, offset, n): where each vertex's targets begin in one array sorted by (src, dst)."""
-    n = adjacency(edges).select("id", "n")
-    before = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return n.select("id", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("offset"), "n")
+    n = degrees(edges).select("id", F.col("out_degree").alias("n"))
+    return running(n, "offset", F.col("n"), [F.col("id")]).select("id", "offset", "n")
 
 
 def reverse_edges(edges: DataFrame) -> DataFrame:
@@ -116,3 +117,14 @@ def merge_hierarchical(edges: DataFrame, inner: int = 8) -> DataFrame:
 def visited(state: DataFrame, value: str = "active") -> DataFrame:
     """How many vertices are active."""
     return state.agg(F.coalesce(F.sum((F.col(value) != 0).cast("long")), F.lit(0)).alias("n"))
+
+
+def local_ids(members: DataFrame) -> DataFrame:
+    """``members``: (id, part).  Adds ``local``: the vertex's place among its part's, by id, from 0 on."""
+    placed = prefix_sums(members.select("id", "part").distinct(), F.col("part"), F.lit(1), [F.col("id")], "local")
+    return placed.select("__row.id", "__row.part", F.col("__before").alias("local"))
+
+
+def localize(local: DataFrame, vector: DataFrame) -> DataFrame:
+    """A vector by vertex (id, value) as each part sees it: (part, local, value)."""
+    return local.join(vector, "id").select("part", "local", "value")
