@@ -73,6 +73,11 @@ def sparse_matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("ax") * F.col("bx")).alias("x"))
 
 
+def sparse_matmul_grad(a: DataFrame, grad: DataFrame) -> DataFrame:
+    """(i, j, x): the gradient of the product's second matrix, a transposed times ``grad``; all in long form."""
+    return sparse_matmul(a.select(F.col("j").alias("i"), F.col("i").alias("j"), "x"), grad)
+
+
 def relu(x: DataFrame) -> DataFrame:
     return x.select("id", F.transform("x", lambda v: F.greatest(v, F.lit(0.0))).alias("x"))
 
@@ -91,6 +96,11 @@ def dropout(x: DataFrame, p: float = 0.0, seed: int = 1234) -> DataFrame:
     return x.select("id", F.transform("x", lambda v, j: F.when(draw(j) >= p, v / (1 - p)).otherwise(0.0)).alias("x"))
 
 
+def dropout_grad(grad: DataFrame, p: float = 0.0, seed: int = 1234) -> DataFrame:
+    """The gradient through :func:`dropout` of the same seed: what was kept is kept and scaled alike, whatever its value."""
+    return dropout(grad, p, seed)
+
+
 def truth(labels: DataFrame, split: int) -> DataFrame:
     """(id, truth): the label where the split matches, else -1."""
     return labels.select("id", F.when(F.col("split") == split, F.col("label")).otherwise(-1).alias("truth"))
@@ -133,13 +143,14 @@ def dequantize(q: DataFrame) -> DataFrame:
     return q.select("id", F.transform("q", lambda v: F.col("low") + (F.col("high") - F.col("low")) * v / 255).alias("x"))
 
 
-def cached_sync(values: DataFrame, cache: DataFrame, error: float) -> DataFrame:
-    """(id, x, sent): the cached row, moved to the new values only where the largest change is above ``error`` times the largest value."""
-    rows = values.join(cache.select("id", F.col("x").alias("c")), "id", "left")
+def cached_sync(values: DataFrame, cache: DataFrame, error: float, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys, x, sent): the cached row, moved to the new values only where the largest change is above ``error`` times the largest value."""
+    on = [F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in keys]
+    rows = values.join(cache.select(*[F.col(k).alias(f"c_{k}") for k in keys], F.col("x").alias("c")), on, "left")
     old = F.coalesce("c", F.transform("x", lambda v: F.lit(0.0)))
     diff = F.array_max(F.zip_with("x", old, lambda a, b: F.abs(a - b)))
     sent = diff > F.array_max(F.transform("x", lambda v: F.abs(v))) * error
-    return rows.select("id", F.when(sent, F.col("x")).otherwise(old).alias("x"), sent.alias("sent"))
+    return rows.select(*keys, F.when(sent, F.col("x")).otherwise(old).alias("x"), sent.alias("sent"))
 
 
 def delay_rate(synced: DataFrame) -> DataFrame:
@@ -147,6 +158,45 @@ def delay_rate(synced: DataFrame) -> DataFrame:
     return synced.agg(F.avg(F.col("sent").cast("double")).alias("sent_rate"))
 
 
+def delay_rates(rounds: DataFrame, window: int = 10) -> DataFrame:
+    """``rounds``: (epoch, layer, direction, rows, sent) of each sync.  (window, layer, direction, rate) every ``window`` epochs.
+
+    The rate is what was sent of the rows of a full sync, a round: the first epoch of a window syncs in full, so
+    window - 1 rounds count.
+    """
+    own = rounds.withColumn("window", F.floor((F.col("epoch") - 1) / window).cast("int"))
+    return own.groupBy("window", "layer", "direction").agg((F.sum("sent") / F.max("rows") / (window - 1)).alias("rate"))
+
+
+@dataclass
+class SyncSchedule:
+    """When replicas sync in full: forward at step 0 and at each 100 steps' fifth, backward at each tenth; a step ends with its backward pass."""
+
+    step: int = 0
+
+    def forward_full(self) -> bool:
+        return self.step == 0 or self.step % 100 == 5
+
+    def backward_full(self) -> bool:
+        return self.step % 10 == 0
+
+    def advance(self) -> None:
+        self.step += 1
+
+
+@dataclass
+class Progress:
+    """Moving average of the training accuracy, and the forward error bound, which narrows when accuracy falls below the average."""
+
+    mean_accuracy: float = 0.0
+    error: float = 0.1
+
+    def update(self, accuracy: float) -> None:
+        if accuracy < self.mean_accuracy - 0.001:
+            self.error *= 0.9
+        self.mean_accuracy = 0.95 * self.mean_accuracy + 0.05 * accuracy
+
+
 def glorot(n: int, m: int, seed: int) -> np.ndarray:
     return (np.random.default_rng(seed).random((n, m)) - 0.5) * 2 * np.sqrt(6 / (n + m))
 
@@ -188,29 +238,114 @@ def l2(w: np.ndarray, decay: float = 5e-4) -> float:
     return float(decay * (w * w).sum() / 2)
 
 
+def l2_table(weights: DataFrame, decay: float = 5e-4) -> DataFrame:
+    """One row: the penalty of a weight matrix in long form (w)."""
+    return weights.agg((F.lit(decay) * F.sum(F.col("w") * F.col("w")) / 2).alias("penalty"))
+
+
+def adam_table(weights: DataFrame, step: int, adam: Adam | None = None) -> DataFrame:
+    """One step over a matrix in long form: ``weights`` has w, g (gradient), m, v (moments) and any keys; w, m and v are renewed."""
+    a = adam or Adam()
+    g = F.col("g") + a.decay * F.col("w")
+    m, v = a.beta1 * F.col("m") + (1 - a.beta1) * g, a.beta2 * F.col("v") + (1 - a.beta2) * g * g
+    rate = a.lr * float(np.sqrt(1 - a.beta2**step)) / (1 - a.beta1**step)
+    new = {"w": F.col("w") - rate * m / (F.sqrt(v) + a.eps), "m": m, "v": v}
+    return weights.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in weights.columns])
+
+
 def forward(coef: DataFrame, x: DataFrame, weights: list[np.ndarray]) -> tuple[DataFrame, DataFrame]:
     """(hidden before ReLU, logits)."""
     hidden = graph_sum(coef, matmul(x, weights[0]), weights[0].shape[1])
     return hidden, graph_sum(coef, matmul(relu(hidden), weights[1]), weights[1].shape[1])
 
 
-def train(coef: DataFrame, x: DataFrame, labels: DataFrame, weights: list[np.ndarray], epochs: int, adam: Adam | None = None) -> tuple[list[np.ndarray], list[tuple[int, float, float]]]:
-    """Full-graph training.  Returns the weights and (epoch, loss with L2, accuracy) of the training split."""
-    adam = adam or Adam()
+@dataclass(frozen=True)
+class Epoch:
+    """One epoch: loss with L2 and accuracy of the training split, the same of the validation split where it was taken, the moving average."""
+
+    epoch: int
+    loss: float
+    accuracy: float
+    val_loss: float | None
+    val_accuracy: float | None
+    mean_accuracy: float
+
+
+class CachedSums:
+    """Sums over edges by part, of which a vertex's total is the sum of what each part has sent last.
+
+    ``coef``: (src, dst, coef, part).  A part sends its partial row of a vertex if it has moved by more than the error
+    bound allows, or all of them in a full sync.
+    """
+
+    def __init__(self, coef: DataFrame) -> None:
+        self.coef, self.caches = coef, {}
+        self.rounds: list[tuple[int, int, str, int, int]] = []
+
+    def sum(self, x: DataFrame, width: int, layer: int, direction: str, epoch: int, error: float | None) -> DataFrame:
+        """(id, x).  ``error``: the bound, or None for a full sync."""
+        src, dst = ("dst", "src") if direction == "backward" else ("src", "dst")
+        sent = self.coef.join(x, self.coef[src] == x["id"]).select(F.col(dst).alias("to"), "part", "coef", "x")
+        cells = [f"x{j}" for j in range(width)]
+        parts = sent.groupBy("to", "part").agg(*[F.sum(F.col("coef") * F.col("x")[j]).alias(c) for j, c in enumerate(cells)])
+        parts = parts.select(F.col("to").alias("id"), "part", F.array(*cells).alias("x"))
+        old = self.caches.get((layer, direction))
+        if error is None or old is None:
+            now = parts.withColumn("sent", F.lit(True))
+        else:
+            now = cached_sync(parts, old, error, ("id", "part"))
+        now = materialize(now, "cache")
+        if old is not None:
+            discard(old)
+        self.caches[layer, direction] = now
+        n = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("sent").cast("long")), F.lit(0))).first()
+        self.rounds.append((epoch, layer, direction, n[0], n[1]))
+        total = now.groupBy("id").agg(*[F.sum(F.col("x")[j]).alias(c) for j, c in enumerate(cells)])
+        return total.select("id", F.array(*cells).alias("x"))
+
+
+def train(
+    coef: DataFrame, x: DataFrame, labels: DataFrame, weights: list[np.ndarray], epochs: int, adam: Adam | None = None, validate: int | None = 2, cached: bool = False,
+    log: list[Epoch] | None = None, rounds: list[tuple[int, int, str, int, int]] | None = None,
+) -> tuple[list[np.ndarray], list[tuple[int, float, float]]]:
+    """Full-graph training.  Returns the weights and (epoch, loss with L2, accuracy) of the training split.
+
+    The split ``validate`` is evaluated with the new weights in the first nine epochs and then in each tenth (None:
+    never).  With ``cached``, ``coef`` has a part and replicas sync by :class:`SyncSchedule`: in the forward pass
+    within the error bound that :class:`Progress` keeps, in the backward pass whatever moved.  ``log`` gets an
+    :class:`Epoch` for each, ``rounds`` (epoch, layer, direction, rows, rows sent) for each sync.
+    """
+    adam, progress, schedule = adam or Adam(), Progress(), SyncSchedule()
     coef = materialize(coef, "coef")
+    sums = CachedSums(coef) if cached else None
     true = truth(labels, 1)
-    log = []
+    out = []
+
+    def over_edges(y: DataFrame, width: int, layer: int, epoch: int, backward: bool = False) -> DataFrame:
+        if sums is None:
+            return graph_sum(coef, y, width, backward)
+        full = schedule.backward_full() if backward else schedule.forward_full()
+        return sums.sum(y, width, layer, "backward" if backward else "forward", epoch, None if full else 0.0 if backward else progress.error)
+
     for epoch in range(1, epochs + 1):
-        hidden, _ = forward(coef, x, weights)
-        hidden = materialize(hidden, "hidden")
-        logits = materialize(graph_sum(coef, matmul(relu(hidden), weights[1]), weights[1].shape[1]), "logits")
+        hidden = materialize(over_edges(matmul(x, weights[0]), weights[0].shape[1], 0, epoch), "hidden")
+        logits = materialize(over_edges(matmul(relu(hidden), weights[1]), weights[1].shape[1], 1, epoch), "logits")
         row = evaluate(logits, true).first()
-        log.append((epoch, row["loss"] + l2(weights[0], adam.decay), row["accuracy"]))
-        g2 = materialize(graph_sum(coef, cross_entropy_grad(logits, true), weights[1].shape[1], backward=True), "grad")
+        out.append((epoch, row["loss"] + l2(weights[0], adam.decay), row["accuracy"]))
+        g2 = materialize(over_edges(cross_entropy_grad(logits, true), weights[1].shape[1], 1, epoch, backward=True), "grad")
         dw2 = matmul_weight_grad(relu(hidden), g2, weights[1].shape)
-        g1 = graph_sum(coef, relu_grad(matmul(g2, weights[1].T), hidden), weights[0].shape[1], backward=True)
+        g1 = over_edges(relu_grad(matmul(g2, weights[1].T), hidden), weights[0].shape[1], 0, epoch, backward=True)
         dw1 = matmul_weight_grad(x, g1, weights[0].shape)
         weights = adam.update(weights, [dw1, dw2])
+        schedule.advance()
+        progress.update(row["accuracy"])
         for t in (hidden, logits, g2):
             discard(t)
-    return weights, log
+        val = None
+        if validate is not None and (epoch < 10 or epoch % 10 == 0):
+            val = evaluate(forward(coef, x, weights)[1], truth(labels, validate)).first()
+        if log is not None:
+            log.append(Epoch(*out[-1], val and val["loss"] + l2(weights[0], adam.decay), val and val["accuracy"], progress.mean_accuracy))
+    if sums is not None and rounds is not None:
+        rounds += sums.rounds
+    return weights, out

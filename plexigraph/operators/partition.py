@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexigraph.operators.transforms import degree_order, vertices
+from plexigraph.operators.transforms import degree_order, merge_hierarchical, vertices
+from plexigraph.plans.prefix import numbered
 
 
 def _greedy(edges: list[tuple[int, int]], n: int, m: int, k: int, alpha: float, beta: float, gama: float = 0.0, per_node: int = 1, share: bool = False) -> list[int]:
@@ -69,8 +70,11 @@ def ebv(edges: DataFrame, k: int = 4, alpha: float = 1.0, beta: float = 1.0, gam
     return order.coalesce(1).sortWithinPartitions("idx").mapInPandas(assign, "idx long, src long, dst long, part int")
 
 
-def ebv_two_level(edges: DataFrame, outer: int = 4, inner: int = 2, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
-    """Parts ``outer`` by destination, each cut again by the greedy assignment, in parallel: part = outer * inner + inner's."""
+def ebv_hierarchical(assigned: DataFrame, inner: int = 2, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
+    """Each part of an earlier partition ``assigned`` (src, dst, part) cut again by the greedy assignment, in parallel: part * inner + the inner part.
+
+    ``idx`` is the edge's place within its outer part.  An outer part must fit one task.
+    """
 
     def split(frame: pd.DataFrame) -> pd.DataFrame:
         d = pd.concat([frame["src"], frame["dst"]]).value_counts()
@@ -78,13 +82,18 @@ def ebv_two_level(edges: DataFrame, outer: int = 4, inner: int = 2, alpha: float
         own = _greedy(list(zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True)), len(d), len(frame), inner, alpha, beta)
         return pd.DataFrame({"src": frame["src"], "dst": frame["dst"], "part": (frame["outer"] * inner + pd.Series(own)).astype("int32"), "idx": range(1, len(frame) + 1)})
 
-    rows = edges.select("src", "dst", F.pmod("dst", F.lit(outer)).cast("int").alias("outer"))
+    rows = assigned.select("src", "dst", F.col("part").cast("int").alias("outer"))
     return rows.groupBy("outer").applyInPandas(split, "src long, dst long, part int, idx long")
 
 
-def _batches(top: int) -> Iterator[tuple[int, int]]:
-    """(start, size): sizes from 10 on, each 1.3 times the one before, at most 1000."""
-    start, size = 0, 10
+def ebv_two_level(edges: DataFrame, outer: int = 4, inner: int = 2, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
+    """:func:`ebv_hierarchical` over parts by destination, which need no state."""
+    return ebv_hierarchical(dst_owner(edges, outer), inner, alpha, beta)
+
+
+def _batches(top: int, size: int = 10) -> Iterator[tuple[int, int]]:
+    """(start, size): each size 1.3 times the one before, at most 1000."""
+    start = 0
     while start < top:
         yield start, size
         start += size
@@ -98,7 +107,7 @@ def bulk_sync(edges: DataFrame, k: int = 4, alpha: float = 1.0, beta: float = 1.
     Returns src, dst, part and host_part: the rank that holds a second copy (null without ``backup``).
     """
     n = vertices(edges).count()
-    numbered = edges.select("src", "dst", (F.row_number().over(Window.orderBy("src", "dst")) - 1).alias("i"))
+    every_edge = numbered(edges.select("src", "dst"), "i", [F.col("src"), F.col("dst")], 0)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(frames), ignore_index=True).sort_values("i")
@@ -141,7 +150,8 @@ def bulk_sync(edges: DataFrame, k: int = 4, alpha: float = 1.0, beta: float = 1.
         if backup and k > 1:
             out = []
             own_load, own_count = [list(load) for _ in range(k)], [list(count) for _ in range(k)]
-            for start, size in _batches(max(map(len, held))):
+            # round sizes go on from where the first pass has left them
+            for start, size in _batches(max(map(len, held)), min(int(size * 1.3), 1000)):
                 new: list[tuple[int, int, int]] = []
                 for r in range(k):
                     for u, v in held[r][start : start + size]:
@@ -160,7 +170,7 @@ def bulk_sync(edges: DataFrame, k: int = 4, alpha: float = 1.0, beta: float = 1.
                     has[j] |= {u, v}
         yield pd.DataFrame(out, columns=["src", "dst", "part", "host_part"]).astype({"part": "int32", "host_part": "Int32"})
 
-    return numbered.coalesce(1).mapInPandas(run, "src long, dst long, part int, host_part int")
+    return every_edge.coalesce(1).mapInPandas(run, "src long, dst long, part int, host_part int")
 
 
 def dst_owner(edges: DataFrame, k: int = 4) -> DataFrame:
@@ -169,8 +179,25 @@ def dst_owner(edges: DataFrame, k: int = 4) -> DataFrame:
 
 
 def by_vertex_part(edges: DataFrame, owner: DataFrame) -> DataFrame:
-    """Each edge to the part that ``owner`` (id, part) gives its destination."""
-    return edges.select("src", "dst").join(owner.select(F.col("id").alias("dst"), "part"), "dst").select("src", "dst", "part")
+    """Each edge to the part that ``owner`` (id, part) gives its destination.  Raises if either end has no owner."""
+    own = owner.select("id", "part")
+    rows = edges.select("src", "dst").join(own.select(F.col("id").alias("dst"), "part"), "dst", "left")
+    rows = rows.join(own.select(F.col("id").alias("src"), F.col("part").alias("home")), "src", "left")
+    missing = F.raise_error(F.concat(F.lit("no part for an end of edge "), F.col("src").cast("string"), F.lit(" "), F.col("dst").cast("string")))
+    return rows.select("src", "dst", F.when(F.col("part").isNull() | F.col("home").isNull(), missing).otherwise(F.col("part")).cast("int").alias("part"))
+
+
+def by_vertex_routes(edges: DataFrame, owner: DataFrame) -> DataFrame:
+    """(id, part, master_part) of the vertices that :func:`by_vertex_part` puts on two parts or more; the master is the vertex's own part.
+
+    Raises if a vertex's own part holds none of its edges.
+    """
+    r = replicas(by_vertex_part(edges, owner)).drop("first")
+    home = owner.select("id", F.col("part").alias("home"))
+    every = Window.partitionBy("id")
+    r = r.join(home, "id").withColumn("size", F.count(F.lit(1)).over(every)).withColumn("held", F.max((F.col("part") == F.col("home")).cast("int")).over(every))
+    lost = F.raise_error(F.concat(F.lit("part of vertex "), F.col("id").cast("string"), F.lit(" holds none of its edges")))
+    return r.where("size > 1").select("id", "part", F.when(F.col("held") == 1, F.col("home")).otherwise(lost).cast("int").alias("master_part"))
 
 
 def replicas(assigned: DataFrame) -> DataFrame:
@@ -179,7 +206,7 @@ def replicas(assigned: DataFrame) -> DataFrame:
     ``assigned`` may bring its order as ``idx``; else (src, dst) orders it.
     """
     if "idx" not in assigned.columns:
-        assigned = assigned.withColumn("idx", F.row_number().over(Window.orderBy("src", "dst")).cast("long"))
+        assigned = numbered(assigned, "idx", [F.col("src"), F.col("dst")])
     ends = assigned.select(F.col("src").alias("id"), "part", (2 * F.col("idx")).alias("at")).unionAll(assigned.select("dst", "part", 2 * F.col("idx") + 1))
     return ends.groupBy("id", "part").agg(F.min("at").alias("first"))
 
@@ -238,6 +265,60 @@ def master_dense(assigned: DataFrame, per_node: int = 2) -> DataFrame:
     return _elected(r, F.max_by("part", F.struct("on_node", "first")).over(Window.partitionBy("id"))).drop("first", "on_node")
 
 
+def master_near_hash(assigned: DataFrame, per_node: int = 2) -> DataFrame:
+    """(id, part, master_part): the ascending replica at id mod their number if its node holds the most replicas, else the least part on such a node."""
+    every = Window.partitionBy("id")
+    r = replicas(assigned).withColumn("on_node", F.count(F.lit(1)).over(Window.partitionBy("id", F.floor(F.col("part") / per_node))))
+    r = r.withColumn("most", F.max("on_node").over(every))
+    dense = F.array_sort(F.collect_list(F.when(F.col("on_node") == F.col("most"), F.col("part"))).over(every))
+    first = F.element_at("all", (F.col("id") % F.col("size") + 1).cast("int"))
+    out = r.withColumn("dense", dense).withColumn("size", F.count(F.lit(1)).over(every)).where("size > 1").withColumn("all", F.sort_array(F.collect_list("part").over(every)))
+    return out.select("id", "part", F.when(F.array_contains("dense", first), first).otherwise(F.element_at("dense", 1)).alias("master_part"))
+
+
+def induced_partition(assigned: DataFrame, active: DataFrame, per_node: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Edges of ``assigned`` with both ends in ``active`` (id), and their routes (id, part, master_part) derived again."""
+    keep = active.select("id").distinct()
+    rows = assigned.join(keep, assigned["src"] == keep["id"], "left_semi").join(keep, assigned["dst"] == keep["id"], "left_semi")
+    return rows, master_near_hash(rows, per_node)
+
+
+def import_external(assigned: DataFrame, idmap: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A partition made elsewhere: edges (src, dst, part) with a loop for each vertex on its master, and routes (id, part, master_part).
+
+    ``assigned``: idx (order of the file), src, dst, part.  ``idmap``: (a, b), id a is called b here; raises for an id that it
+    lacks.  The master is the replica at id mod their number, in the order in which they first appear.
+    """
+    rows = assigned.select("idx", "src", "dst", "part")
+    if idmap is not None:
+        for end in ("src", "dst"):
+            m = idmap.select(F.col("a").alias("was"), F.col("b").alias("now"))
+            lost = F.raise_error(F.concat(F.lit("no new id for "), F.col(end).cast("string")))
+            rows = rows.join(m, F.col(end) == F.col("was"), "left").withColumn(end, F.when(F.col("now").isNull(), lost).otherwise(F.col("now"))).drop("was", "now")
+    r = replicas(rows)
+    order = F.transform(F.array_sort(F.collect_list(F.struct("first", "part"))), lambda x: x["part"])
+    masters = r.groupBy("id").agg(order.alias("all")).select("id", "all", F.element_at("all", (F.col("id") % F.size("all") + 1).cast("int")).alias("master_part"))
+    loops = masters.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.col("master_part").alias("part"))
+    edges = rows.where("src <> dst").select("src", "dst", "part").unionAll(loops)
+    routes = masters.where(F.size("all") > 1).select("id", F.explode("all").alias("part"), "master_part")
+    return edges, routes
+
+
+def merged_partition(edges: DataFrame, inner: int = 8, per_node: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Partitions of partitions (outer, inner_part, idx, src, dst) as one: edges (src, dst, part, idx), routes by the densest node, metrics."""
+    rows = merge_hierarchical(edges, inner)
+    k = (rows.agg(F.max("part")).first()[0] or 0) + 1
+    # files are read in turn, a line of each
+    order = numbered(rows, "at", [F.col("idx"), F.col("part")]).select("src", "dst", "part", F.col("at").alias("idx"))
+    return rows, master_dense(order, per_node), metrics(order, k)
+
+
+def master_back_rows(elected: DataFrame, backups: DataFrame) -> DataFrame:
+    """(id, crashed_part, host_part, mirrors): what the backup master keeps of the master's list, without itself."""
+    m = master_routes(elected).join(backups.select("id", "backup_part"), "id")
+    return m.select("id", F.col("master_part").alias("crashed_part"), F.col("backup_part").alias("host_part"), F.array_remove("mirrors", F.col("backup_part")).alias("mirrors"))
+
+
 def mirror_routes(elected: DataFrame) -> DataFrame:
     """(id, part, master_part) of the mirrors alone."""
     return elected.where("part <> master_part").select("id", "part", "master_part")

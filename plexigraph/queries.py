@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexigraph.functions import attribute, clean
-from plexigraph.operators import gcn, pagerank, partition, paths, transforms
+from plexigraph.operators import gcn, pagerank, partition, paths, sets, transforms
+from plexigraph.plans.fixpoint import Superstep
+from plexigraph.plans.prefix import numbered, prefix_sums
 from plexigraph.sources import files, graphs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 G_MULTI = """gm AS (SELECT src, dst, weight FROM (SELECT o_custkey AS src, lead(o_custkey) OVER (PARTITION BY date_trunc('month', o_orderdate) ORDER BY o_orderkey) AS dst,
-    1 + o_orderkey % 7 AS weight FROM orders WHERE o_orderpriority = '1-URGENT') WHERE dst IS NOT NULL)"""
+    1 + o_orderkey % 7 AS weight FROM orders) WHERE dst IS NOT NULL)"""
 G_CUST = G_MULTI + ", e AS (SELECT src, dst, min(weight) AS weight FROM gm WHERE src <> dst GROUP BY src, dst)"
 V = "v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"
 DEG = "d AS (SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY id)"
@@ -87,7 +89,7 @@ def csr_offsets(spark, sf):
     return transforms.csr(graphs.g_cust(spark, sf))
 
 
-G_USER = "u AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'purchase') WHERE dst IS NOT NULL AND dst <> src)"
+G_USER = "u AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL AND dst <> src)"
 
 
 @query(_with(G_USER) + "SELECT a.src, a.dst FROM u a JOIN u b ON a.src = b.dst AND a.dst = b.src")
@@ -97,10 +99,7 @@ def reverse_edges(spark, sf):
 
 @query(_with(G_USER, "i AS (SELECT row_number() OVER (ORDER BY src, dst) AS idx, src, dst FROM u)") + "SELECT a.idx, a.src, a.dst FROM i a JOIN i b ON a.src = b.dst AND a.dst = b.src AND a.idx >= b.idx ORDER BY 1 LIMIT 1")
 def first_reverse_edge(spark, sf):
-    from pyspark.sql import Window
-
-    u = graphs.g_user(spark, sf)
-    return transforms.first_reverse(u.withColumn("idx", F.row_number().over(Window.orderBy("src", "dst")).cast("long")))
+    return transforms.first_reverse(numbered(graphs.g_user(spark, sf), "idx", [F.col("src"), F.col("dst")]))
 
 
 @query(_with(G_CUST, "b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)") + "SELECT id, coalesce(string_agg((dst + 1)::VARCHAR, ' ' ORDER BY dst), '') AS line FROM range((SELECT max(greatest(src, dst)) + 1 FROM e)) t(id) LEFT JOIN b ON src = id GROUP BY id")
@@ -151,10 +150,9 @@ def features_text(spark, sf):
 
 @query(_with(G_CUST) + "SELECT src, dst, ((src % 4) * 2 + dst % 2)::INT AS part, row_number() OVER (PARTITION BY src % 4, dst % 2 ORDER BY src, dst) AS idx FROM e")
 def merge_hierarchical(spark, sf):
-    from pyspark.sql import Window
-
     g = graphs.g_cust(spark, sf).select("src", "dst", (F.col("src") % 4).cast("int").alias("outer"), (F.col("dst") % 2).cast("int").alias("inner_part"))
-    g = g.withColumn("idx", F.row_number().over(Window.partitionBy("outer", "inner_part").orderBy("src", "dst")).cast("long"))
+    placed = prefix_sums(g, F.col("outer") * 2 + F.col("inner_part"), F.lit(1), [F.col("src"), F.col("dst")])
+    g = placed.select("__row.*", (F.col("__before") + 1).alias("idx"))
     return transforms.merge_hierarchical(g, 2)
 
 
@@ -207,12 +205,29 @@ def sssp_weighted(spark, sf):
     return paths.sssp(graphs.g_cust(spark, sf))
 
 
-@query()
+def _steps_sql(rounds: int = 16) -> str:
+    """Changes of each superstep of the directed components, unrolled; on larger graphs than the rounds allow the sum of changes tells."""
+    parts = [G_CUST, V, "p0 AS (SELECT id, id AS label FROM v)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"p{k} AS MATERIALIZED (SELECT p.id, least(p.label, coalesce(n.label, p.label)) AS label FROM p{k - 1} p LEFT JOIN (SELECT dst AS id, min(label) AS label FROM e JOIN p{k - 1} ON p{k - 1}.id = src GROUP BY dst) n ON n.id = p.id)")
+        senders = "(SELECT id FROM v)" if k == 1 else f"(SELECT a.id FROM p{k - 1} a JOIN p{k - 2} b ON a.id = b.id AND a.label <> b.label)"
+        parts.append(f"s{k} AS (SELECT {k - 1} AS step, (SELECT count(*) FROM {senders}) AS senders, (SELECT count(*) FROM e WHERE src IN {senders}) AS messages, (SELECT count(DISTINCT dst) FROM e WHERE src IN {senders}) AS receivers, (SELECT count(*) FROM p{k} a JOIN p{k - 1} b ON a.id = b.id AND a.label <> b.label) AS active)")
+    return _with(*parts) + "SELECT step::INT AS step, senders, messages, receivers, active FROM (" + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(1, rounds + 1)) + ") WHERE senders > 0"
+
+
+@query(_steps_sql())
 def superstep_stats(spark, sf):
-    """(step, active): vertices that changed in each superstep of the directed components."""
-    stats: list[tuple[int, int]] = []
+    """What each superstep of the directed components did."""
+    stats: list[Superstep] = []
     paths.cc(graphs.g_cust(spark, sf), stats=stats)
-    return spark.createDataFrame(stats, "step int, active long")
+    return spark.createDataFrame([(x.step, x.senders, x.messages, x.receivers, x.active) for x in stats], "step int, senders long, messages long, receivers long, active long")
+
+
+@query(_with(G_CUST, V, CC.format(e="e"), recursive=True) + "SELECT count(*) FILTER (label <> id) AS n FROM cc")
+def visited_count(spark, sf):
+    """Vertices whose label has moved."""
+    labels = paths.cc(graphs.g_cust(spark, sf))
+    return transforms.visited(labels.select("id", (F.col("label") != F.col("id")).cast("int").alias("active")))
 
 
 @query(_with(G_CUST, V) + "SELECT p.p, v.id AS v FROM (VALUES (1::BIGINT, 1), (2, 2)) p(p, attr) JOIN v ON v.id % 100 = p.attr WHERE p.p = 2 OR EXISTS (SELECT 1 FROM e WHERE src = v.id AND dst % 100 = 2)")
@@ -245,11 +260,15 @@ def pagerank_gpu_k10(spark, sf):
 # ---- partitioning
 
 
-def _greedy_sql(alpha: str, beta: str, gama: float = 0, k: int = 4) -> str:
-    lack = lambda x: f"(CASE WHEN list_contains(has[j + 1], {x}) THEN 0.0 ELSE -1.0" + (f" + CASE WHEN list_contains(has[(j // 2) * 2 + 1], {x}) OR list_contains(has[(j // 2) * 2 + 2], {x}) THEN {gama} ELSE 0.0 END" if gama else "") + " END)::DOUBLE"
+def _greedy_sql(alpha: str, beta: str, gama: float = 0, k: int = 4, share: bool = False, edges: str = G_CUST) -> str:
+    if share:  # in proportion to the node's replicas
+        bonus = lambda x: f" + {gama} * ((CASE WHEN list_contains(has[(j // 2) * 2 + 1], {x}) THEN 1 ELSE 0 END) + (CASE WHEN list_contains(has[(j // 2) * 2 + 2], {x}) THEN 1 ELSE 0 END)) / 2.0"
+    else:
+        bonus = lambda x: f" + CASE WHEN list_contains(has[(j // 2) * 2 + 1], {x}) OR list_contains(has[(j // 2) * 2 + 2], {x}) THEN {gama} ELSE 0.0 END"
+    lack = lambda x: f"(CASE WHEN list_contains(has[j + 1], {x}) THEN 0.0 ELSE -1.0" + (bonus(x) if gama else "") + " END)::DOUBLE"
     score = f"({lack('u')} + {lack('w')} - {alpha}::DOUBLE * load[j + 1] / full_ - {beta}::DOUBLE * cnt[j + 1] / n * {k})"
     return _with(
-        G_CUST, DEG, ORDER, f"k AS (SELECT greatest(1, (SELECT count(*) FROM e) // {k}) AS full_, (SELECT count(*) FROM d)::DOUBLE AS n)",
+        edges, DEG, ORDER, f"k AS (SELECT greatest(1, (SELECT count(*) FROM e) // {k}) AS full_, (SELECT count(*) FROM d)::DOUBLE AS n)",
         f"""g(idx, src, dst, part, load, cnt, has) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::INT, list_value({", ".join(["0::BIGINT"] * k)}), list_value({", ".join(["0::BIGINT"] * k)}), list_value({", ".join(["[]::BIGINT[]"] * k)})
         UNION ALL SELECT idx, u, w, part, list_transform(load, lambda x, i: CASE WHEN i = part + 1 THEN x + 1 ELSE x END),
             list_transform(cnt, lambda x, i: CASE WHEN i = part + 1 THEN x + (CASE WHEN list_contains(has[part + 1], u) THEN 0 ELSE 1 END) + (CASE WHEN u = w OR list_contains(has[part + 1], w) THEN 0 ELSE 1 END) ELSE x END),
@@ -275,12 +294,17 @@ def ebv_node_aware(spark, sf):
     return partition.ebv(graphs.g_cust(spark, sf), 4, 1.0, 1.0, gama=0.5, per_node=2)
 
 
-@query()
+@query(_greedy_sql("1.0", "1.0", 0.5, share=True))
 def ebv_node_share(spark, sf):
     return partition.ebv(graphs.g_cust(spark, sf), 4, 1.0, 1.0, gama=0.5, per_node=2, share=True)
 
 
-@query()
+def _two_level_sql(outer: int = 4, inner: int = 2) -> str:
+    own = [_greedy_sql("1.0", "1.0", k=inner, edges=G_MULTI + f", e AS (SELECT src, dst, min(weight) AS weight FROM gm WHERE src <> dst AND dst % {outer} = {i} GROUP BY src, dst)") for i in range(outer)]
+    return " UNION ALL ".join(f"SELECT src, dst, ({i * inner} + part)::INT AS part, idx FROM ({x})" for i, x in enumerate(own))
+
+
+@query(_two_level_sql())
 def ebv_two_level(spark, sf):
     return partition.ebv_two_level(graphs.g_cust(spark, sf))
 
@@ -310,6 +334,12 @@ def part_by_vertex(spark, sf):
     return partition.by_vertex_part(g, transforms.vertices(g).withColumn("part", (F.col("id") * 7 % 5).cast("int")))
 
 
+@query(_with(G_CUST, V, "l AS (SELECT src, dst, (dst * 7 % 5)::INT AS part FROM e UNION ALL SELECT id, id, (id * 7 % 5)::INT FROM v)", "r AS (SELECT src AS id, part FROM l UNION SELECT dst, part FROM l)") + "SELECT id, part, (id * 7 % 5)::INT AS master_part FROM r WHERE id IN (SELECT id FROM r GROUP BY id HAVING count(*) > 1)")
+def part_by_vertex_routes(spark, sf):
+    g = transforms.add_self_loops(graphs.g_cust(spark, sf))
+    return partition.by_vertex_routes(g, transforms.vertices(g).withColumn("part", (F.col("id") * 7 % 5).cast("int")))
+
+
 @query(_with(G_CUST, PART) + "SELECT id, part, first FROM r")
 def replica_sets(spark, sf):
     return partition.replicas(_assigned(spark, sf))
@@ -456,15 +486,23 @@ def gcn_accuracy(spark, sf):
     return gcn.evaluate(gcn.forward(coef, x, _W)[1], gcn.truth(labels, 2)).select(F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"))
 
 
-@query(f"WITH {_weights('w1', 64, 8)} SELECT round(0.0005::DOUBLE * sum(w * w) / 2, 9) AS penalty FROM w1")
+def _as_weights(spark, sf) -> DataFrame:
+    """The vectors as one weight matrix in long form."""
+    return _emb(spark, sf)[0].select("id", F.posexplode("x").alias("j", "w")).select("id", F.col("j").cast("long").alias("j"), "w")
+
+
+@query(f"WITH {EMB}, l AS (SELECT id, j, x[j + 1] AS w FROM x, range(64) t(j)) SELECT round(0.0005::DOUBLE * sum(w * w) / 2, 6) AS penalty FROM l")
 def gcn_l2(spark, sf):
-    return spark.createDataFrame([(round(gcn.l2(_W[0]), 9),)], "penalty double")
+    return gcn.l2_table(_as_weights(spark, sf)).select(F.round("penalty", 6).alias("penalty"))
 
 
-@query(f"WITH {_weights('w1', 64, 8)}, g AS (SELECT i, j, w, w * 3 + 0.01::DOUBLE + 0.0005::DOUBLE * w AS g FROM w1) SELECT i, j, round(w - 0.01::DOUBLE * sqrt(1 - 0.999::DOUBLE) / (1 - 0.9::DOUBLE) * (0.1::DOUBLE * g) / (sqrt(0.001::DOUBLE * g * g) + 1e-8), 6) + 0.0::DOUBLE AS w FROM g")
+@query(f"""WITH {EMB}, l AS (SELECT id, j, x[j + 1] AS w, w * 3 + 0.01::DOUBLE + 0.0005::DOUBLE * w AS g, 0.1::DOUBLE * w AS m0, w * w AS v0 FROM x, range(64) t(j)),
+    s AS (SELECT id, j, w, 0.9::DOUBLE * m0 + 0.1::DOUBLE * g AS m, 0.999::DOUBLE * v0 + 0.001::DOUBLE * g * g AS v FROM l)
+    SELECT id, j, round(w - 0.01::DOUBLE * sqrt(1 - pow(0.999::DOUBLE, 4)) / (1 - pow(0.9::DOUBLE, 4)) * m / (sqrt(v) + 1e-8), 6) + 0.0::DOUBLE AS w, round(m, 6) + 0.0::DOUBLE AS m, round(v, 6) + 0.0::DOUBLE AS v FROM s""")
 def gcn_adam_step(spark, sf):
-    w = gcn.Adam().update([_W[0]], [_W[0] * 3 + 0.01])[0]
-    return spark.createDataFrame([(i, j, float(round(w[i, j], 6)) + 0.0) for i in range(64) for j in range(8)], "i long, j long, w double")
+    """The fourth step, from given moments."""
+    w = _as_weights(spark, sf).select("id", "j", "w", (F.col("w") * 3 + 0.01).alias("g"), (F.col("w") * 0.1).alias("m"), (F.col("w") * F.col("w")).alias("v"))
+    return gcn.adam_table(w, 4).select("id", "j", *[clean(F.col(c)).alias(c) for c in ("w", "m", "v")])
 
 
 @query("WITH q AS (SELECT vec_id::BIGINT AS id, embedding::DOUBLE[] AS x FROM embeddings), m AS (SELECT id, x, list_min(x) AS low, list_max(x) AS high FROM q) SELECT id, j, CASE WHEN high > low THEN floor((x[j + 1] - low) / (high - low) * 255 + 0.5) ELSE 0 END::INT AS q FROM m, range(64) t(j)")
@@ -481,17 +519,176 @@ def gcn_cached_sync(spark, sf):
     return out.select("id", F.posexplode("x").alias("j", "x"), "sent").select("id", F.col("j").cast("long").alias("j"), "x", "sent")
 
 
-@query()
+def _train_sql(epochs: int = 3) -> str:
+    """Forward, backward and Adam, unrolled."""
+    parts = [EMB, COEF, "l AS (SELECT id, i, x[i + 1] AS x FROM x, range(64) t(i))"]
+    for name, n, m in (("w1", 64, 8), ("w2", 8, 10)):
+        parts.append(f"{name}_1 AS (SELECT i, j, (((i * 31 + j * 17) % 101) - 50) / 500.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM range({n}) a(i), range({m}) b(j))")
+    for e in range(1, epochs + 1):
+        step = f"0.01::DOUBLE * sqrt(1 - pow(0.999::DOUBLE, {e})) / (1 - pow(0.9::DOUBLE, {e}))"
+        parts += [
+            f"p1_{e} AS MATERIALIZED (SELECT id, j, sum(x * w) AS x FROM l JOIN w1_{e} USING (i) GROUP BY id, j)",
+            f"h_{e} AS MATERIALIZED (SELECT dst AS id, j, sum(x * coef) AS x FROM p1_{e} p JOIN c ON c.src = p.id GROUP BY dst, j)",
+            f"p2_{e} AS MATERIALIZED (SELECT id, w.j, sum(greatest(x, 0) * w) AS x FROM h_{e} h JOIN w2_{e} w ON w.i = h.j GROUP BY id, w.j)",
+            f"z_{e} AS MATERIALIZED (SELECT dst AS id, j, sum(x * coef) AS x FROM p2_{e} p JOIN c ON c.src = p.id GROUP BY dst, j)",
+            f"mx_{e} AS (SELECT id, max(x) AS top FROM z_{e} GROUP BY id)",
+            f"se_{e} AS (SELECT id, top, sum(exp(x - top)) AS s FROM z_{e} JOIN mx_{e} USING (id) GROUP BY id, top)",
+            f"r_{e} AS (SELECT {e} AS epoch, avg(ln(s) - (z.x - top)) + (SELECT 0.0005::DOUBLE * sum(w * w) / 2 FROM w1_{e}) AS loss, avg(CASE WHEN top <= z.x THEN 1.0::DOUBLE ELSE 0 END) AS accuracy FROM x JOIN z_{e} z ON z.id = x.id AND z.j = x.label JOIN se_{e} s ON s.id = x.id WHERE split = 1)",
+            f"gz_{e} AS (SELECT z.id, z.j, CASE WHEN split = 1 THEN exp(z.x - top) / s - CASE WHEN z.j = label THEN 1 ELSE 0 END ELSE 0 END AS x FROM z_{e} z JOIN se_{e} s ON s.id = z.id JOIN x ON x.id = z.id)",
+            f"g2_{e} AS MATERIALIZED (SELECT src AS id, j, sum(x * coef) AS x FROM gz_{e} g JOIN c ON c.dst = g.id GROUP BY src, j)",
+            f"d2_{e} AS (SELECT h.j AS i, g.j, sum(greatest(h.x, 0) * g.x) AS g FROM h_{e} h JOIN g2_{e} g USING (id) GROUP BY h.j, g.j)",
+            f"b_{e} AS (SELECT g.id, w.i AS j, sum(g.x * w.w) AS x FROM g2_{e} g JOIN w2_{e} w ON w.j = g.j GROUP BY g.id, w.i)",
+            f"g1_{e} AS MATERIALIZED (SELECT src AS id, j, sum(x * coef) AS x FROM (SELECT b.id, b.j, CASE WHEN h.x > 0 THEN b.x ELSE 0 END AS x FROM b_{e} b JOIN h_{e} h ON h.id = b.id AND h.j = b.j) b JOIN c ON c.dst = b.id GROUP BY src, j)",
+            f"d1_{e} AS (SELECT i, g.j, sum(l.x * g.x) AS g FROM l JOIN g1_{e} g USING (id) GROUP BY i, g.j)",
+        ]
+        for k, decay in ((1, " + 0.0005::DOUBLE * w"), (2, "")):
+            moments = f"SELECT i, j, w, 0.9::DOUBLE * m + 0.1::DOUBLE * (g{decay}) AS m, 0.999::DOUBLE * v + 0.001::DOUBLE * (g{decay}) * (g{decay}) AS v FROM w{k}_{e} JOIN d{k}_{e} USING (i, j)"
+            parts.append(f"w{k}_{e + 1} AS MATERIALIZED (SELECT i, j, w - {step} * m / (sqrt(v) + 1e-8) AS w, m, v FROM ({moments}))")
+    return _with(*parts) + " UNION ALL ".join(f"SELECT epoch::INT AS epoch, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy FROM r_{e}" for e in range(1, epochs + 1))
+
+
+@query(_train_sql())
 def gcn_train(spark, sf):
     """(epoch, loss, accuracy) of three epochs from fixed weights."""
     x, labels, coef = _emb(spark, sf)
-    return spark.createDataFrame(gcn.train(coef, x, labels, list(_W), 3)[1], "epoch int, loss double, accuracy double")
+    rows = gcn.train(coef, x, labels, list(_W), 3, validate=None)[1]
+    return spark.createDataFrame([(e, round(loss, 6), round(accuracy, 6)) for e, loss, accuracy in rows], "epoch int, loss double, accuracy double")
+
 
+def _sparse(spark, sf) -> tuple[DataFrame, DataFrame]:
+    x, _, coef = _emb(spark, sf)
+    a = coef.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("coef").alias("x"))
+    return a, x.select(F.col("id").alias("i"), F.posexplode("x").alias("j", "x")).select("i", F.col("j").cast("long").alias("j"), "x")
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 19.0::DOUBLE), (1, 0, 8), (2, 0, 51), (3, 0, 52), (0, 1, 43), (1, 1, 24), (2, 1, 123), (3, 1, 120), (0, 2, 67), (1, 2, 40), (2, 2, 195), (3, 2, 188)) t(i, j, x)")
+
+@query(_with(EMB, COEF) + "SELECT src AS i, j, round(sum(coef * x[j + 1]), 6) + 0.0::DOUBLE AS x FROM c JOIN x ON x.id = dst, range(64) t(j) GROUP BY src, j")
 def sparse_matmul(spark, sf):
-    """The golden product: rows start at 0, 3, 4, 7 and end at 9; columns 0 2 3 1 0 2 3 1 3, values 1 to 9; times 1 to 12 by columns."""
-    rows = [0, 0, 0, 1, 2, 2, 2, 3, 3]
-    a = [(r, c, float(v)) for r, c, v in zip(rows, [0, 2, 3, 1, 0, 2, 3, 1, 3], range(1, 10), strict=True)]
-    b = [(i, j, float(4 * j + i + 1)) for j in range(3) for i in range(4)]
-    return gcn.sparse_matmul(spark.createDataFrame(a, "i long, j long, x double"), spark.createDataFrame(b, "i long, j long, x double"))
+    return gcn.sparse_matmul(*_sparse(spark, sf)).select("i", "j", clean(F.col("x")).alias("x"))
+
+
+@query(_with(EMB, COEF) + "SELECT dst AS i, j, round(sum(coef * x[j + 1]), 6) + 0.0::DOUBLE AS x FROM c JOIN x ON x.id = src, range(64) t(j) GROUP BY dst, j")
+def sparse_matmul_bwd(spark, sf):
+    return gcn.sparse_matmul_grad(*_sparse(spark, sf)).select("i", "j", clean(F.col("x")).alias("x"))
+
+
+@query("WITH " + FORWARD + "SELECT h.id, h.j, round(CASE WHEN h.x > 0 THEN p1.x ELSE 0 END, 6) + 0.0::DOUBLE AS x FROM h JOIN p1 ON p1.id = h.id AND p1.j = h.j")
+def gcn_relu_bwd(spark, sf):
+    x, _, coef = _emb(spark, sf)
+    grad = gcn.matmul(x, _W[0])
+    return _long(gcn.relu_grad(grad, gcn.graph_sum(coef, grad, 8)))
+
+
+@query("""WITH q AS (SELECT vec_id::BIGINT AS id, embedding::DOUBLE[] AS x FROM embeddings), m AS (SELECT id, x, list_min(x) AS low, list_max(x) AS high FROM q)
+    SELECT id, j, round(low + (high - low) * (CASE WHEN high > low THEN floor((x[j + 1] - low) / (high - low) * 255 + 0.5) ELSE 0 END) / 255, 6) + 0.0::DOUBLE AS x FROM m, range(64) t(j)""")
+def gcn_dequantize(spark, sf):
+    return _long(gcn.dequantize(gcn.quantize(_emb(spark, sf)[0])))
+
+
+@query()
+def gcn_dropout(spark, sf):
+    """Vectors of which a fifth is dropped, by a hash of id and place."""
+    return _long(gcn.dropout(_emb(spark, sf)[0], 0.2))
+
+
+@query()
+def gcn_delay_rates(spark, sf):
+    """(window, layer, direction, rate) of ten epochs with cached sync over four parts."""
+    x, labels, coef = _emb(spark, sf)
+    rounds: list[tuple[int, int, str, int, int]] = []
+    gcn.train(coef.withColumn("part", F.pmod("src", F.lit(4)).cast("int")), x, labels, list(_W), 10, validate=None, cached=True, rounds=rounds)
+    return gcn.delay_rates(spark.createDataFrame(rounds, "epoch int, layer int, direction string, rows long, sent long"))
+
+
+# ---- more of partitions and sets
+
+
+_LOCAL = "r AS (SELECT DISTINCT id, part FROM (SELECT src AS id, (dst % 4)::INT AS part FROM e UNION ALL SELECT dst, (dst % 4)::INT FROM e))"
+
+
+@query(_with(G_CUST, DEG, _LOCAL, "l AS (SELECT id, part, row_number() OVER (PARTITION BY part ORDER BY id) - 1 AS local FROM r)") + "SELECT part, local, out_degree AS value FROM l JOIN d USING (id)")
+def degree_localised(spark, sf):
+    local = transforms.local_ids(partition.replicas(_assigned(spark, sf)))
+    return transforms.localize(local, transforms.degrees(graphs.g_cust(spark, sf)).select("id", F.col("out_degree").alias("value")))
+
+
+@query(_with(G_CUST, _LOCAL) + "SELECT x.part AS a, y.part AS b, count(*) AS shared FROM r x JOIN r y ON x.id = y.id AND x.part < y.part GROUP BY 1, 2")
+def part_overlaps(spark, sf):
+    return sets.part_overlaps(partition.replicas(_assigned(spark, sf)))
+
+
+_BACKUP = "b AS (SELECT id, p[CASE WHEN id % (n - 1) >= id % n THEN id % (n - 1) + 2 ELSE id % (n - 1) + 1 END] AS backup_part FROM s)"
+
+
+@query(_with(G_CUST, PART, M_MOD, _BACKUP) + "SELECT id, master_part AS part FROM m UNION SELECT id, backup_part FROM b")
+def back_nodes(spark, sf):
+    a = _assigned(spark, sf)
+    return sets.back_nodes(partition.master_mod(a), partition.backup_masters(a))
+
+
+@query(_with(G_CUST) + "SELECT src, dst, (dst % 4)::INT AS part FROM e UNION ALL SELECT src, dst, ((dst + 1) % 4)::INT FROM e")
+def edges_with_backup(spark, sf):
+    a = _assigned(spark, sf)
+    return sets.with_backup(a, a.select("src", "dst", ((F.col("part") + 1) % 4).alias("host_part")))
+
+
+@query(_with(G_CUST, PART, M_MOD, _BACKUP) + "SELECT id, master_part AS crashed_part, backup_part AS host_part, array_to_string(list_filter(p, lambda x: x <> master_part AND x <> backup_part), ' ') AS mirrors FROM (SELECT DISTINCT id, master_part FROM m) JOIN b USING (id) JOIN s USING (id)")
+def master_back_rows(spark, sf):
+    a = _assigned(spark, sf)
+    r = partition.master_back_rows(partition.master_mod(a), partition.backup_masters(a))
+    return r.withColumn("mirrors", F.array_join(F.col("mirrors").cast("array<string>"), " "))
+
+
+_NEAR = """c AS (SELECT *, count(*) OVER (PARTITION BY id, part // 2) AS on_node FROM r), w AS (SELECT *, max(on_node) OVER (PARTITION BY id) AS most FROM c),
+    q AS (SELECT id, list_sort(list(part)) AS p, list_sort(list(part) FILTER (on_node = most)) AS dense FROM w GROUP BY id HAVING count(*) > 1),
+    near AS (SELECT id, CASE WHEN list_contains(dense, p[id % len(p) + 1]) THEN p[id % len(p) + 1] ELSE dense[1] END AS master_part FROM q)"""
+
+
+@query(_with(G_CUST, "a AS (SELECT src, dst, (dst % 4)::INT AS part FROM e WHERE src % 3 <> 0 AND dst % 3 <> 0)", "r AS (SELECT src AS id, part FROM a UNION SELECT dst, part FROM a)", _NEAR) + "SELECT r.id, r.part, near.master_part FROM r JOIN near USING (id)")
+def induced_routes(spark, sf):
+    a = _assigned(spark, sf)
+    return partition.induced_partition(a, transforms.vertices(a).where("id % 3 <> 0"))[1]
+
+
+_EXTERNAL = """x AS (SELECT idx, src + 7 AS src, dst + 7 AS dst, part FROM (SELECT src, dst, (dst % 4)::INT AS part, row_number() OVER (ORDER BY src, dst) AS idx FROM e)),
+    r AS (SELECT id, part, min(f) AS first FROM (SELECT src AS id, part, 2 * idx AS f FROM x UNION ALL SELECT dst, part, 2 * idx + 1 FROM x) GROUP BY id, part),
+    s AS (SELECT id, list(part ORDER BY first) AS p FROM r GROUP BY id)"""
+
+
+def _external(spark, sf):
+    a = numbered(_assigned(spark, sf), "idx", [F.col("src"), F.col("dst")])
+    ids = transforms.vertices(a)
+    return partition.import_external(a, ids.select(F.col("id").alias("a"), (F.col("id") + 7).alias("b")))
+
+
+@query(_with(G_CUST, _EXTERNAL) + "SELECT src, dst, part FROM x UNION ALL SELECT id, id, p[id % len(p) + 1] FROM s")
+def external_edges(spark, sf):
+    return _external(spark, sf)[0]
+
+
+@query(_with(G_CUST, _EXTERNAL) + "SELECT id, unnest(p) AS part, p[id % len(p) + 1] AS master_part FROM s WHERE len(p) > 1")
+def external_routes(spark, sf):
+    return _external(spark, sf)[1]
+
+
+_MERGED = """f AS (SELECT src, dst, ((src % 4) * 2 + dst % 2)::INT AS part, row_number() OVER (PARTITION BY src % 4, dst % 2 ORDER BY src, dst) AS idx FROM e),
+    a AS (SELECT src, dst, part, row_number() OVER (ORDER BY idx, part) AS idx FROM f),
+    r AS (SELECT id, part, min(f) AS first FROM (SELECT src AS id, part, 2 * idx AS f FROM a UNION ALL SELECT dst, part, 2 * idx + 1 FROM a) GROUP BY id, part)"""
+
+
+def _merged(spark, sf):
+    g = graphs.g_cust(spark, sf).select("src", "dst", (F.col("src") % 4).cast("int").alias("outer"), (F.col("dst") % 2).cast("int").alias("inner_part"))
+    placed = prefix_sums(g, F.col("outer") * 2 + F.col("inner_part"), F.lit(1), [F.col("src"), F.col("dst")])
+    return partition.merged_partition(placed.select("__row.*", (F.col("__before") + 1).alias("idx")), 2)
+
+
+@query(_with(G_CUST, _MERGED) + """SELECT r.id, r.part, x.part AS master_part FROM r JOIN (SELECT id FROM r GROUP BY id HAVING count(*) > 1) USING (id) JOIN
+    (SELECT id, part FROM (SELECT id, part, row_number() OVER (PARTITION BY id ORDER BY c DESC, first DESC) AS k FROM (SELECT *, count(*) OVER (PARTITION BY id, part // 2) AS c FROM r)) WHERE k = 1) x ON x.id = r.id""")
+def merged_routes(spark, sf):
+    return _merged(spark, sf)[1]
+
+
+@query(_with(G_CUST, _MERGED) + """SELECT round(edge_imbalance, 6) AS edge_imbalance, round(vertex_imbalance, 6) AS vertex_imbalance, round(replication, 6) AS replication FROM
+    (SELECT max(c) / sum(c) * 8 AS edge_imbalance FROM (SELECT count(*) AS c FROM a GROUP BY part)), (SELECT max(c) / sum(c) * 8 AS vertex_imbalance, sum(c) / (SELECT count(DISTINCT id) FROM r) AS replication FROM (SELECT count(*) AS c FROM r GROUP BY part))""")
+def merged_metrics(spark, sf):
+    m = _merged(spark, sf)[2]
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])

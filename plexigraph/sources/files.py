@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plexigraph.plans.prefix import numbered, prefix_sums
+
 
 def _tokens(spark: SparkSession, path: str) -> DataFrame:
     """Each line's tokens; carriage returns and empty tokens are dropped."""
@@ -25,43 +29,135 @@ def _part(file: str = "file") -> Column:
     return F.regexp_extract(file, r"\.(\d+)$", 1).cast("int")
 
 
-def read_partition(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """``G.i``, ``Master.i`` and ``Mirror.i``: edges, masters (id, part, mirrors), mirrors (id, part, master_part, backup_part), vertices."""
-    g = _tokens(spark, f"{folder}/G.*")
-    edges = g.select(F.col("t")[0].cast("long").alias("src"), F.col("t")[1].cast("long").alias("dst"), F.coalesce(F.try_element_at("t", F.lit(3)).cast("double"), F.lit(1.0)).alias("weight"), _part().alias("part"))
-    m = _tokens(spark, f"{folder}/Master.*")
-    masters = m.select(F.col("t")[0].cast("long").alias("id"), _part().alias("part"), F.slice("t", 2, 1 << 20).cast("array<int>").alias("mirrors"))
-    r = _tokens(spark, f"{folder}/Mirror.*")
-    mirrors = r.select(F.col("t")[0].cast("long").alias("id"), _part().alias("part"), F.col("t")[1].cast("int").alias("master_part"), F.try_element_at("t", F.lit(3)).cast("int").alias("backup_part"))
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _lines(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """(t, part, at): tokens of ``kind.i`` or of ``kind/part=i``, and a number that grows along a file's lines.  No rows where neither is there."""
+    line = F.filter(F.split(F.regexp_replace("value", "\r", ""), r"\s+"), lambda x: x != "")
+    if _exists(spark, f"{folder}/{kind}"):
+        rows = spark.read.schema("value string, part int").text(f"{folder}/{kind}").select(line.alias("t"), F.col("part"), F.monotonically_increasing_id().alias("at"))
+    else:
+        try:
+            rows = spark.read.text(f"{folder}/{kind}.*")
+        except AnalysisException:
+            return spark.createDataFrame([], "t array<string>, part int, at long")
+        rows = rows.select(line.alias("t"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).select("t", _part().alias("part"), "at")
+    return rows.where("size(t) > 0")
+
+
+def _first_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Of rows that share (id, part), the first line's."""
+    first = F.min_by(F.struct(*columns), "at").alias("x")
+    return rows.groupBy("id", "part").agg(first).select("id", "part", *[F.col(f"x.{c}").alias(c) for c in columns])
+
+
+def read_partition(spark: SparkSession, folder: str, weights: bool = True) -> dict[str, DataFrame]:
+    """``G``, ``Master`` and ``Mirror`` by part: edges, masters (id, part, mirrors), mirrors (id, part, master_part, backup_part), vertices.
+
+    Files may be ``G.i`` or as :func:`write_partition` leaves them.  A missing weight is 1.0, and all are without ``weights``.
+    Of several rows for a vertex in one part's Master or Mirror the first counts.
+    """
+    g = _lines(spark, folder, "G")
+    weight = F.coalesce(F.try_element_at("t", F.lit(3)).cast("double"), F.lit(1.0)) if weights else F.lit(1.0)
+    edges = g.select(F.col("t")[0].cast("long").alias("src"), F.col("t")[1].cast("long").alias("dst"), weight.alias("weight"), "part")
+    m = _lines(spark, folder, "Master")
+    masters = _first_rows(m.select(F.col("t")[0].cast("long").alias("id"), "part", F.slice("t", 2, 1 << 20).cast("array<int>").alias("mirrors"), "at"), ["mirrors"])
+    r = _lines(spark, folder, "Mirror")
+    r = r.select(F.col("t")[0].cast("long").alias("id"), "part", F.col("t")[1].cast("int").alias("master_part"), F.try_element_at("t", F.lit(3)).cast("int").alias("backup_part"), "at")
+    mirrors = _first_rows(r, ["master_part", "backup_part"])
     vertices = edges.select(F.col("src").alias("id"), "part").union(edges.select("dst", "part")).union(masters.select("id", "part")).union(mirrors.select("id", "part")).distinct()
-    return {"edges": edges, "masters": masters.dropDuplicates(["id", "part"]), "mirrors": mirrors.dropDuplicates(["id", "part"]), "vertices": vertices}
+    return {"edges": edges, "masters": masters, "mirrors": mirrors, "vertices": vertices}
+
+
+def _write(rows: DataFrame, path: str, *by: str) -> None:
+    rows.write.partitionBy(*by).mode("overwrite").text(path)
+
 
+def write_partition(edges: DataFrame, routes: DataFrame, folder: str, backups: DataFrame | None = None) -> None:
+    """One folder a part: ``G/part=i`` (``u v``), ``Master/part=i`` (``v w1 w2``), ``Mirror/part=i`` (``v master [backup]``).
 
-def write_partition(edges: DataFrame, routes: DataFrame, folder: str) -> None:
-    """One folder a part: ``G/part=i`` (``u v``), ``Master/part=i`` (``v w1 w2``), ``Mirror/part=i`` (``v master``).  ``routes``: id, part, master_part."""
-    edges.select(F.concat_ws(" ", "src", "dst").alias("value"), "part").write.partitionBy("part").mode("overwrite").text(f"{folder}/G")
+    ``routes``: id, part, master_part.  ``backups``: id, backup_part.
+    """
+    _write(edges.select(F.concat_ws(" ", "src", "dst").alias("value"), "part"), f"{folder}/G", "part")
     mirrors = routes.where("part <> master_part")
-    mirrors.select(F.concat_ws(" ", "id", "master_part").alias("value"), "part").write.partitionBy("part").mode("overwrite").text(f"{folder}/Mirror")
-    lists = mirrors.groupBy("id", F.col("master_part").alias("part")).agg(F.concat_ws(" ", F.col("id"), F.array_join(F.sort_array(F.collect_set("part")).cast("array<string>"), " ")).alias("value"))
-    lists.select("value", "part").write.partitionBy("part").mode("overwrite").text(f"{folder}/Master")
+    named = mirrors if backups is None else mirrors.join(backups.select("id", "backup_part"), "id", "left")
+    _write(named.select(F.concat_ws(" ", "id", "master_part", *([] if backups is None else ["backup_part"])).alias("value"), "part"), f"{folder}/Mirror", "part")
+    lists = mirrors.groupBy("id", F.col("master_part").alias("part")).agg(F.sort_array(F.collect_set("part")).alias("w"))
+    _write(lists.select(F.concat_ws(" ", "id", F.array_join(F.col("w").cast("array<string>"), " ")).alias("value"), "part"), f"{folder}/Master", "part")
+
+
+def write_backup(edges: DataFrame, folder: str, master_back: DataFrame | None = None) -> None:
+    """What hosts keep for parts that may crash: ``G_back`` (``u v``) and ``Master_back`` (``v w1 w2``), a folder for each pair.
+
+    ``edges``: src, dst, crashed_part, host_part.  ``master_back``: id, crashed_part, host_part, mirrors.
+    """
+    pair = ("crashed_part", "host_part")
+    _write(edges.select(F.concat_ws(" ", "src", "dst").alias("value"), *pair), f"{folder}/G_back", *pair)
+    if master_back is not None:
+        _write(master_back.select(F.concat_ws(" ", F.col("id").cast("string"), F.array_join(F.col("mirrors").cast("array<string>"), " ")).alias("value"), *pair), f"{folder}/Master_back", *pair)
+
+
+def read_backup(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """What :func:`write_backup` left: edges (src, dst, crashed_part, host_part) and rows (id, crashed_part, host_part, mirrors)."""
+
+    def lines(kind: str) -> DataFrame:
+        if not _exists(spark, f"{folder}/{kind}"):
+            return spark.createDataFrame([], "t array<string>, crashed_part int, host_part int")
+        rows = spark.read.schema("value string, crashed_part int, host_part int").text(f"{folder}/{kind}")
+        return rows.select(F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("t"), "crashed_part", "host_part").where("size(t) > 0")
 
+    pair = ("crashed_part", "host_part")
+    edges = lines("G_back").select(F.col("t")[0].cast("long").alias("src"), F.col("t")[1].cast("long").alias("dst"), *pair)
+    return edges, lines("Master_back").select(F.col("t")[0].cast("long").alias("id"), *pair, F.slice("t", 2, 1 << 20).cast("array<int>").alias("mirrors"))
 
-def write_backup(edges: DataFrame, folder: str) -> None:
-    """``edges``: src, dst, crashed_part, host_part."""
-    edges.select(F.concat_ws(" ", "src", "dst").alias("value"), "crashed_part", "host_part").write.partitionBy("crashed_part", "host_part").mode("overwrite").text(f"{folder}/back")
+
+def read_hierarchical(spark: SparkSession, folder: str) -> DataFrame:
+    """``folder/i/G.j``: (outer, inner_part, idx, src, dst), idx the line's number within its file, from 1 on."""
+    rows = spark.read.text(f"{folder}/*/G.*").select(F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("t"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.where("size(t) > 1").select(F.regexp_extract("file", r"(\d+)/G\.\d+$", 1).cast("int").alias("outer"), _part().alias("inner_part"), F.col("t")[0].cast("long").alias("src"), F.col("t")[1].cast("long").alias("dst"), "at")
+    rows = rows.where("outer is not null")
+    placed = prefix_sums(rows, F.col("outer") * (1 << 20) + F.col("inner_part"), F.lit(1), [F.col("at")], "lines")
+    return placed.select("__row.outer", "__row.inner_part", (F.col("__before") + 1).alias("idx"), "__row.src", "__row.dst")
 
 
 def read_positional(spark: SparkSession, path: str, kind: str = "long", name: str = "value") -> DataFrame:
     """One value a line, the line's number is the id: degree vectors, labels, splits, vertex partitions.
 
-    Lines are numbered in two steps (lines a split, then inside it), not in one task.
+    Lines are numbered by (file, place in it), files by name, with prefix sums: no task sees them all.
     """
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("m"), F.trim("value").cast(kind).alias(name))
-    split = F.shiftright("m", 33)
-    counts = rows.groupBy(split.alias("s")).count()
-    other = counts.select(F.col("s").alias("o"), F.col("count").alias("c"))
-    before = counts.join(other, F.col("o") < F.col("s"), "left").groupBy("s").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(before), split == F.col("s")).select((F.col("before") + F.col("m") % (1 << 33)).alias("id"), name)
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"), F.trim("value").alias("line"))
+    placed = numbered(rows, "id", [F.col("f"), F.col("b"), F.col("m")], 0)
+    return placed.select("id", F.col("line").cast(kind).alias(name))
+
+
+def read_labels(spark: SparkSession, labels: str, splits: str) -> DataFrame:
+    """(id, label, split) of two files with a number a line; raises if they differ in length."""
+    a, b = read_positional(spark, labels, "int", "label"), read_positional(spark, splits, "int", "split")
+    uneven = F.raise_error(F.concat(F.lit("label or split missing at line "), F.col("id").cast("string")))
+    rows = a.withColumn("has_label", F.lit(True)).join(b.withColumn("has_split", F.lit(True)), "id", "full")
+    return rows.select("id", F.when(F.col("has_label").isNull() | F.col("has_split").isNull(), uneven).otherwise(F.col("label")).cast("int").alias("label"), "split")
+
+
+def save_model(spark: SparkSession, weights: list[np.ndarray], path: str) -> None:
+    """(layer, i, j, w) as Parquet."""
+    rows = [(k, i, j, float(w[i, j])) for k, w in enumerate(weights) for i in range(w.shape[0]) for j in range(w.shape[1])]
+    spark.createDataFrame(rows, "layer int, i int, j int, w double").write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> list[np.ndarray]:
+    """The weights that :func:`save_model` wrote, which are a model's few matrices."""
+    rows = spark.read.parquet(path).collect()
+    out = []
+    for k in range(max((r["layer"] for r in rows), default=-1) + 1):
+        own = [r for r in rows if r["layer"] == k]
+        w = np.zeros((max(r["i"] for r in own) + 1, max(r["j"] for r in own) + 1))
+        for r in own:
+            w[r["i"], r["j"]] = r["w"]
+        out.append(w)
+    return out
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -87,10 +183,17 @@ def read_pattern(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_external_partition(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    """``u v part`` a line; with ``header`` the first line (two tokens) is dropped."""
-    t = _tokens(spark, path)
-    t = t.where("size(t) >= 3") if header else t
-    return t.select(F.col("t")[0].cast("long").alias("src"), F.col("t")[1].cast("long").alias("dst"), F.col("t")[2].cast("int").alias("part"))
+    """``u v part`` a line: (idx, src, dst, part), idx by the file's order; with ``header`` the first line (two tokens) is dropped."""
+    line = F.filter(F.split(F.regexp_replace("value", "\r", ""), r"\s+"), lambda x: x != "")
+    t = spark.read.text(path).select(line.alias("t"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    t = t.where("size(t) >= 3" if header else "size(t) > 0")
+    rows = numbered(t, "idx", [F.col("f"), F.col("b"), F.col("m")])
+    return rows.select("idx", F.col("t")[0].cast("long").alias("src"), F.col("t")[1].cast("long").alias("dst"), F.col("t")[2].cast("int").alias("part"))
+
+
+def read_idmap(spark: SparkSession, path: str) -> DataFrame:
+    """``a b`` a line: (a, b)."""
+    return _tokens(spark, path).select(F.col("t")[0].cast("long").alias("a"), F.col("t")[1].cast("long").alias("b"))
 
 
 def sssp_lines(distances: DataFrame) -> DataFrame:
@@ -106,3 +209,8 @@ def label_lines(labels: DataFrame) -> DataFrame:
 def rank_lines(ranks: DataFrame) -> DataFrame:
     """``id\\tpr`` with the rank as ``%E``."""
     return ranks.select(F.concat_ws("\t", F.col("id").cast("string"), F.format_string("%E", "pr")).alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Result lines (value) as text files."""
+    lines.write.mode("overwrite").text(path)
