@@ -3,9 +3,10 @@
 A *snapshot* is a table of digests that never changes once written, cut into buckets by digest, with
 one static three-wise binary-fuse filter (8-bit fingerprints, about 9 bits a digest) for each bucket.
 The digests of a new batch are first grouped among themselves (partial sums before the shuffle, so a
-text that fills a third of the rows is one row a task), then each bucket of them meets the filter of
-its bucket.  Negatives are new for certain.  Positives join the snapshot's exact bucket, and the texts
-of the pairs that match are compared as bytes.
+text that fills a third of the rows is one row a task), then each bucket of them meets the filters of
+its bucket.  Negatives are new for certain and make the next snapshot.  Positives join the exact bucket, and
+the texts of the pairs that match are compared as bytes: those that are equal add to the group that they
+matched, the others are new as well.  So every group is in one snapshot, and groups need no regrouping.
 
 Texts are equal if they are identical after lower-casing A-Z only; null counts as empty.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,22 +153,50 @@ def screen(groups: DataFrame, filters: DataFrame, n_buckets: int) -> DataFrame:
     return new.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(probe, schema)
 
 
-def _same_bytes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _needed_filter(need: DataFrame, n_buckets: int, most: int = 32 << 20) -> dict[int, bytes] | None:
+    """Fuse filters of the keys ``j``, by bucket, if they take at most ``most`` bytes; else None."""
+
+    def build(t: pa.Table) -> pa.Table:
+        return pa.table({"bucket": t["bucket"][:1], "filter": pa.array([FuseFilter.build(t["j"].to_numpy().view(np.uint64)).dump()], pa.binary())})
+
+    keys = need.select("j", F.pmod("j", F.lit(n_buckets)).cast("int").alias("bucket")).distinct()
+    filters = materialize(keys.groupBy("bucket").applyInArrow(build, "bucket int, filter binary"), "needed")
+    if (filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) > most:
+        return None
+    return {r["bucket"]: bytes(r["filter"]) for r in filters.collect()}
+
+
+def _same_bytes(docs: DataFrame, pairs: DataFrame, n_buckets: int) -> DataFrame:
     """Of ``pairs`` (digest, old, new: doc_ids), those whose texts are the same bytes after lower-casing A-Z.
 
-    Two rows that share a doc_id but not a text are told apart by the digest.
+    Two rows that share a doc_id but not a text are told apart by the digest.  Only texts that a filter of the
+    needed doc_ids lets pass are digested again and shuffled; all of them where that filter is too large.
     """
-    need = pairs.select("digest", F.explode(F.array(F.xxhash64("old"), F.xxhash64("new"))).alias("j")).distinct()
-    texts = docs.select(F.xxhash64("doc_id").alias("j"), text_digest("text").alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    need = materialize(pairs.select("digest", F.explode(F.array(F.xxhash64("old"), F.xxhash64("new"))).alias("j")).distinct(), "need")
+    sent = docs.sparkSession.sparkContext.broadcast(_needed_filter(need, n_buckets))
+
+    def lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sent.value
+        filters = None if held is None else {k: FuseFilter.load(v) for k, v in held.items()}
+        for b in batches:
+            j = b.column(0).to_numpy(zero_copy_only=False)
+            keep = np.ones(len(j), bool)
+            if filters is not None:
+                bucket = j % n_buckets  # as pmod: not negative
+                keep[:] = False
+                for k in np.unique(bucket).tolist():
+                    if k in filters:
+                        at = np.flatnonzero(bucket == k)
+                        keep[at] = filters[k].holds(j[at].view(np.uint64))
+            b = b.filter(pa.array(keep))
+            low = [x.lower() for x in text_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(x).digest() for x in low], pa.binary()), pa.array(low, pa.binary())], ["j", "digest", "b"])
+
+    texts = docs.select(F.xxhash64("doc_id").alias("j"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lowered, "j long, digest binary, b binary")
     # one plan at every size: each text moves once and streams past a hash table of the rows needed, unsorted
     texts = texts.repartition(shuffle_width(docs.sparkSession), "digest", "j")
     found = texts.join(need.hint("shuffle_hash"), ["digest", "j"], "left_semi")
-
-    @arrow_udf(T.BinaryType())
-    def lowered(text: pa.Array) -> pa.Array:
-        return pa.array([x.lower() for x in text_bytes(text)], pa.binary())
-
-    sides = found.select("digest", lowered("text").alias("b")).groupBy("digest").agg(F.min("b").alias("x"), F.max("b").alias("y"))
+    sides = found.groupBy("digest").agg(F.min("b").alias("x"), F.max("b").alias("y"))
     return sides.where("x = y").select("digest")
 
 
@@ -179,35 +209,35 @@ def exact_dedup(docs: DataFrame, n_batches: int = 2) -> DataFrame:
 
     Defined cases: a null text is an empty one; rows of a null doc_id count in group_size and are kept
     only if the whole group has none (then keep_id is null and each such row stays); rows repeated with the largest
-    doc_id all say kept; an empty table gives no rows; other columns are not read.
+    doc_id all say kept; an empty table gives no rows; other columns are not read; a text of any length is one
+    row and is compared whole.  Raises ArithmeticError if two different texts share a SHA-256 digest.
     """
     spark = docs.sparkSession
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int")
     digests = materialize(docs.select("doc_id", batch.alias("batch"), text_digest("text").alias("digest")), "digests")
-    n_buckets = 2 * shuffle_width(spark)
-    snapshots: list[tuple[DataFrame, DataFrame]] = []
-    total = None
+    n_buckets = max(2 * shuffle_width(spark), digests.count() // 100_000)
+    snapshots: list[tuple[DataFrame, DataFrame | None]] = []
+    added: list[DataFrame] = []
     for k in range(n_batches):
         new = grouped(digests.where(F.col("batch") == k).select("doc_id", "digest"))
-        if not snapshots:
-            total = new.select("digest", "size", "last")
-        else:
+        if snapshots:
             new = materialize(new, "batch")
-            checked = None
             for entries, filters in snapshots:
-                hits = screen(new, filters, n_buckets).where("maybe").select("digest", F.col("last").alias("new"))
+                hits = screen(new, filters, n_buckets).where("maybe").select("digest", "size", F.col("last").alias("new"))
                 pairs = materialize(hits.join(entries.select("digest", F.col("last").alias("old")), "digest"), "pairs")
-                same = materialize(_same_bytes(docs, pairs), "same")
-                differ = pairs.join(same, "digest", "left_anti")
-                if not differ.isEmpty():
+                same = materialize(_same_bytes(docs, pairs, n_buckets), "same")
+                if not pairs.join(same, "digest", "left_anti").isEmpty():
                     raise ArithmeticError("two different texts share a SHA-256 digest")
-                checked = same if checked is None else checked.union(same)
-            both = new.join(checked.distinct(), "digest", "left_semi").union(new.join(checked.distinct(), "digest", "left_anti"))
-            total = total.union(both.select("digest", "size", "last"))
-        if k + 1 < n_batches:
-            snapshots.append(build_snapshot(new.select("digest", "size", "last"), n_buckets))
-    groups = materialize(total.groupBy("digest").agg(F.sum("size").alias("group_size"), F.max("last").alias("keep_id")), "groups")
-    out = digests.join(groups, "digest")
+                added.append(pairs.join(same, "digest", "left_semi").select("digest", F.col("size").alias("more"), F.col("new").alias("more_last")))
+                new = new.join(same, "digest", "left_anti")
+        new = new.select("digest", "size", "last")
+        snapshots.append(build_snapshot(new, n_buckets) if k + 1 < n_batches else (materialize(new, "snapshot"), None))  # nobody asks the last one
+    groups = reduce(DataFrame.unionAll, [entries.select("digest", "size", "last") for entries, _ in snapshots])
+    groups = groups.select("digest", F.col("size").alias("group_size"), F.col("last").alias("keep_id"))
+    if added:
+        more = reduce(DataFrame.unionAll, added).groupBy("digest").agg(F.sum("more").alias("more"), F.max("more_last").alias("more_last"))
+        groups = groups.join(more, "digest", "left").select("digest", (F.col("group_size") + F.coalesce("more", F.lit(0))).alias("group_size"), F.greatest("keep_id", "more_last").alias("keep_id"))
+    out = digests.join(materialize(groups, "groups"), "digest")
     return out.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
@@ -215,7 +245,10 @@ def exact_dedup(docs: DataFrame, n_batches: int = 2) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, n_batches: int = 2) -> DataFrame:
-    """``docs`` without the copies that :func:`exact_dedup` finds; all columns stay as they are."""
+    """``docs`` without the copies that :func:`exact_dedup` finds; all columns stay as they are.
+
+    Defined cases: those of :func:`exact_dedup`.
+    """
     kept = exact_dedup(docs, n_batches).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")).distinct()
     rows = docs.select(packed(docs), text_digest("text").alias("__d"))
     hit = rows.join(kept, rows["__row.doc_id"].eqNullSafe(kept["__id"]) & (rows["__d"] == kept["__digest"]), "left_semi")
