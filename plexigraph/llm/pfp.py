@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from plexigraph.llm.common import chunks, text_bytes
-from plexigraph.llm.phrases import BLOBS, NULL_ID, blobs, bucket_count, cut, flat, merged, mixed64, own_spans, pack, runs_of, settle, span_table, spread, unpack
+from plexigraph.llm.phrases import BLOBS, NULL_ID, blobs, bucket_count, common_grams, common_table, cut, flat, merged, mixed64, ordered, own_spans, pack, runs_of, settle, span_table, spread, unpack
 
 SPAN = 50
 GRAM = 8
@@ -44,7 +44,17 @@ SEGMENT = 1 << 20
 _KINDS = [None, "u1", "u1", "<i4", "<i4", "u1", "<i8", "<i8"]
 
 
-def _triggers(parts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _grams(padded: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the eight bytes at each of the first ``size`` places."""
+    return mixed64(np.ndarray((size,), "<u8", padded, strides=(1,)).astype(np.uint64)) if size else np.zeros(0, np.uint64)
+
+
+def _all_grams(texts: list[bytes]) -> np.ndarray:
+    data = b"".join(texts)
+    return _grams(np.frombuffer(data, np.uint8), max(0, len(data) - GRAM + 1))
+
+
+def _triggers(parts: list[bytes], table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first window, last window, trigger, trigger's hash) of the parts' phrases, by byte of all parts together."""
     at, held, size = 0, [], 0
     for i, p in enumerate(parts):
@@ -54,13 +64,13 @@ def _triggers(parts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
             continue
         doc = np.repeat(np.arange(len(held), dtype=np.int32), np.fromiter(map(len, held), np.int64, len(held)))
         padded = np.frombuffer(b"".join(held) + bytes(GRAM), np.uint8)
-        gram = mixed64(np.ndarray((size,), "<u8", padded, strides=(1,)).astype(np.uint64)) if size else np.zeros(0, np.uint64)
+        gram = ordered(_grams(padded, size), table)
         first, last, trigger = cut(gram, doc, SPAN, GRAM)
         yield first + at, last + at, trigger + at, gram[trigger]
         at, held, size = at + size, [], 0
 
 
-def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: int) -> list[tuple]:
+def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: int, table: np.ndarray) -> list[tuple]:
     """Blob rows of some texts: a phrase once, with its smallest document; spans that are settled here."""
     order = np.argsort(ids, kind="stable")
     parts, row, base = [], [], []
@@ -73,7 +83,7 @@ def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: i
     data = b"".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     begin = np.cumsum(lengths) - lengths
-    first, last, trigger, gram = (np.concatenate(x) for x in zip(*_triggers(parts), strict=True))
+    first, last, trigger, gram = (np.concatenate(x) for x in zip(*_triggers(parts, table), strict=True))
     part = np.searchsorted(begin, first, "right") - 1
     where = (gram % np.uint64(n_buckets)).astype(np.int64)
     # the dictionary of this chunk, in order of doc_id: the first to have a phrase is the smallest
@@ -281,11 +291,13 @@ def _remove(text: pa.Array, spans: pa.Array) -> pa.Array:
 def spans_of(docs: DataFrame) -> DataFrame:
     """Spans that repeat smaller documents: __d (doc_id), __dh (hash of the text), spans."""
     n_buckets = bucket_count(docs)
+    common = common_grams(docs, _all_grams)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = common_table(common)
         for b in chunks(batches, "text", CHUNK):
             ids = b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            yield blobs(_parse(text_bytes(b.column(1)), ids, b.column(2).to_numpy(zero_copy_only=False), n_buckets))
+            yield blobs(_parse(text_bytes(b.column(1)), ids, b.column(2).to_numpy(zero_copy_only=False), n_buckets, table))
 
     narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).where(F.octet_length("text") >= SPAN)
     return settle(narrow.mapInArrow(parse, BLOBS), _settle)

@@ -4,11 +4,16 @@ Every window of ``span`` symbols (bytes or words) has one trigger: the k-gram wi
 hash inside it, the leftmost of equals.  A phrase is the stretch that a run of consecutive windows with
 the same trigger covers.  So a window lies whole in exactly one phrase, and equal windows, wherever they
 stand, have the same trigger at the same offset and meet in the bucket of the trigger's hash.
+
+K-grams that are common in a sample of the corpus count as larger than all others.  So a window has a common
+trigger only if it lies whole within common text, where phrases are alike and collapse; the windows at the edge
+of a passage that a third of all documents hold have triggers that reach into what follows, and spread.  The
+sample sets this order alone: whatever it says, equal windows meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plexigraph.llm.common import chunks, text_bytes
 from plexigraph.session import materialize, shuffle_width
 
 NULL_ID = np.iinfo(np.int64).max
@@ -31,6 +37,33 @@ def mixed64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def common_grams(docs: DataFrame, grams: Callable[[list[bytes]], np.ndarray], most: int = 20_000, sample: int = 64 << 20, least: int = 8) -> np.ndarray:
+    """Hashes of the at most ``most`` most frequent k-grams of about ``sample`` bytes of text, each ``least`` times in a chunk of it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text", 4 << 20):
+            g, n = np.unique(grams(text_bytes(b.column(0))), return_counts=True)
+            often = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(g[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["g", "n"])
+
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, total // sample))) == 0).select(F.coalesce("text", F.lit("")).alias("text"))
+    top = some.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(most)
+    return np.array([r["g"] for r in top.collect()], np.int64).view(np.uint64)
+
+
+def common_table(common: np.ndarray) -> np.ndarray:
+    """By the first 20 bits of a hash: does a common k-gram begin so?"""
+    table = np.zeros(1 << 20, bool)
+    table[(common >> np.uint64(44)).astype(np.int64)] = True
+    return table
+
+
+def ordered(gram: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The hashes with common ones above all others."""
+    return (gram >> np.uint64(1)) | (table[(gram >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(63))
+
+
 def cut(gram: np.ndarray, doc: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Phrases as (first window, last window, trigger position), by symbol index.
 

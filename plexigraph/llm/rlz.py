@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from plexigraph.llm.common import chunks, text_bytes
-from plexigraph.llm.phrases import BLOBS, NULL_ID, blobs, bucket_count, cut, flat, merged, mixed64, own_spans, pack, settle, span_table, spread, unpack
+from plexigraph.llm.phrases import BLOBS, NULL_ID, blobs, bucket_count, common_grams, common_table, cut, flat, merged, mixed64, ordered, own_spans, pack, settle, span_table, spread, unpack
 
 SPAN = 35
 GRAM = 6
@@ -38,7 +38,23 @@ CHUNK = 8 << 20
 _KINDS = [None, "<u4", "u1", "u1", "u1", "<u4", "<u4", "<i8", "<i8"]
 
 
-def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: int) -> list[tuple]:
+def _grams(word: np.ndarray) -> np.ndarray:
+    """Hash of the words from each on, by the words' hashes; the last few run on at the first."""
+    gram = word
+    for k in range(1, GRAM):
+        gram = gram * np.uint64(0x9E3779B97F4A7C15) + np.roll(word, -k)
+    return mixed64(gram)
+
+
+def _all_grams(texts: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    every = b" ".join(texts).split()
+    number = {w: xxh64_intdigest(w) for w in set(every)}
+    return _grams(np.fromiter(map(number.__getitem__, every), np.uint64, len(every)))
+
+
+def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: int, table: np.ndarray) -> list[tuple]:
     """Blob rows of some texts: a phrase once; spans of phrases that occur twice here are settled at once."""
     from xxhash import xxh64_intdigest
 
@@ -58,10 +74,7 @@ def _parse(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, n_buckets: i
     at = ends - length
     begin = np.cumsum(counts) - counts
     doc = np.repeat(np.arange(len(texts)), counts)
-    gram = word
-    for k in range(1, GRAM):
-        gram = gram * np.uint64(0x9E3779B97F4A7C15) + np.roll(word, -k)
-    gram = mixed64(gram)
+    gram = ordered(_grams(word), table)
     first, last, trigger = cut(gram, doc, SPAN, GRAM)
     if not len(first):
         return []
@@ -239,11 +252,13 @@ def _remove(text: pa.Array, spans: pa.Array) -> pa.Array:
 def spans_of(docs: DataFrame) -> DataFrame:
     """Spans of words in repeated windows: __d (doc_id), __dh (hash of the text), spans."""
     n_buckets = bucket_count(docs)
+    common = common_grams(docs, _all_grams)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = common_table(common)
         for b in chunks(batches, "text", CHUNK):
             ids = b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            yield blobs(_parse(text_bytes(b.column(1)), ids, b.column(2).to_numpy(zero_copy_only=False), n_buckets))
+            yield blobs(_parse(text_bytes(b.column(1)), ids, b.column(2).to_numpy(zero_copy_only=False), n_buckets, table))
 
     narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).where(F.octet_length("text") >= 2 * SPAN - 1)
     return settle(narrow.mapInArrow(parse, BLOBS), _settle)

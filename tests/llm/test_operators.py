@@ -164,7 +164,7 @@ def test_long_segments(spark, monkeypatch):
     two = bytes(rng.integers(97, 123, 700, dtype=np.uint8)) + one[1000:1400] + b"x"
     monkeypatch.setattr(pfp, "SEGMENT", 900)
     ids, hs = np.array([1, 2]), np.array([11, 12])
-    spans = [s for r in pfp._parse([one, two], ids, hs, 1) if r[2] is not None for s in np.frombuffer(r[3], "<i8").reshape(-1, 2).tolist()]
+    spans = [s for r in pfp._parse([one, two], ids, hs, 1, np.zeros(1 << 20, bool)) if r[2] is not None for s in np.frombuffer(r[3], "<i8").reshape(-1, 2).tolist()]
     assert spans and min(s for s, _ in spans) >= 700 and max(e for _, e in spans) <= 1100
 
 
@@ -388,6 +388,37 @@ def test_factors():
             assert merged(factors(own, 5)) == merged((i, i + n) for i, n in enumerate(own) if n >= 5)
 
 
+def test_hot_passage(spark):
+    """A passage that all documents hold, each followed by words of its own: no trigger collects what is unlike."""
+    from plexigraph.llm import pfp, rlz
+    from plexigraph.llm.phrases import common_grams, common_table, unpack
+
+    rng = random.Random(2)
+    passage = " ".join(f"shared{k}" for k in range(80))
+    texts = [passage + " " + " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(80)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    ids = np.arange(300)
+    for op in (pfp, rlz):
+        common = common_grams(docs, op._all_grams)
+        assert len(common) > 50
+        # by trigger, the unlike phrases that meet there
+        widest = []
+        for table in (np.zeros(1 << 20, bool), common_table(common)):
+            met: dict[int, set] = {}
+            for k, t in enumerate(texts):
+                for bucket, doc, _, payload in op._parse([t.encode()], ids[k : k + 1], ids[k : k + 1], 1 << 40, table):
+                    if doc is None:
+                        content, sizes = unpack(payload, op._KINDS)[:2]
+                        sizes = sizes.astype(np.int64) + (pfp.SPAN if op is pfp else 0)
+                        met.setdefault(bucket, set()).update(content[e - n : e] for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist()))
+            widest.append(max(map(len, met.values())))
+        assert widest[0] > 150 and widest[1] < 60, widest
+    got = {r["doc_id"]: r["n_removed"] for r in rlz.word_span_dedup(docs).collect()}
+    assert set(got.values()) == {80}
+    got = {r["doc_id"]: r["n_removed"] for r in pfp.substring_dedup(docs).collect()}
+    assert got.pop(0) == 0 and all(len(passage) + 1 <= n <= len(passage) + 4 for n in got.values())
+
+
 def test_mixing(docs, none, rows):
     from plexigraph.llm.mixing import mix, mixed, word_count
 
@@ -573,6 +604,115 @@ def test_line_runs(spark):
     assert "Exchange" not in store.totals()._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture(scope="module")
+def long_rows():
+    """Texts of 20,000 words, of over a MB and of several MB, with shared passages, and nulls beside them."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(4000)]
+    some = lambda n: rng.choices(vocab, k=n)
+    first = some(20_000)
+    second = some(90_000) + first[5_000:5_200] + some(90_000) + ["x" * 30_000]
+    third = second[1_000:60_000] + some(500_000)
+    line = " ".join(first[:30])
+    lines = "\n".join([line] + [" ".join(some(9)) for _ in range(30_000)] + [line.upper(), ""])
+    texts = [" ".join(first), " ".join(second), " ".join(third), lines, line, None, "", line + "\n" + line]
+    return [(k * 7, t) for k, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark, long_rows):
+    return spark.createDataFrame([(d, t, "h") for d, t in long_rows], "doc_id long, text string, source string").repartition(2)
+
+
+def windows_gone(words: list, span: int, seen: Counter) -> int:
+    edge, gone = 0, 0
+    for i in range(len(words) - span + 1):
+        if seen[hash(tuple(words[i : i + span]))] > 1:
+            gone += i + span - max(edge, i)
+            edge = i + span
+    return gone
+
+
+def test_long_words(long_docs, long_rows):
+    from xxhash import xxh64_intdigest
+
+    from plexigraph.llm.lm import lm_scores
+    from plexigraph.llm.mixing import word_count
+    from plexigraph.llm.quality import quality
+    from plexigraph.llm.rlz import word_span_dedup
+    from plexigraph.llm.simhash import simhash_groups
+
+    words = {d: data(t).split() for d, t in long_rows}
+    assert sorted(map(len, words.values()))[-1] > 500_000
+    got = {r["doc_id"]: r for r in quality(long_docs).collect()}
+    for d, w in words.items():
+        own = Counter(hash(tuple(w[i : i + 8])) for i in range(len(w) - 7))
+        assert (got[d]["n_words"], got[d]["n_repeat_words"]) == (len(w), windows_gone(w, 8, own)), d
+    seen = Counter(hash(tuple(w[i : i + 35])) for w in words.values() for i in range(len(w) - 34))
+    got = {r["doc_id"]: r for r in word_span_dedup(long_docs).collect()}
+    assert {d: (r["n_words"], r["n_removed"]) for d, r in got.items()} == {d: (len(w), windows_gone(w, 35, seen)) for d, w in words.items()}
+    got = {r["doc_id"]: int(r["fingerprint"], 16) for r in simhash_groups(long_docs).collect()}
+    for d, t in long_rows:
+        w = low(data(t)).split()
+        hs = np.array([xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else [], np.uint64)
+        assert got[d] == sum(1 << j for j in range(64) if 2 * int((hs >> np.uint64(j) & np.uint64(1)).sum()) > len(hs)), d
+    train = Counter()
+    for d, t in long_rows:
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            train.update([*low(data(t)).split(), b"\n"])
+    n, v = sum(train.values()), len(train)
+    for r in lm_scores(long_docs).collect():
+        w = [*low(data(dict(long_rows)[r["doc_id"]])).split(), b"\n"]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in train for x in w), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w)) and r["score"] < 0
+    assert {r["doc_id"]: r["n"] for r in long_docs.select("doc_id", word_count("text").alias("n")).collect()} == {d: len(w) for d, w in words.items()}
+
+
+def test_long_bytes(long_docs, long_rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from plexigraph.llm.exact import exact_dedup
+    from plexigraph.llm.linededup import line_dedup
+    from plexigraph.llm.mixing import mixed
+    from plexigraph.llm.packing import pack_documents
+    from plexigraph.llm.pfp import substring_dedup
+
+    first: dict[int, int] = {}
+    for d, t in long_rows:  # in order of doc_id
+        b = data(t)
+        for i in range(len(b) - 49):
+            first.setdefault(hash(b[i : i + 50]), d)
+    want = {}
+    for d, t in long_rows:
+        b, edge, gone, spans = data(t), 0, 0, 0
+        for i in range(len(b) - 49):
+            if first[hash(b[i : i + 50])] < d:
+                spans += i > edge or not gone
+                gone += i + 50 - max(edge, i)
+                edge = i + 50
+        want[d] = (len(b), gone, spans)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in substring_dedup(long_docs).collect()} == want
+    assert {r["doc_id"]: (r["keep_id"], r["text_sha256"]) for r in exact_dedup(long_docs).collect()} == {d: (42 if not t else d, sha(low(data(t)))) for d, t in long_rows}
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup(long_docs).collect()}
+    assert got == {d: ((t or "").count("\n") + 1, {21: 2, 28: 1}.get(d, 0)) for d, t in long_rows}
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lengths = Counter()
+    for r in pack_documents(long_docs, public_tokenizers.path("word_bpe_49k.json")).collect():
+        lengths[r["doc_id"]] += r["length"]
+    assert lengths == {d: len(tk.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in long_rows}
+    total = sum(len(data(t).split()) for _, t in long_rows)
+    assert sum(len(r["text"].split()) for r in mixed(long_docs).collect()) == math.floor(1.5 * total)
+
+
+def test_long_url(spark):
+    from plexigraph.llm.urlfilter import judge_urls, rule_table
+
+    url = "http://" + "a." * 100 + "example.com/en/7" + "x" * 300_000
+    got = judge_urls(spark.createDataFrame([(1, url), (None, url[:250])], "page_id long, url string"), rule_table(spark)).collect()
+    assert {(r["page_id"], r["rule"], r["verdict"]) for r in got} == {(1, "example.com/en/7", "allow"), (None, "example.com/en/7", "allow")}
+
+
 def test_pipeline(spark, docs, none, tmp_path):
     import corpus_pipeline
 
