@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,27 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+_lean = False
+
+
+def lean() -> None:
+    """Once a Python worker: large arrays go back to the system when they are freed, not to a heap that keeps its peak.
+
+    Workers serve many tasks of different operators, and each would hold the most that any of them took.
+    """
+    global _lean
+    if _lean:
+        return
+    _lean = True
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        for option, value in ((-3, 4 << 20), (-1, 8 << 20), (-8, 2)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+            libc.mallopt(option, value)
+    except OSError:  # another C library
+        pass
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only, in the JVM; pure ASCII (as many bytes as characters) takes the quick way."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -23,6 +45,7 @@ def ascii_lower(c: Column) -> Column:
 
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
+    lean()
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
@@ -31,6 +54,7 @@ def split_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.A
 
     Runs in Arrow: no Python object a word.
     """
+    lean()
     text = column.cast(pa.large_string()).fill_null("")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
     words, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -43,11 +67,26 @@ def split_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.A
     return counts, words
 
 
+def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of stretches of about ``limit`` bytes of text (one text at least), so that a record batch needn't be taken at once."""
+    lean()
+    lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    start, size = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > start and size + n > limit:
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut and join record batches to about ``limit`` bytes of ``text`` each (one row at least).
 
     Whole texts stay together, so a single long text may exceed the limit by itself.
     """
+    lean()
     held: list[pa.RecordBatch] = []
     size = 0
 

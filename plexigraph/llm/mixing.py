@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from plexigraph.llm.common import packed, text_bytes, unpacked, with_lengths
+from plexigraph.llm.common import packed, slices, split_words, text_bytes, unpacked, with_lengths
 from plexigraph.plans.prefix import numbered, prefix_sums
 from plexigraph.session import materialize
 
@@ -24,7 +24,10 @@ WEIGHTS = (3.0, 1.0, 2.0)
 
 @arrow_udf(T.LongType())
 def word_count(text: pa.Array) -> pa.Array:
-    return pa.array(np.fromiter((len(b.split()) for b in text_bytes(text)), np.int64, len(text)))
+    parts = [np.zeros(0, np.int64)]
+    for s, e in slices(text, 4 << 20):
+        parts.append(split_words(text.slice(s, e - s))[0])
+    return pa.array(np.concatenate(parts))
 
 
 def _group(source: Column) -> Column:

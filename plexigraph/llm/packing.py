@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from plexigraph.llm.common import text_bytes
+from plexigraph.llm.common import slices, text_bytes
 from plexigraph.llm.words import encoder
 from plexigraph.plans.prefix import prefix_sums
 from plexigraph.session import materialize
@@ -43,12 +43,13 @@ def pieces(tokenizer: str, capacity: int = CAPACITY):
     def cut(text: pa.Array) -> pa.Array:
         encode = encoder(tokenizer)
         offsets, rows = [0], []
-        for b in text_bytes(text):
-            ids = np.append(encode(b), 0).astype("<u4")
-            for k, s in enumerate(range(0, len(ids), capacity)):
-                own = ids[s : s + capacity]
-                rows.append((k, s, len(own), zlib.crc32(own.tobytes())))
-            offsets.append(len(rows))
+        for begin, end in slices(text, 4 << 20):
+            for b in text_bytes(text.slice(begin, end - begin)):
+                ids = np.append(encode(b), 0).astype("<u4")
+                for k, s in enumerate(range(0, len(ids), capacity)):
+                    own = ids[s : s + capacity]
+                    rows.append((k, s, len(own), zlib.crc32(own.tobytes())))
+                offsets.append(len(rows))
         a = np.array(rows, np.int64).reshape(-1, 4)
         fields = [pa.array(a[:, 0].astype(np.int32)), pa.array(a[:, 1]), pa.array(a[:, 2]), pa.array(a[:, 3])]
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["piece", "start", "length", "ids_crc32"]))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from plexigraph.llm.common import packed, text_bytes, unpacked
+from plexigraph.llm.common import packed, slices, text_bytes, unpacked
 from plexigraph.session import materialize
 
 #: The symbols that are counted, and ASCII white space.
@@ -79,15 +79,11 @@ def measure(texts: list[bytes], chars: np.ndarray) -> dict[str, np.ndarray]:
 
 @arrow_udf(RULES)
 def rule_counts(text: pa.Array) -> pa.Array:
-    """The counts, taken over about 4 MB of text at a time."""
-    texts = text_bytes(text)
-    chars = pc.utf8_length(text).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    parts, start, size = [], 0, 0
-    for i, b in enumerate(texts):
-        size += len(b)
-        if size > 4 << 20 or i == len(texts) - 1:
-            parts.append(measure(texts[start : i + 1], chars[start : i + 1]))
-            start, size = i + 1, 0
+    """The counts, taken over about 2 MB of text at a time."""
+    parts = []
+    for s, e in slices(text, 2 << 20):
+        some = text.slice(s, e - s)
+        parts.append(measure(text_bytes(some), pc.utf8_length(some).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
     names = [f.name for f in RULES.fields]
     return pa.StructArray.from_arrays([pa.array(np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, np.int64)) for n in names], names)
 

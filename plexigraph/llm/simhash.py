@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from plexigraph.llm.common import packed, text_bytes, unpacked
+from plexigraph.llm.common import packed, slices, text_bytes, unpacked
 from plexigraph.operators.components import weak_components
 from plexigraph.session import materialize, shuffle_width
 
@@ -52,10 +52,15 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
         else:
             hashes += [xxh64_intdigest(line[s : e - 1], SEED) for s, e in zip(at, at[shingle:])]
             counts[i] = len(words) - shingle + 1
-    out = np.zeros(len(texts), np.uint64)
+    return majority(np.array(hashes, np.uint64), counts)
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each text, the bits that over half of its hashes have; ``hashes`` one text after the other, none: 0."""
+    out = np.zeros(len(counts), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         starts = (np.cumsum(counts) - counts)[some]
         ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         out[some] = np.packbits(2 * ones > counts[some, None], axis=1, bitorder="little").view("<u8").ravel()
@@ -65,13 +70,9 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
 @arrow_udf(T.LongType())
 def fingerprint(text: pa.Array) -> pa.Array:
     """Fingerprints as signed longs, over about 2 MB of text at a time (one long text may be more)."""
-    texts = text_bytes(text)
-    parts, start, size = [np.zeros(0, np.uint64)], 0, 0
-    for i, b in enumerate(texts):
-        size += len(b)
-        if size > 2 << 20 or i == len(texts) - 1:
-            parts.append(fingerprints(texts[start : i + 1]))
-            start, size = i + 1, 0
+    parts = [np.zeros(0, np.uint64)]
+    for s, e in slices(text, 2 << 20):
+        parts.append(fingerprints(text_bytes(text.slice(s, e - s))))
     return pa.array(np.concatenate(parts).view(np.int64))
 
 

@@ -1,59 +1,75 @@
-"""Near copies by exact similarity: Jaccard of 0.8 or more between sets of five-word shingles.
-
-All sets are put in one order of shingles (by hash, those common in a sample last).  Two sets that similar
-share a shingle among the first n - ceil(0.8 n) + 1 of each, so joining on those finds every pair.  First
-each such shingle's members meet one hub, the member with the most shared ones, so a dense group of copies
-gives as many pairs as it has members; then those still in different components meet all others.  Every
-pair is verified on its whole sets.
+"""SimHash near-dedup at a similarity: Jaccard of 0.8 or more between sets of five-word shingles.
+
+Operator 4's fingerprints over five-word shingles and its generalised pigeonhole find texts that differ in a few
+bits; each such pair is verified on its whole sets.  Two texts of similarity 0.8 differ in some ten of 64 bits,
+though, where no cut of the bits is selective, so SimHash alone would miss most of them.  What it can't see is
+found exactly: all sets are put in one order of shingles (by hash, those common in a sample last); two sets that
+similar share a shingle among the first n - ceil(0.8 n) + 1 of each.  First each such shingle's members meet one
+hub, the member with the most shared ones, so a dense group of copies gives as many pairs as it has members; then
+those still in different components meet all others.  Every pair is verified on its whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexigraph.llm.common import chunks, text_bytes
-from plexigraph.llm.simhash import SEED, keep_first
+from plexigraph.llm.common import chunks, split_words
+from plexigraph.llm.phrases import common_grams, common_table, flat, mixed64
+from plexigraph.llm.simhash import keep_first, links, majority
 from plexigraph.operators.components import weak_components
 from plexigraph.session import materialize
 
 SHINGLE = 5
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted hashes of the text's shingles; all words where there are fewer than five, none without words."""
+def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all shingles in order, how many each text has): all words where there are fewer than five, none without words."""
     from xxhash import xxh64_intdigest
 
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    at = list(accumulate((len(w) + 1 for w in words), initial=0))
-    return np.unique(np.array([xxh64_intdigest(line[s : e - 1], SEED) for s, e in zip(at, at[min(SHINGLE, len(words)) :])], np.uint64))
+    size, words = split_words(texts, lower=True)
+    coded = words.dictionary_encode()
+    kinds = np.array([xxh64_intdigest(w, SHINGLE) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
+    word = kinds[coded.indices.to_numpy(zero_copy_only=False)] if len(kinds) else np.zeros(0, np.uint64)
+    begin = np.cumsum(size) - size
+    count = np.where(size > 0, np.maximum(1, size - SHINGLE + 1), 0)
+    at = flat(begin, count)
+    last = np.repeat(begin + size, count) - 1
+    out = word[at] if len(at) else word
+    for k in range(1, SHINGLE):
+        inside = at + k <= last
+        out = np.where(inside, out * _STEP + word[np.minimum(at + k, len(word) - 1)], out) if len(at) else out
+    return mixed64(out), count
 
 
-def _key(s: np.ndarray) -> str:
-    """Names a set: equal sets have one key."""
-    from xxhash import xxh3_128_hexdigest
+def _all_shingles(texts: list[bytes]) -> np.ndarray:
+    return shingles(pa.array(texts, pa.binary()).cast(pa.string()))[0]
 
-    return xxh3_128_hexdigest(s.tobytes())
 
+def _sets(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles of each text once, in the common order; how many; fingerprints)."""
+    g, count = shingles(texts)
+    prints = majority(g, count)
+    doc = np.repeat(np.arange(len(count)), count)
+    late = table[(g >> np.uint64(44)).astype(np.int64)]
+    order = np.lexsort((g, late, doc))
+    g, doc = g[order], doc[order]
+    first = np.ones(len(g), bool)
+    first[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
+    return g[first], np.bincount(doc[first], minlength=len(count)), prints
 
-def _common(docs: DataFrame, most: int = 100_000) -> np.ndarray:
-    """Shingles frequent in a sixteenth of the texts.  They only set the order, which decides no pair."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", 1 << 20):
-            h = np.concatenate([shingles(t) for t in text_bytes(b.column(0))])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["tok"])
+def _names(g: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """Names each set: equal sets have one name."""
+    from xxhash import xxh3_128_digest
 
-    some = docs.select("text").where(F.xxhash64("text") % 16 == 0).distinct().mapInArrow(each, "tok long").groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
-    return np.sort(np.array([r["tok"] for r in some.where("n >= 4").orderBy(F.desc("n"), "tok").limit(most).collect()], np.int64).view(np.uint64))
+    data, ends = g.tobytes(), (8 * np.cumsum(count)).tolist()
+    return [xxh3_128_digest(data[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _alike(na: Column, nb: Column) -> Column:
@@ -61,26 +77,35 @@ def _alike(na: Column, nb: Column) -> Column:
     return 4 * F.greatest(na, nb) <= 5 * F.least(na, nb)
 
 
+def _numbered(sets: DataFrame) -> DataFrame:
+    """``sets`` (key, ..) with ``id``, a hash of the key under the first seed that gives each its own."""
+    n, seed = sets.count(), 0
+    while True:
+        out = sets.withColumn("id", F.xxhash64(F.lit(seed), "key"))
+        if out.agg(F.count_distinct("id")).first()[0] == n:
+            return out
+        seed += 1
+
+
 def similar_labels(docs: DataFrame) -> DataFrame:
     """(doc_id, h, label) of every row: rows with one label are joined by links of similarity 0.8 or more."""
-    sent = docs.sparkSession.sparkContext.broadcast(_common(docs))
+    common = common_grams(docs, _all_shingles, 100_000, least=4)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = sent.value
-        for b in chunks(batches, "text", 1 << 20):
-            key, n, first = [], [], []
-            for t in text_bytes(b.column(1)):
-                s = shingles(t)
-                late = np.isin(s, common)
-                key.append(_key(s))
-                n.append(len(s))
-                first.append(np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + 1].view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(key), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "h", "key", "n", "prefix"])
+        table = common_table(common)
+        for b in chunks(batches, "text", 2 << 20):
+            g, n, prints = _sets(b.column(1), table)
+            size = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+            first = g[flat(np.cumsum(n) - n, size)] if len(g) else g
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(first.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(_names(g, n), pa.binary()), pa.array(n), pa.array(prints.view(np.int64)), lists], ["doc_id", "h", "key", "n", "fp", "prefix"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", 1 << 20):
-            sets = [shingles(t) for t in text_bytes(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "whole"])
+        table = common_table(common)
+        for b in chunks(batches, "text", 2 << 20):
+            g, n, _ = _sets(b.column(0), table)
+            data, ends = g.tobytes(), (8 * np.cumsum(n)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(_names(g, n), pa.binary()), pa.array([data[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], ["key", "whole"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,48 +116,59 @@ def similar_labels(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in b.columns[:2]], ["src", "dst"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    rows = materialize(texts.mapInArrow(prefixes, f"doc_id {kind}, h long, key string, n long, prefix array<long>"), "prefixes")
-    sets = materialize(rows.select("key", "h", "n", "prefix").dropDuplicates(["key"]), "sets")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
+    rows = materialize(texts.mapInArrow(prefixes, f"doc_id {kind}, h long, key binary, n long, fp long, prefix array<long>"), "prefixes")
+    sets = materialize(_numbered(rows.select("key", "h", "n", "fp", "prefix").dropDuplicates(["key"])), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of (a, b), the links.  A bound by the prefixes alone comes first; whole sets are made again for what passes it."""
-        x = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-        y = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+        x = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+        y = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
         rest = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
         may = 9 * (F.size(F.array_intersect("pa", "pb")) + rest) >= 4 * (F.col("na") + F.col("nb"))
         likely = materialize(pairs.join(x, "a").join(y, "b").where(may).select("a", "b"), "likely")
-        used = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct()
-        hs = sets.join(used, "key", "left_semi").select("h").distinct()
-        full = materialize(texts.join(hs, "h", "left_semi").select("text").distinct().mapInArrow(whole, "key string, whole binary").dropDuplicates(["key"]), "whole")
+        used = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
+        needed = sets.join(used, "id", "left_semi").select("h", "key", "id")
+        made = texts.join(needed.select("h").distinct(), "h", "left_semi").select("text").mapInArrow(whole, "key binary, whole binary").dropDuplicates(["key"])
+        full = materialize(made.join(needed, "key").select("id", "whole"), "whole")
         both = likely.join(full.toDF("a", "wa"), "a").join(full.toDF("b", "wb"), "b").select("a", "b", "wa", "wb")
-        return materialize(both.mapInArrow(compare, "src string, dst string"), "similar")
-
-    tokens = sets.select("key", "n", F.explode("prefix").alias("tok"))
+        return materialize(both.mapInArrow(compare, "src long, dst long"), "similar")
+
+    # pairs by fingerprint: sets that share one meet the least of them, and those least ones meet by the pigeonhole
+    prints = materialize(sets.groupBy("fp").agg(F.min("id").alias("rep")), "prints")
+    near = links(prints.select("fp"))
+    same = sets.join(prints, "fp").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    ends = near.join(prints.toDF("src", "a"), "src").join(prints.toDF("dst", "b"), "dst").select("a", "b")
+    # pairs by shared shingles
+    tokens = sets.select("id", "n", F.explode("prefix").alias("tok"))
     often = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = materialize(tokens.join(often, "tok"), "shared")
-    weight = shared.groupBy("key").agg(F.sum("df").alias("w"))
-    hubs = shared.join(weight, "key").groupBy("tok").agg(F.max(F.struct("w", "key", "n")).alias("hub"))
-    met = shared.join(hubs, "tok").where((F.col("key") != F.col("hub.key")) & _alike(F.col("n"), F.col("hub.n")))
-    stars = materialize(met.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct(), "stars")
-    links = verified(stars)
+    weight = shared.groupBy("id").agg(F.sum("df").alias("w"))
+    hubs = shared.join(weight, "id").groupBy("tok").agg(F.max(F.struct("w", "id", "n")).alias("hub"))
+    met = shared.join(hubs, "tok").where((F.col("id") != F.col("hub.id")) & _alike(F.col("n"), F.col("hub.n"))).select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
+    pairs = same.unionAll(ends).unionAll(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    stars = materialize(pairs, "stars")
+    found = verified(stars)
 
     def placed(table: DataFrame, links: DataFrame) -> DataFrame:
         labels = weak_components(links)
-        return table.join(labels, table["key"] == labels["id"], "left").select(*table.columns, F.coalesce("label", "key").alias("label"))
+        return table.join(labels.toDF("lid", "l"), F.col("id") == F.col("lid"), "left").select(*table.columns, F.coalesce("l", "id").alias("label"))
 
-    parts = materialize(placed(shared.select("key", "n", "tok"), links), "parts")
+    parts = materialize(placed(shared.select("id", "n", "tok"), found), "parts")
     mixed = parts.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("tok")
-    parts = materialize(parts.join(mixed, "tok", "left_semi").select("key", "n", "tok", "label"), "mixed")
+    parts = materialize(parts.join(mixed, "tok", "left_semi").select("id", "n", "tok", "label"), "mixed")
     x, y = parts.toDF("a", "na", "tok", "la"), parts.toDF("b", "nb", "tok", "lb")
     apart = x.join(y, "tok").where((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _alike(F.col("na"), F.col("nb")))
     more = verified(materialize(apart.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "apart"))
-    return placed(rows.select("doc_id", "h", "key"), links.union(more)).select("doc_id", "h", "label")
+    ids = materialize(placed(sets.select("key", "id"), found.unionAll(more)), "labels")
+    return rows.join(ids, "key").select("doc_id", "h", "label")
 
 
 def keep_similar(docs: DataFrame) -> DataFrame:
     """``docs`` with one row for each component of similar texts: that of the smallest doc_id.  All columns stay.
 
-    Texts without words (or null) are one set; texts under five words are similar only if their words are the same.
+    Defined cases: texts without words (or null) are one set; texts under five words are similar only if their words
+    are the same; repeated rows are copies; a component without any doc_id keeps one of its rows; an empty table gives
+    no rows; a text of any length is one set, made by itself.
     """
     return keep_first(docs, materialize(similar_labels(docs), "similar_labels"))

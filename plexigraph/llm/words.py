@@ -16,7 +16,7 @@ import numpy as np
 #: The vocabulary's pre-token pattern, over printable ASCII and Latin letters that NFC leaves alone.
 _PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ſ]+|[0-9]|[^a-zß-öø-įı-ſ0-9]+")
 _PLAIN = re.compile("[\x21-\x7eÀ-įı-ſ]+")
-_LIMIT = 500_000
+_LIMIT = 250_000
 _made: dict[str, Callable[[bytes], np.ndarray]] = {}
 
 
