@@ -3,18 +3,18 @@
 The tokenizer's pre-tokens never hold white space, and its normalisation (NFC, lower case) does not
 reach across ASCII white space, so a text's ids are those of its white-space separated parts in turn.
 Each part is encoded once a worker and then looked up.  Parts of printable ASCII and Latin letters are
-split here; all others go through the tokenizer's own normalizer and pre-tokenizer.
+split here by the pattern in the vocabulary's file; all others go through the tokenizer's own steps.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
 import numpy as np
 
-#: The vocabulary's pre-token pattern, over printable ASCII and Latin letters that NFC leaves alone.
-_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ſ]+|[0-9]|[^a-zß-öø-įı-ſ0-9]+")
+#: Printable ASCII and Latin letters that NFC leaves alone.
 _PLAIN = re.compile("[\x21-\x7eÀ-įı-ſ]+")
 _LIMIT = 250_000
 _made: dict[str, Callable[[bytes], np.ndarray]] = {}
@@ -27,6 +27,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _splitter(tokenizer: str) -> Callable[[str], list[str]] | None:
+    """The vocabulary's own pre-token pattern, or None if it is not made of lower case, one pattern and byte letters."""
+    import regex
+
+    made = json.loads(tokenizer)
+    steps = (made.get("normalizer") or {}).get("normalizers", [])
+    pre = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in pre] != ["Split", "ByteLevel"]:
+        return None
+    split, letters = pre
+    if split["behavior"] != "Removed" or not split["invert"] or "Regex" not in split["pattern"] or letters["add_prefix_space"] or letters["use_regex"]:
+        return None
+    return regex.compile(split["pattern"]["Regex"]).findall
+
+
 def encoder(path: str) -> Callable[[bytes], np.ndarray]:
     """A function from UTF-8 bytes to token ids, without special tokens; made once a worker."""
     if path in _made:
@@ -35,7 +50,7 @@ def encoder(path: str) -> Callable[[bytes], np.ndarray]:
 
     whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = True
-    model, letters = whole.model, _byte_letters()
+    model, letters, split = whole.model, _byte_letters(), _splitter(whole.to_str())
     table = {b: letters[b] for b in range(256)}
     known: dict[str, bytes] = {}
 
@@ -46,9 +61,9 @@ def encoder(path: str) -> Callable[[bytes], np.ndarray]:
     class Cache(dict):
         def __missing__(self, word: bytes) -> bytes:
             text = word.decode()
-            if _PLAIN.fullmatch(text):
+            if split is not None and _PLAIN.fullmatch(text):
                 out = []
-                for part in _PART.findall(text.lower()):
+                for part in split(text.lower()):
                     if (ids := known.get(part)) is None:
                         ids = known[part] = token(part)
                     out.append(ids)

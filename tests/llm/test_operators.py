@@ -419,26 +419,32 @@ def test_hot_passage(spark):
     assert got.pop(0) == 0 and all(len(passage) + 1 <= n <= len(passage) + 4 for n in got.values())
 
 
-def test_mixing(docs, none, rows):
-    from plexigraph.llm.mixing import mix, mixed, word_count
-
-    sizes = [len(data(t).split()) for _, t, *_ in rows]
-    total = Counter()
-    for r, n in zip(rows, sizes):
-        total[r[3]] += n
-    names = sorted((s for s in total if s is not None), key=lambda s: s.encode()) + [None]
-    weight = dict(zip(names, [3, 1, 2, 3]))
-    target, free, left = {}, set(names), 1.5 * sum(sizes)
+def brute_targets(total: Counter) -> dict:
+    """Each source's share of 150 % of all sizes by weight, stopped at twice its size, the excess shared again."""
+    names = sorted((s for s in total if s is not None), key=lambda s: s.encode()) + [None] * (None in total)
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    target, free, left = {}, set(names), 1.5 * sum(total.values())
     while free:
         share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
         over = {s for s in free if share[s] > 2 * total[s]}
         if not over:
-            target |= share
-            break
+            return target | share
         for s in over:
             target[s] = 2.0 * total[s]
             left -= target[s]
         free -= over
+    return target
+
+
+def test_mixing(docs, none, rows):
+    from plexigraph.llm.mixing import mix, mixed, word_count
+
+    sizes = [len(data(t).split()) for _, t, *_ in rows]
+    total = Counter()
+    for r, n in zip(rows, sizes):
+        total[r[3]] += n
+    names = sorted((s for s in total if s is not None), key=lambda s: s.encode()) + [None]
+    target = brute_targets(total)
     counted = docs.select("doc_id", "source", word_count("text").alias("size"), "g", "before", F.lit("k").alias("key"), "`a.b`", F.lit(1).alias("rank"))
     out = mix(counted)
     assert out.columns == [*counted.columns, "source_size", "target", "taken"]
@@ -713,16 +719,79 @@ def test_long_url(spark):
     assert {(r["page_id"], r["rule"], r["verdict"]) for r in got} == {(1, "example.com/en/7", "allow"), (None, "example.com/en/7", "allow")}
 
 
-def test_pipeline(spark, docs, none, tmp_path):
+def brute_quality(rows):
+    """Rows that pass the base rules; no host of these fails as a whole."""
+    out = []
+    for r in rows:
+        w = data(r[1]).split()
+        win = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        hit = {i + j for i in range(len(w) - 7) if win[tuple(w[i : i + 8])] > 1 for j in range(8)}
+        if len(w) >= 20 and 100 * len(hit) <= 30 * len(w):
+            out.append(r)
+    return out
+
+
+def brute_lines(rows):
+    key = lambda x: low(x.strip(" \t\n\x0b\x0c\r").encode()).decode()
+    holds: dict[str, list] = {}
+    for r in rows:
+        for k in {key(x) for x in (r[1] or "").split("\n")}:
+            holds.setdefault(k, []).append(r[0])
+    out = []
+    for r in rows:
+        last = {k: max((y for y in holds[k] if y is not None), default=None) for k in map(key, (r[1] or "").split("\n"))}
+        kept = [x for x in (r[1] or "").split("\n") if not (len(key(x)) >= 20 and len(holds[key(x)]) >= 3 and last[key(x)] not in (None, r[0]))]
+        text = "\n".join(kept)
+        out.append((r[0], text, *r[2:4], len(text), *r[5:]))
+    return out
+
+
+def brute_similar(rows):
+    sets = []
+    for r in rows:
+        w = low(data(r[1])).split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = group[i], group[j]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    best = {}
+    for i, g in enumerate(group):
+        k = (math.inf if rows[i][0] is None else rows[i][0], i)
+        best[g] = min(best.get(g, k), k)
+    return [rows[i] for _, i in best.values()]
+
+
+def test_pipeline(spark, docs, none, rows, tmp_path):
     import corpus_pipeline
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    stages = docs
-    for name, stage in corpus_pipeline.STAGES:
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "mix_sources", "best_fit_packing"]
+    stages, want = docs, list(rows)
+    kept = ["doc_id", "text", "lang", "source", "n_chars", "g", "before", "fp", "`a.b`"]
+    for (name, stage), brute in zip(corpus_pipeline.STAGES[:3], (brute_quality, brute_lines, brute_similar)):
         assert stage(spark, none, str(tmp_path)).count() == 0, name
-        before = stages
-        stages = stage(spark, stages, str(tmp_path))
-        if name != "best_fit_packing":
-            assert stages.columns == before.columns
+        stages, want = stage(spark, stages, str(tmp_path)), brute(want)
+        assert stages.columns == docs.columns
+        columns = [c for c in kept if c != "before"] if name == "simhash_near_dedup" else kept  # of equal rows any one stays
+        at = [kept.index(c) for c in columns]
+        assert bag(stages, *columns) == Counter(tuple(r[i] for i in at) for r in want), name
+    mixed = corpus_pipeline.STAGES[3][1](spark, stages, str(tmp_path))
+    total = Counter()
+    for r in want:
+        total[r[3]] += len(data(r[1]).split())
+    target = brute_targets(total)
+    taken = Counter()
+    whole = {(r[0], r[1]) for r in want}
+    for r in mixed.collect():
+        taken[r["source"]] += len(data(r["text"]).split())
+        assert (r["doc_id"], r["text"]) in whole or any(d == r["doc_id"] and t.startswith(r["text"]) for d, t in whole)
+    assert taken == Counter({s: math.floor(t + 1e-9) for s, t in target.items()}) and mixed.columns == docs.columns
+    packed = corpus_pipeline.STAGES[4][1](spark, mixed, str(tmp_path))
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    assert bag(corpus_pipeline.run(spark, str(tmp_path)), *keys) == bag(stages, *keys)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert bag(got, *keys) == bag(packed, *keys)
+    lengths = [r["length"] for r in got.collect()]
+    assert got.select("sequence_id").distinct().count() <= best_fit_decreasing(lengths, 2048)
