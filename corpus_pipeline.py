@@ -26,7 +26,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word Jaccard of 0.8 or more), the smallest doc_id stays."""
+    """Of each component of near copies (five-word Jaccard of 0.8 or more), the smallest doc_id stays.
+
+    Fingerprints and pigeonhole of operator 4 find the nearest pairs; what 64 bits can't tell at this similarity is found exactly.
+    """
     return keep_similar(docs)
 
 
@@ -48,7 +51,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Fingerprints (XXH64), hash-random keys and token ids are beyond SQL; tests/llm hold every stage against brute force.
+#: Hash-random keys and token ids are beyond SQL; tests/llm hold each stage, and all of them in turn, against brute force.
 ORACLE_SQL = None
 
 
