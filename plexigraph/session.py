@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -134,16 +132,3 @@ def discard(df: DataFrame) -> None:
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def release(spark: SparkSession, pause: float = 1.0) -> None:
-    """Let Spark's cleaner delete shuffle files that nothing refers to any more.
-
-    Spark removes a shuffle when the driver's garbage collector finds its plan unreachable, which on an
-    idle driver may be long after a table was written.  Call this between a large shuffle whose result is
-    materialized and the next one; it only hastens what would happen anyway.
-    """
-    for _ in range(3):  # the cleaner works in a thread of its own, and one plan may hold another
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(pause)
