@@ -2,19 +2,23 @@
 
 The greedy assignment is sequential by nature: each edge's score needs the state after the one before.
 It runs as one Python task over the sorted edges, with k bits a vertex of state; at scale take
-:func:`ebv_two_level` (parts in parallel) or :func:`dst_owner` (no state at all).
+:func:`bulk_sync` (rounds of edges in parallel), :func:`ebv_two_level` (parts in parallel) or
+:func:`dst_owner` (no state at all).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexigraph.operators.transforms import degree_order, merge_hierarchical, vertices
-from plexigraph.plans.prefix import numbered
+from plexigraph.plans.fixpoint import State
+from plexigraph.plans.prefix import numbered, prefix_sums
+from plexigraph.session import materialize, shuffle_width
 
 
 def _greedy(edges: list[tuple[int, int]], n: int, m: int, k: int, alpha: float, beta: float, gama: float = 0.0, per_node: int = 1, share: bool = False) -> list[int]:
@@ -91,86 +95,131 @@ def ebv_two_level(edges: DataFrame, outer: int = 4, inner: int = 2, alpha: float
     return ebv_hierarchical(dst_owner(edges, outer), inner, alpha, beta)
 
 
-def _batches(top: int, size: int = 10) -> Iterator[tuple[int, int]]:
-    """(start, size): each size 1.3 times the one before, at most 1000."""
+def _batches(top: int, size: int = 10, most: int | None = 1000) -> Iterator[tuple[int, int]]:
+    """(start, size): each size 1.3 times the one before, at most ``most``."""
     start = 0
     while start < top:
         yield start, size
         start += size
-        size = min(int(size * 1.3), 1000)
+        size = _grown(size, most)
 
 
-def bulk_sync(edges: DataFrame, k: int = 4, alpha: float = 1.0, beta: float = 1.0, fault_weight: float = 0.0, backup: bool = False) -> DataFrame:
-    """k ranks that assign their slices of the edges in rounds, each round against the state after the last.
+def _grown(size: int, most: int | None) -> int:
+    return int(size * 1.3) if most is None else min(int(size * 1.3), most)
+
+
+def _slices(edges: DataFrame, k: int) -> DataFrame:
+    """(src, dst, rank, pos): the edges whose number (by src, dst, from 0) leaves ``rank``, in order of the slice's own degree sums."""
+    rows = numbered(edges.select("src", "dst"), "i", [F.col("src"), F.col("dst")], 0).select("src", "dst", F.pmod("i", F.lit(k)).cast("int").alias("rank"))
+    rows = materialize(rows, "slices")
+    ends = rows.select("rank", F.explode(F.array("src", "dst")).alias("id")).groupBy("rank", "id").agg(F.count(F.lit(1)).alias("d"))
+    u, v = ends.toDF("rank", "src", "du"), ends.toDF("rank", "dst", "dv")
+    sums = rows.join(u, ["rank", "src"]).join(v, ["rank", "dst"]).select("src", "dst", "rank", (F.col("du") + F.col("dv")).alias("d"))
+    placed = prefix_sums(sums, F.col("rank"), F.lit(1), [F.col("d"), F.col("src"), F.col("dst")], "places")
+    return placed.select("__row.src", "__row.dst", "__row.rank", F.col("__before").alias("pos"))
+
+
+def _with_masks(batch: DataFrame, state: State) -> DataFrame:
+    """``batch`` with the masks of parts that hold src (mu) and dst (mv)."""
+    ends = batch.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.lit(None).cast("long").alias("new"))
+    held = materialize(state.beside(ends).select("id", F.coalesce("value", F.lit(0)).alias("m")), "masks")
+    u, v = held.toDF("src", "mu"), held.toDF("dst", "mv")
+    return batch.join(u, "src").join(v, "dst")
+
+
+def _lacks(mask: str, j: int) -> Column:
+    return F.getbit(F.col(mask), F.lit(j)) == 0
+
+
+def _grow(state: State, ends: DataFrame, k: int) -> list[int]:
+    """Adds ``ends`` (id, part) to the state.  Returns how many vertices are new to each part."""
+    got = ends.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, part)")).alias("new"))
+    rows = state.beside(got).select("id", F.coalesce("value", F.lit(0)).alias("old"), F.col("new").bitwiseOR(F.coalesce("value", F.lit(0))).alias("value"))
+    changed = materialize(rows.where("old <> value"), "grown")
+    counts = changed.agg(*[F.coalesce(F.sum((F.getbit("value", F.lit(j)) - F.getbit("old", F.lit(j))).cast("long")), F.lit(0)) for j in range(k)]).first()
+    state.change(changed)
+    return list(counts)
+
+
+def _chooser(k: int, own: list[float], loads: list[list[int]], counts: list[list[int]], n: int, alpha: float, beta: float):
+    """One rank's choices of hosts in a round, each counted at once: a function of its edges with their masks."""
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("pos", ignore_index=True)
+        r = int(frame["part"].iloc[0])
+        own_load, own_count, hosts = loads[r], counts[r], []
+        for mu, mv in zip(frame["mu"].tolist(), frame["mv"].tolist(), strict=True):
+            best, top = -1, None
+            for j in range(k):
+                if j == r:
+                    continue
+                w = -float(not mu >> j & 1) - float(not mv >> j & 1) - alpha * own_load[j] / max(1.0, own[r]) - beta * own_count[j] / n * k
+                if top is None or w > top:
+                    best, top = j, w
+            own_load[best] += 1
+            own_count[best] += (not mu >> best & 1) + (not mv >> best & 1)
+            hosts.append(best)
+        return frame.assign(host_part=pd.Series(hosts, dtype="int32"))[["src", "dst", "part", "host_part", "mu", "mv"]]
+
+    return choose
+
+
+def bulk_sync(edges: DataFrame, k: int = 4, alpha: float = 1.0, beta: float = 1.0, fault_weight: float = 0.0, backup: bool = False, max_batch: int | None = 1000) -> DataFrame:
+    """k ranks (at most 62) that assign their slices of the edges in rounds, each round against the state after the last.
 
     Rank r owns the edges whose number (by src, dst, from 0) leaves r, sorted by the slice's own degree sums.
     Returns src, dst, part and host_part: the rank that holds a second copy (null without ``backup``).
+
+    The state is a table of the parts that hold each vertex, in buckets; a round joins its edges with it, scores
+    them in parallel and adds what is new; the driver holds 2 k loads.  Rounds grow by 1.3 up to ``max_batch`` edges
+    a rank; without it they go on growing, so that a graph of any size takes a few dozen.  The backup pass counts
+    each choice at once, so there a rank's edges of a round run in one task.
     """
-    n = vertices(edges).count()
-    every_edge = numbered(edges.select("src", "dst"), "i", [F.col("src"), F.col("dst")], 0)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(frames), ignore_index=True).sort_values("i")
-        if not len(every):
-            return
-        slices = []
-        for r in range(k):
-            own = every[every["i"] % k == r]
-            d = pd.concat([own["src"], own["dst"]]).value_counts()
-            own = own.assign(d=own["src"].map(d) + own["dst"].map(d)).sort_values(["d", "src", "dst"])
-            slices.append(list(zip(own["src"].tolist(), own["dst"].tolist(), strict=True)))
-        has: list[set[int]] = [set() for _ in range(k)]
-        load, count, rep = [0] * k, [0] * k, {}
-        held: list[list[tuple[int, int]]] = [[] for _ in range(k)]
-        for start, size in _batches(len(every) // k + 1):
-            sent = []
-            for r, own in enumerate(slices):
-                for u, v in own[start : start + size]:
-                    best, top = 0, None
-                    for j in range(k):
-                        w = 0.0
-                        for x in (u, v):
-                            if x not in has[j]:
-                                w -= 1
-                                if rep.get(x, 0) == 1:
-                                    w += fault_weight
-                        w = w - alpha * load[j] / len(own) - beta * count[j] / n * k + (0.1 if j == r else 0.0)
-                        if top is None or w > top:
-                            best, top = j, w
-                    sent.append((best, u, v))
-            for j, u, v in sent:
-                held[j].append((u, v))
-                load[j] += 1
-                for x in (u, v):
-                    if x not in has[j]:
-                        has[j].add(x)
-                        count[j] += 1
-                        rep[x] = rep.get(x, 0) + 1
-        out = [(u, v, j, None) for j in range(k) for u, v in held[j]]
-        if backup and k > 1:
-            out = []
-            own_load, own_count = [list(load) for _ in range(k)], [list(count) for _ in range(k)]
-            # round sizes go on from where the first pass has left them
-            for start, size in _batches(max(map(len, held)), min(int(size * 1.3), 1000)):
-                new: list[tuple[int, int, int]] = []
-                for r in range(k):
-                    for u, v in held[r][start : start + size]:
-                        best, top = -1, None
-                        for j in range(k):
-                            if j == r:
-                                continue
-                            w = -float(u not in has[j]) - float(v not in has[j]) - alpha * own_load[r][j] / max(1, len(slices[r])) - beta * own_count[r][j] / n * k
-                            if top is None or w > top:
-                                best, top = j, w
-                        own_load[r][best] += 1
-                        own_count[r][best] += (u not in has[best]) + (v not in has[best])
-                        new.append((best, u, v))
-                        out.append((u, v, r, best))
-                for j, u, v in new:
-                    has[j] |= {u, v}
-        yield pd.DataFrame(out, columns=["src", "dst", "part", "host_part"]).astype({"part": "int32", "host_part": "Int32"})
-
-    return every_edge.coalesce(1).mapInPandas(run, "src long, dst long, part int, host_part int")
+    n, slices = vertices(edges).count(), materialize(_slices(edges, k), "sliced")
+    sizes = {r["rank"]: r["n"] for r in slices.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).collect()}  # k rows
+    m, own = sum(sizes.values()), [float(sizes.get(r, 0)) for r in range(k)]
+    state = State(vertices(edges).select("id", F.lit(0).cast("long").alias("value")), shuffle_width(edges.sparkSession))
+    load, count, parts, size = [0] * k, [0] * k, [], 10
+    slice_size = F.element_at(F.array(*map(F.lit, own)), F.col("rank") + 1)
+    for step, (start, size) in enumerate(_batches(m // k + 1, 10, max_batch)):
+        batch = _with_masks(slices.where((F.col("pos") >= start) & (F.col("pos") < start + size)), state)
+        scores = []
+        for j in range(k):
+            w = F.lit(0.0)
+            for mask in ("mu", "mv"):
+                once = F.when(F.bit_count(mask) == 1, F.lit(fault_weight)).otherwise(0.0) if fault_weight else F.lit(0.0)
+                w = F.when(_lacks(mask, j), w - 1 + once).otherwise(w)
+            w = w - F.lit(alpha * load[j]) / slice_size - F.lit(beta * count[j] / n * k)
+            scores.append(F.when(F.col("rank") == j, w + 0.1).otherwise(w))
+        every = F.array(*scores)
+        best = (F.array_position(every, F.array_max(every)) - 1).cast("int")
+        assigned = materialize(batch.select("src", "dst", best.alias("part"), "rank", "pos", F.lit(step).alias("step")), "assigned")
+        for r in assigned.groupBy("part").count().collect():
+            load[r["part"]] += r["count"]
+        new = _grow(state, assigned.select(F.explode(F.array("src", "dst")).alias("id"), "part"), k)
+        count = [a + b for a, b in zip(count, new, strict=True)]
+        parts.append(assigned)
+    if not parts:
+        return edges.sparkSession.createDataFrame([], "src long, dst long, part int, host_part int")
+    held = reduce(DataFrame.unionAll, parts)
+    if not backup or k < 2:
+        return held.select("src", "dst", "part", F.lit(None).cast("int").alias("host_part"))
+    # a part's edges in the order in which they came
+    placed = prefix_sums(held, F.col("part"), F.lit(1), [F.col("step"), F.col("rank"), F.col("pos")], "held")
+    held = materialize(placed.select("__row.src", "__row.dst", "__row.part", F.col("__before").alias("pos")), "held")
+    loads, counts, out = [list(load) for _ in range(k)], [list(count) for _ in range(k)], []
+    # round sizes go on from where the first pass has left them
+    for start, size in _batches(max(load), _grown(size, max_batch), max_batch):
+        batch = _with_masks(held.where((F.col("pos") >= start) & (F.col("pos") < start + size)), state)
+
+        sent = materialize(batch.groupBy("part").applyInPandas(_chooser(k, own, [list(x) for x in loads], [list(x) for x in counts], n, alpha, beta), "src long, dst long, part int, host_part int, mu long, mv long"), "sent")
+        fresh = F.sum((F.expr("1 - getbit(mu, host_part)") + F.expr("1 - getbit(mv, host_part)")).cast("long"))
+        for r in sent.groupBy("part", "host_part").agg(F.count(F.lit(1)).alias("e"), fresh.alias("v")).collect():  # k * k rows
+            loads[r["part"]][r["host_part"]] += r["e"]
+            counts[r["part"]][r["host_part"]] += r["v"]
+        _grow(state, sent.select(F.explode(F.array("src", "dst")).alias("id"), F.col("host_part").alias("part")), k)
+        out.append(sent.select("src", "dst", "part", "host_part"))
+    return reduce(DataFrame.unionAll, out)
 
 
 def dst_owner(edges: DataFrame, k: int = 4) -> DataFrame:

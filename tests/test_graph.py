@@ -429,3 +429,15 @@ def test_hierarchical(spark):
         mine = spark.createDataFrame([e for e in edges if sum(e) % 3 == o], "src long, dst long")
         for r in partition.ebv(mine, 2).collect():
             assert got[r["src"], r["dst"]] == o * 2 + r["part"]
+
+
+def test_streams(spark, tmp_path):
+    from plexigraph.streaming import stream_degrees, stream_loads
+
+    for k, rows in enumerate(([(0, 1), (1, 2)], [(2, 0), (2, 3), (4, 3)])):
+        spark.createDataFrame(rows, "src long, dst long").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+    edges = spark.readStream.schema("src long, dst long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    for name, stream, want in (("degrees", stream_degrees(edges), {0: 2, 1: 2, 2: 3, 3: 2, 4: 1}), ("loads", stream_loads(edges, 2), {0: 2, 1: 3})):
+        query = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination(60)
+        assert values(spark.table(name)) == want
