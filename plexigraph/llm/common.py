@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 WHITE = "\t\n\x0b\x0c\r "
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 _lean = False
@@ -49,14 +50,26 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _contiguous(column: pa.Array, lower: bool) -> pa.Array:
+    """The texts in buffers of their own that begin at 0, null as empty, A-Z lower-cased if ``lower``.
+
+    Arrow 23's ascii_lower mistakes the offsets of a slice that was cast to large strings; bytes are mapped here instead.
+    """
+    text = column.cast(pa.large_string()).fill_null("")
+    _, ends, data = text.buffers()
+    ends = np.frombuffer(ends, np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+    own = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    own = _LOWER[own] if lower else own
+    return pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(ends - ends[0]), pa.py_buffer(np.ascontiguousarray(own)))
+
+
 def split_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
     """How many words each text has, and all words after each other; null has none.  A-Z are lower-cased if ``lower``.
 
     Runs in Arrow: no Python object a word.
     """
     lean()
-    text = column.cast(pa.large_string()).fill_null("")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
+    lists = pc.ascii_split_whitespace(_contiguous(column, lower))
     words, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     empty = pc.equal(pc.binary_length(words), 0)
     if pc.any(empty).as_py():  # white space at either end of a text leaves an empty word there

@@ -25,6 +25,7 @@ from plexigraph.operators.components import weak_components
 from plexigraph.session import materialize
 
 SHINGLE = 5
+CHUNK = 2 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,7 +94,7 @@ def similar_labels(docs: DataFrame) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = common_table(common)
-        for b in chunks(batches, "text", 2 << 20):
+        for b in chunks(batches, "text", CHUNK):
             g, n, prints = _sets(b.column(1), table)
             size = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
             first = g[flat(np.cumsum(n) - n, size)] if len(g) else g
@@ -102,7 +103,7 @@ def similar_labels(docs: DataFrame) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = common_table(common)
-        for b in chunks(batches, "text", 2 << 20):
+        for b in chunks(batches, "text", CHUNK):
             g, n, _ = _sets(b.column(0), table)
             data, ends = g.tobytes(), (8 * np.cumsum(n)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(_names(g, n), pa.binary()), pa.array([data[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], ["key", "whole"])

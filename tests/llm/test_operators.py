@@ -292,6 +292,29 @@ def test_pigeonhole(spark):
     assert [simhash._find(parent, i) for i in range(len(f))] == want
 
 
+def test_split_words():
+    """Whole arrays and slices of them, in chunks of every size, against Python's split."""
+    import pyarrow as pa
+
+    from plexigraph.llm.common import chunks, slices, split_words, text_bytes
+
+    rng = random.Random(1)
+    texts = [None if rng.random() < 0.1 else "".join(rng.choices("aBÉé日 \t\n\x1c\x85x", k=rng.randrange(60))) for _ in range(3000)]
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.array(texts, kind)
+        for limit in (1, 300, 5_000, 1 << 20):
+            got, at = [], 0
+            for b in chunks(iter(pa.table({"text": whole}).to_batches(max_chunksize=700)), "text", limit):
+                for lower in (False, True):
+                    counts, words = split_words(b.column(0), lower)
+                    want = [(low(data(t)) if lower else data(t)).split() for t in texts[at : at + b.num_rows]]
+                    assert counts.tolist() == list(map(len, want)) and words.cast(pa.large_binary()).to_pylist() == [w for x in want for w in x]
+                got += text_bytes(b.column(0))
+                at += b.num_rows
+            assert got == list(map(data, texts))
+            assert [x for s, e in slices(whole, limit) for x in text_bytes(whole.slice(s, e - s))] == got
+
+
 def quantised(c: int) -> float:
     return (2 ** (c.bit_length() - 1) + 2 ** c.bit_length() - 1) / 2 if c else 0.0
 
@@ -335,6 +358,22 @@ def test_lm(docs, none, rows):
     assert lm_scores(none).count() == 0
 
 
+def test_small_chunks(docs, monkeypatch):
+    """Cut into many chunks and buckets, every operator gives the same rows."""
+    from plexigraph.llm import lm, pfp, rlz, similar
+
+    def each():
+        yield sorted(map(str, pfp.substring_dedup(docs).collect()))
+        yield sorted(map(str, rlz.word_span_dedup(docs).collect()))
+        yield sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm.lm_scores(docs, bits=200).collect())
+        yield sorted(str(r["doc_id"]) for r in similar.keep_similar(docs).collect())
+
+    want = list(each())
+    for module, name, size in ((pfp, "CHUNK", 900), (rlz, "CHUNK", 900), (lm, "COUNTED", 1000), (lm, "SCORED", 700), (lm, "BUCKET", 500), (similar, "CHUNK", 800)):
+        monkeypatch.setattr(module, name, size)
+    assert list(each()) == want
+
+
 def test_log_bloom():
     from plexigraph.llm.lm import LogBloom, _bucket, level_of
 
