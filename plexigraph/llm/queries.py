@@ -106,15 +106,6 @@ _SQL = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND coalesce(host_rate < 0.5, true) AS kept, f.source, host_rate
         FROM f LEFT JOIN hv ON f.source = hv.source""",
-    "op2_suffix_array_dedup": """
-        WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-        b AS (SELECT k, doc_id, h, unnest(range(1, len(h) // 2 + 1)) AS p FROM d),
-        w AS (SELECT k, p, substr(h, 2 * p - 1, 2) AS byte, 2 * p + 98 <= len(h) AND min(doc_id) OVER (PARTITION BY substr(h, 2 * p - 1, 100)) < doc_id AS hit FROM b),
-        g AS (SELECT k, p, byte, bool_or(hit) OVER (PARTITION BY k ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM w),
-        s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY k ORDER BY p), false) AS opens FROM g),
-        t AS (SELECT k, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS kept FROM s GROUP BY k)
-        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-        FROM d LEFT JOIN t USING (k)""",
     "op6_substring_dedup": f"""
         WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
         win AS (SELECT k, i, array_to_string(w[i : i + 34], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
