@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from plexigraph.llm.common import chunks, split_words
 from plexigraph.llm.phrases import mixed64, pack, unpack
-from plexigraph.session import materialize, shuffle_width
+from plexigraph.session import discard, materialize, shuffle_width
 
 #: No word holds white space, so these can't be words.
 END, START = b"\n", b"\t"
@@ -141,6 +141,14 @@ class Sequence:
         self.start = int(number[-1])
 
 
+def _pairs(h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of distinct bigrams in order, that order): ``key`` as by :func:`_bigrams`."""
+    first = key // len(h)
+    pair = _pair(h[first], h[key - first * len(h)])
+    order = np.argsort(pair)
+    return pair[order], order
+
+
 def _bigrams(tokens: np.ndarray, begin: np.ndarray, kinds: int) -> np.ndarray:
     """Each token but the starts, with the one before: first * kinds + second."""
     second = np.ones(len(tokens), bool)
@@ -297,32 +305,44 @@ def lm_scores(docs: DataFrame, max_filter_bytes: int = 32 << 20, k: float = 200.
     sent = spark.sparkContext.broadcast(LogBloom(n_buckets, low, {(r["bucket"], r["level"]): bytes(r["payload"]) for r in high}))
     held = model.where(~is_bloom | (F.col("level") < low)).select("bucket", "kind", "level", "payload")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks of texts as numbers (bucket -1), and their questions to each bucket."""
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks of texts as numbers, with what the broadcast filter says of their bigrams in order of their hash."""
         from pyspark import TaskContext
 
         squeeze = zstandard.ZstdCompressor(level=1)
         chunk = TaskContext.get().partitionId() << 32
         for b in chunks(batches, "text", SCORED):
             s = Sequence(b.column(1))
-            key = np.unique(_bigrams(s.tokens, s.begin, len(s.h)))
-            first = key // len(s.h)
-            pair = np.sort(_pair(s.h[first], s.h[key - first * len(s.h)]))
-            found = sent.value.levels(pair)
-            open_ = pair[found < low] if low > 1 else pair[:0]
-            words = {x: [_gaps(s.h[i:j]), _planes(s.check[i:j])] for x, i, j in _stretches(_bucket(s.h, n_buckets))}
-            pairs = {x: _gaps(open_[i:j]) for x, i, j in _stretches(_bucket(open_, n_buckets))}
+            found = sent.value.levels(_pairs(s.h, np.unique(_bigrams(s.tokens, s.begin, len(s.h))))[0])
             sink = pa.BufferOutputStream()
             head = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s.sizes)], ["doc_id", "held_out", "n"])
             with pa.ipc.new_stream(sink, head.schema) as out:
                 out.write_batch(head)
-            own = [-1, *sorted({*words, *pairs})]
-            none = np.zeros(0, np.uint8)
-            data = [pack([sink.getvalue().to_pybytes(), _gaps(s.h), _planes(s.tokens), found.astype(np.uint8)], squeeze)]
-            data += [pack([*words.get(x, [none, none]), pairs.get(x, none)], squeeze) for x in own[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array(data, pa.binary())], ["chunk", "bucket", "payload"])
+            data = pack([sink.getvalue().to_pybytes(), _gaps(s.h), _planes(s.check), _planes(s.tokens), found.astype(np.uint8)], squeeze)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], ["chunk", "payload"])
             chunk += 1
 
+    def numbered(payload: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A chunk's head, kinds of token (hash, check), tokens, bigrams and their levels so far."""
+        head, h, check, tokens, found = unpack(payload, [None, "u1", "u1", "u1", "u1"])
+        t, h, tokens = pa.ipc.open_stream(head).read_all(), _ungaps(h), _unplanes(tokens, "<i4")
+        sizes = t["n"].to_numpy()
+        return t, h, _unplanes(check, "<u4"), _bigrams(tokens, np.cumsum(sizes + 2) - (sizes + 2), len(h)), found.astype(np.int64), sizes
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's questions to each bucket: its words, and its bigrams that miss the lowest level sent."""
+        squeeze = zstandard.ZstdCompressor(level=1)
+        none = np.zeros(0, np.uint8)
+        for batch in batches:
+            for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _, h, check, bigrams, found, _ = numbered(payload.as_py())
+                open_ = _pairs(h, np.unique(bigrams))[0][found < low] if low > 1 else h[:0]
+                words = {x: [_gaps(h[i:j]), _planes(check[i:j])] for x, i, j in _stretches(_bucket(h, n_buckets))}
+                pairs = {x: _gaps(open_[i:j]) for x, i, j in _stretches(_bucket(open_, n_buckets))}
+                own = sorted({*words, *pairs})
+                data = [pack([*words.get(x, [none, none]), pairs.get(x, none)], squeeze) for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array(data, pa.binary())], ["chunk", "bucket", "payload"])
+
     def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
         """For each question: counts, levels and sums of its words, and levels of its bigrams."""
         if not asked.num_rows:
@@ -362,20 +382,17 @@ def lm_scores(docs: DataFrame, max_filter_bytes: int = 32 << 20, k: float = 200.
         return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "payload": pa.array(out, pa.binary())})
 
     def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
-        head, h, tokens, found = unpack(own["payload"][0].as_py(), [None, "u1", "u1", "u1"])
-        t, h, tokens = pa.ipc.open_stream(head).read_all(), _ungaps(h), _unplanes(tokens, "<i4")
+        t, h, _, bigrams, level, sizes = numbered(own["payload"][0].as_py())
         # buckets are ranges of the hash, so answers in the order of buckets are in that of hashes
         got = [unpack(p, ["u1"] * 3) for _, p in sorted(zip(answers["bucket"].to_pylist(), answers["payload"].to_pylist(), strict=True))]
         count, twice, deep = (np.concatenate(x) for x in zip(*((_unplanes(a[0], "<u8"), _unplanes(a[1], "<u8"), a[2]) for a in got), strict=True))
-        count, level = count.astype(np.float64), found.astype(np.int64)
+        count = count.astype(np.float64)
         if low > 1:
             level[level < low] = deep
-        sizes = t["n"].to_numpy()
-        begin = np.cumsum(sizes + 2) - (sizes + 2)
-        key, which = np.unique(_bigrams(tokens, begin, len(h)), return_inverse=True)
+        key, which = np.unique(bigrams, return_inverse=True)
+        _, order = _pairs(h, key)
         first = key // len(h)
         second = key - first * len(h)
-        order = np.argsort(_pair(h[first], h[second]))
         of = np.empty(len(key), np.int64)
         of[order] = level
         top = np.where(count > 0, level_of(count), 0)  # a bigram is no more frequent than its words
@@ -389,8 +406,11 @@ def lm_scores(docs: DataFrame, max_filter_bytes: int = 32 << 20, k: float = 200.
             "base_score": pa.array(base - (sizes + 1) * log10(n + v + 1)), "score": pa.array(score),
         })
 
+    own = materialize(rows.select("doc_id", "text", "held_out").mapInArrow(number, "chunk long, payload binary"), "numbered")
     kind = "chunk long, bucket int, payload binary"
-    both = materialize(rows.select("doc_id", "text", "held_out").mapInArrow(ask, kind), "asked")
-    answers = held.groupBy("bucket").cogroup(both.where("bucket >= 0").groupBy("bucket")).applyInArrow(answer, kind)
+    asked = own.mapInArrow(ask, kind)
+    # written, so that the questions' shuffle is gone before the chunks move
+    answers = materialize(held.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, kind), "answers")
+    discard(model)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.where("bucket < 0").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+    return own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
