@@ -22,7 +22,7 @@ from plexigraph.llm.common import chunks, split_words
 from plexigraph.llm.phrases import common_grams, common_table, flat, mixed64
 from plexigraph.llm.simhash import keep_first, links, majority
 from plexigraph.operators.components import weak_components
-from plexigraph.session import materialize
+from plexigraph.session import discard, materialize
 
 SHINGLE = 5
 CHUNK = 2 << 20
@@ -105,8 +105,21 @@ def similar_labels(docs: DataFrame) -> DataFrame:
         table = common_table(common)
         for b in chunks(batches, "text", CHUNK):
             g, n, _ = _sets(b.column(0), table)
-            data, ends = g.tobytes(), (8 * np.cumsum(n)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(_names(g, n), pa.binary()), pa.array([data[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], ["key", "whole"])
+            ends = np.cumsum(n).tolist()
+            own = [g[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+            sketches = [np.unique((x & np.uint64(0xFFFF)).astype("<u2")).tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(_names(g, n), pa.binary()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(sketches, pa.binary())], ["key", "whole", "sketch"])
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b, na, nb, sketch of a, of b): shingles in both have a sketch value in both, and as many more may share one as either set has lost."""
+        for b in batches:
+            na, nb = (b.column(i).to_numpy() for i in (2, 3))
+            same, lost = np.empty(len(na), np.int64), np.empty(len(na), np.int64)
+            for i, (x, y) in enumerate(zip(b.column(4), b.column(5), strict=True)):
+                x, y = (np.frombuffer(v.as_py(), "<u2") for v in (x, y))
+                same[i], lost[i] = len(np.intersect1d(x, y, assume_unique=True)), min(na[i] - len(x), nb[i] - len(y))
+            near = pa.array(9 * (same + lost) >= 4 * (na + nb))
+            yield pa.RecordBatch.from_arrays([c.filter(near) for c in b.columns[:2]], ["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,18 +135,25 @@ def similar_labels(docs: DataFrame) -> DataFrame:
     sets = materialize(_numbered(rows.select("key", "h", "n", "fp", "prefix").dropDuplicates(["key"])), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of (a, b), the links.  A bound by the prefixes alone comes first; whole sets are made again for what passes it."""
+        """Of (a, b), the links.  Bounds by the prefixes and by sketches (16 bits a shingle) come first; whole sets move only for what passes both."""
         x = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
         y = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
         rest = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
-        may = 9 * (F.size(F.array_intersect("pa", "pb")) + rest) >= 4 * (F.col("na") + F.col("nb"))
-        likely = materialize(pairs.join(x, "a").join(y, "b").where(may).select("a", "b"), "likely")
+        by_prefix = 9 * (F.size(F.array_intersect("pa", "pb")) + rest) >= 4 * (F.col("na") + F.col("nb"))
+        likely = materialize(pairs.join(x, "a").join(y, "b").where(by_prefix).select("a", "b", "na", "nb"), "likely")
         used = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
         needed = sets.join(used, "id", "left_semi").select("h", "key", "id")
-        made = texts.join(needed.select("h").distinct(), "h", "left_semi").select("text").mapInArrow(whole, "key binary, whole binary").dropDuplicates(["key"])
-        full = materialize(made.join(needed, "key").select("id", "whole"), "whole")
-        both = likely.join(full.toDF("a", "wa"), "a").join(full.toDF("b", "wb"), "b").select("a", "b", "wa", "wb")
-        return materialize(both.mapInArrow(compare, "src long, dst long"), "similar")
+        made = texts.join(needed.select("h").distinct(), "h", "left_semi").select("text").mapInArrow(whole, "key binary, whole binary, sketch binary").dropDuplicates(["key"])
+        full = materialize(made.join(needed, "key").select("id", "whole", "sketch"), "whole")
+        s = full.select("id", "sketch")
+        near = likely.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+        near = materialize(near.mapInArrow(may, "a long, b long"), "near")
+        w = full.select("id", "whole")
+        both = near.join(w.toDF("a", "wa"), "a").join(w.toDF("b", "wb"), "b").select("a", "b", "wa", "wb")
+        out = materialize(both.mapInArrow(compare, "src long, dst long"), "similar")
+        for t in (likely, full, near):
+            discard(t)
+        return out
 
     # pairs by fingerprint: sets that share one meet the least of them, and those least ones meet by the pigeonhole
     prints = materialize(sets.groupBy("fp").agg(F.min("id").alias("rep")), "prints")
