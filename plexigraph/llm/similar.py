@@ -12,6 +12,7 @@ those still in different components meet all others.  Every pair is verified on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,20 +120,23 @@ def similar_labels(docs: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(v.as_py(), "<u2") for v in (x, y))
                 same[i], lost[i] = len(np.intersect1d(x, y, assume_unique=True)), min(na[i] - len(x), nb[i] - len(y))
             near = pa.array(9 * (same + lost) >= 4 * (na + nb))
-            yield pa.RecordBatch.from_arrays([c.filter(near) for c in b.columns[:2]], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.filter(near) for c in b.columns[:4]], ["a", "b", "na", "nb"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
+            for x, y in zip(b.column(4), b.column(5), strict=True):
                 x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
                 near.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in b.columns[:2]], ["src", "dst"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in b.columns[:4]], ["a", "b", "na", "nb"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
-    rows = materialize(texts.mapInArrow(prefixes, f"doc_id {kind}, h long, key binary, n long, fp long, prefix array<long>"), "prefixes")
-    sets = materialize(_numbered(rows.select("key", "h", "n", "fp", "prefix").dropDuplicates(["key"])), "sets")
+    made = materialize(texts.mapInArrow(prefixes, f"doc_id {kind}, h long, key binary, n long, fp long, prefix array<long>"), "prefixes")
+    sets = materialize(_numbered(made.select("key", "h", "n", "fp", "prefix").dropDuplicates(["key"])), "sets")
+    rows = materialize(made.select("doc_id", "h", "key"), "names")
+    discard(made)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of (a, b), the links.  Bounds by the prefixes and by sketches (16 bits a shingle) come first; whole sets move only for what passes both."""
@@ -145,16 +149,28 @@ def similar_labels(docs: DataFrame) -> DataFrame:
         needed = sets.join(used, "id", "left_semi").select("h", "key", "id")
         made = texts.join(needed.select("h").distinct(), "h", "left_semi").select("text").mapInArrow(whole, "key binary, whole binary, sketch binary").dropDuplicates(["key"])
         full = materialize(made.join(needed, "key").select("id", "whole", "sketch"), "whole")
-        s = full.select("id", "sketch")
-        near = likely.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
-        near = materialize(near.mapInArrow(may, "a long, b long"), "near")
-        w = full.select("id", "whole")
-        both = near.join(w.toDF("a", "wa"), "a").join(w.toDF("b", "wb"), "b").select("a", "b", "wa", "wb")
-        out = materialize(both.mapInArrow(compare, "src long, dst long"), "similar")
+        near = in_rounds(likely, full.select("id", F.col("sketch").alias("s")), 2, may, "a long, b long, na long, nb long")
+        out = in_rounds(near, full.select("id", F.col("whole").alias("s")), 8, compare, "a long, b long, na long, nb long")
         for t in (likely, full, near):
             discard(t)
         return out
 
+    def in_rounds(pairs: DataFrame, side: DataFrame, width: int, test, schema: str) -> DataFrame:
+        """The pairs that pass ``test`` with both sides' ``s``.  A side travels with each pair, so no more pairs go at once than such sides fill half of the texts' bytes."""
+        size = (pairs.agg(F.sum("na")).first()[0] or 0) * width
+        rounds = max(1, -(-2 * size // max(1, total)))
+        parts = []
+        for k in range(rounds):
+            own = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k) if rounds > 1 else pairs
+            both = own.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+            parts.append(materialize(both.mapInArrow(test, schema), "passed"))
+        if rounds == 1:
+            return parts[0]
+        out = materialize(reduce(DataFrame.unionAll, parts), "passed")
+        for t in parts:
+            discard(t)
+        return out
+
     # pairs by fingerprint: sets that share one meet the least of them, and those least ones meet by the pigeonhole
     prints = materialize(sets.groupBy("fp").agg(F.min("id").alias("rep")), "prints")
     near = links(prints.select("fp"))
@@ -169,19 +185,26 @@ def similar_labels(docs: DataFrame) -> DataFrame:
     met = shared.join(hubs, "tok").where((F.col("id") != F.col("hub.id")) & _alike(F.col("n"), F.col("hub.n"))).select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
     pairs = same.unionAll(ends).unionAll(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = materialize(pairs, "stars")
-    found = verified(stars)
+    found = verified(stars).select("a", "b")
 
     def placed(table: DataFrame, links: DataFrame) -> DataFrame:
-        labels = weak_components(links)
+        labels = weak_components(links.toDF("src", "dst"))
         return table.join(labels.toDF("lid", "l"), F.col("id") == F.col("lid"), "left").select(*table.columns, F.coalesce("l", "id").alias("label"))
 
-    parts = materialize(placed(shared.select("id", "n", "tok"), found), "parts")
-    mixed = parts.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("tok")
-    parts = materialize(parts.join(mixed, "tok", "left_semi").select("id", "n", "tok", "label"), "mixed")
+    held = materialize(placed(shared.select("id", "n", "tok"), found), "parts")
+    discard(shared)
+    mixed = held.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("tok")
+    parts = materialize(held.join(mixed, "tok", "left_semi").select("id", "n", "tok", "label"), "mixed")
+    discard(held)
     x, y = parts.toDF("a", "na", "tok", "la"), parts.toDF("b", "nb", "tok", "lb")
     apart = x.join(y, "tok").where((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _alike(F.col("na"), F.col("nb")))
-    more = verified(materialize(apart.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "apart"))
+    rest = materialize(apart.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "apart")
+    for t in (stars, parts):
+        discard(t)
+    more = verified(rest).select("a", "b")
     ids = materialize(placed(sets.select("key", "id"), found.unionAll(more)), "labels")
+    for t in (sets, rest, prints):
+        discard(t)
     return rows.join(ids, "key").select("doc_id", "h", "label")
 
 
