@@ -140,11 +140,12 @@ def similar_labels(docs: DataFrame) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of (a, b), the links.  Bounds by the prefixes and by sketches (16 bits a shingle) come first; whole sets move only for what passes both."""
-        x = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-        y = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
-        rest = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
-        by_prefix = 9 * (F.size(F.array_intersect("pa", "pb")) + rest) >= 4 * (F.col("na") + F.col("nb"))
-        likely = materialize(pairs.join(x, "a").join(y, "b").where(by_prefix).select("a", "b", "na", "nb"), "likely")
+        if "both" not in pairs.columns:  # how many shingles of their prefixes they share
+            x = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+            y = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+            pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("both"))
+        rest = F.ceil(4 * F.greatest("na", "nb") / 5) - 1  # behind the longer set's prefix
+        likely = materialize(pairs.where(9 * (F.col("both") + rest) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "likely")
         used = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
         needed = sets.join(used, "id", "left_semi").select("h", "key", "id")
         made = texts.join(needed.select("h").distinct(), "h", "left_semi").select("text").mapInArrow(whole, "key binary, whole binary, sketch binary").dropDuplicates(["key"])
@@ -198,7 +199,9 @@ def similar_labels(docs: DataFrame) -> DataFrame:
     discard(held)
     x, y = parts.toDF("a", "na", "tok", "la"), parts.toDF("b", "nb", "tok", "lb")
     apart = x.join(y, "tok").where((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _alike(F.col("na"), F.col("nb")))
-    rest = materialize(apart.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "apart")
+    # a pair comes once for each shingle that both prefixes hold
+    counted = apart.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("both"))
+    rest = materialize(counted.join(stars, ["a", "b"], "left_anti"), "apart")
     for t in (stars, parts):
         discard(t)
     more = verified(rest).select("a", "b")

@@ -16,7 +16,7 @@ import numpy as np
 
 #: Printable ASCII and Latin letters that NFC leaves alone.
 _PLAIN = re.compile("[\x21-\x7eÀ-įı-ſ]+")
-_LIMIT = 250_000
+_LIMIT = 500_000
 _made: dict[str, Callable[[bytes], np.ndarray]] = {}
 
 

@@ -358,6 +358,14 @@ def test_lm(docs, none, rows):
     assert lm_scores(none).count() == 0
 
 
+def test_lm_held_out(spark):
+    """On texts that it has not seen, the model is better than base scores."""
+    from plexigraph.llm.lm import lm_scores
+
+    held = lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (held[0] - held[1]) / held[2] > 0.2
+
+
 def test_small_chunks(docs, monkeypatch):
     """Cut into many chunks and buckets, every operator gives the same rows."""
     from plexigraph.llm import lm, pfp, rlz, similar
