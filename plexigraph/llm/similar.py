@@ -3,7 +3,7 @@
 Operator 4's fingerprints over five-word shingles and its generalised pigeonhole find texts that differ in a few
 bits; each such pair is verified on its whole sets.  Two texts of similarity 0.8 differ in some ten of 64 bits,
 though, where no cut of the bits is selective, so SimHash alone would miss most of them.  What it can't see is
-found exactly: all sets are put in one order of shingles (by hash, those common in a sample last); two sets that
+found exactly: all sets are put in one order of shingles, the rare ones first (by counts over all texts); two sets that
 similar share a shingle among the first n - ceil(0.8 n) + 1 of each.  First each such shingle's members meet one
 hub, the member with the most shared ones, so a dense group of copies gives as many pairs as it has members; then
 those still in different components meet all others.  Every pair is verified on its whole sets.
@@ -16,11 +16,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexigraph.llm.common import chunks, split_words
-from plexigraph.llm.phrases import common_grams, common_table, flat, mixed64
+from plexigraph.llm.phrases import flat, mixed64
 from plexigraph.llm.simhash import keep_first, links, majority
 from plexigraph.operators.components import weak_components
 from plexigraph.session import discard, materialize
@@ -49,16 +50,38 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mixed64(out), count
 
 
-def _all_shingles(texts: list[bytes]) -> np.ndarray:
-    return shingles(pa.array(texts, pa.binary()).cast(pa.string()))[0]
+def _levels(docs: DataFrame) -> bytes:
+    """Of all texts: for each value of a shingle hash's first 24 bits, the level (bits of the count) of the shingles that begin so.
+
+    16 MB whatever the corpus.  It only sets the order in which sets are written, rare shingles first, which decides no pair.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 24, np.uint32)
+        for b in chunks(batches, "text", CHUNK):
+            at, n = np.unique(shingles(b.column(0))[0] >> np.uint64(40), return_counts=True)
+            total[at.astype(np.int64)] += n.astype(np.uint32)
+        squeeze = zstandard.ZstdCompressor(level=1)
+        data = [squeeze.compress(total[k << 16 : (k + 1) << 16].tobytes()) for k in range(256)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(data, pa.binary())], ["k", "part"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(1 << 16, np.uint64)
+        for p in t["part"]:
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(p.as_py()), "<u4")
+        return pa.table({"k": t["k"][:1], "part": pa.array([np.frexp(total.astype(np.float64))[1].astype(np.uint8).tobytes()], pa.binary())})
+
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    parts = {r["k"]: bytes(r["part"]) for r in texts.mapInArrow(count, "k int, part binary").groupBy("k").applyInArrow(add, "k int, part binary").collect()}
+    return b"".join(parts.get(k, bytes(1 << 16)) for k in range(256))
 
 
-def _sets(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sets(texts: pa.Array, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shingles of each text once, in the common order; how many; fingerprints)."""
     g, count = shingles(texts)
     prints = majority(g, count)
     doc = np.repeat(np.arange(len(count)), count)
-    late = table[(g >> np.uint64(44)).astype(np.int64)]
+    late = levels[(g >> np.uint64(40)).astype(np.int64)]
     order = np.lexsort((g, late, doc))
     g, doc = g[order], doc[order]
     first = np.ones(len(g), bool)
@@ -91,21 +114,21 @@ def _numbered(sets: DataFrame) -> DataFrame:
 
 def similar_labels(docs: DataFrame) -> DataFrame:
     """(doc_id, h, label) of every row: rows with one label are joined by links of similarity 0.8 or more."""
-    common = common_grams(docs, _all_shingles, 100_000, least=4)
+    sent = docs.sparkSession.sparkContext.broadcast(_levels(docs))  # 16 MB
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = common_table(common)
+        levels = np.frombuffer(sent.value, np.uint8)
         for b in chunks(batches, "text", CHUNK):
-            g, n, prints = _sets(b.column(1), table)
+            g, n, prints = _sets(b.column(1), levels)
             size = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
             first = g[flat(np.cumsum(n) - n, size)] if len(g) else g
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(first.view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(_names(g, n), pa.binary()), pa.array(n), pa.array(prints.view(np.int64)), lists], ["doc_id", "h", "key", "n", "fp", "prefix"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = common_table(common)
+        levels = np.frombuffer(sent.value, np.uint8)
         for b in chunks(batches, "text", CHUNK):
-            g, n, _ = _sets(b.column(0), table)
+            g, n, _ = _sets(b.column(0), levels)
             ends = np.cumsum(n).tolist()
             own = [g[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
             sketches = [np.unique((x & np.uint64(0xFFFF)).astype("<u2")).tobytes() for x in own]
