@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from plexigraph.plans.prefix import numbered, prefix_sums
 
@@ -169,9 +172,20 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+@arrow_udf(T.StringType())
+def _fixed(x: pa.Array) -> pa.Array:
+    """Java's ``%.8f`` rounds the shortest decimal form, ties away from zero; C's, as here, rounds the value itself, ties to even."""
+    lines: list[str | None] = []
+    for s in range(0, len(x), 256):
+        for row in x.slice(s, 256).to_pylist():
+            own = [v for v in row or [] if v is not None]
+            lines.append("%.8f " * len(own) % tuple(own) if own or row == [] else None)
+    return pa.array(lines, pa.string())
+
+
 def features_text(features: DataFrame) -> DataFrame:
-    """Each value as ``%.8f`` and a blank."""
-    return features.select("id", F.array_join(F.transform("x", lambda v: F.format_string("%.8f ", v)), "").alias("line"))
+    """Each value as C's ``%.8f`` and a blank; nulls are left out, and a row of nothing else (or null) has a null line."""
+    return features.select("id", _fixed("x").alias("line"))
 
 
 def read_pattern(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

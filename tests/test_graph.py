@@ -264,6 +264,21 @@ def test_result_lines(spark, tmp_path):
     assert read(tmp_path / "r") == ["1\t1.500000E+00"]
 
 
+def test_features_text(spark):
+    """Digits are those of C's printf: of the value itself, ties to even."""
+    import duckdb
+    import __spark_entry__
+
+    rows = [(0, [0.103515625, 0.166015625, -0.103515625, 2.0**-9, 3 * 2.0**-9]), (1, []), (2, None), (3, [1.0, None, -0.0]), (4, [None]), (5, [float("inf"), -float("inf"), float("nan"), 2.0**121, 1e-45, 0.1])]
+    rows += [(6 + k, [(k * 64 + j) / 512 - 3 for j in range(64)]) for k in range(50)]
+    got = dict(map(tuple, files.features_text(spark.createDataFrame(rows, "id long, x array<double>").repartition(3)).collect()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert got == dict(con.execute(__spark_entry__.oracle_sql()["features_text"]).fetchall())
+    assert got[0].startswith("0.10351562 0.16601562 -0.10351562 0.00195312 0.00585938 ") and got[4] is None and got[3] == "1.00000000 -0.00000000 "
+
+
 def test_labels_model_and_imports(spark, tmp_path):
     (tmp_path / "l.txt").write_text("4\n5\n6\n")
     (tmp_path / "s.txt").write_text("1\n0\n3\n")
