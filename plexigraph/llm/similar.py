@@ -6,7 +6,9 @@ though, where no cut of the bits is selective, so SimHash alone would miss most
 found exactly: all sets are put in one order of shingles, the rare ones first (by counts over all texts); two sets that
 similar share a shingle among the first n - ceil(0.8 n) + 1 of each.  First each such shingle's members meet one
 hub, the member with the most shared ones, so a dense group of copies gives as many pairs as it has members; then
-those still in different components meet all others.  Every pair is verified on its whole sets.
+those still in different components meet all others.  Of what meets, a pair goes on only if what either set holds
+behind the shingle is enough, and if so few bits of their parity tables differ.  Both are bounds, which lose no
+pair; what passes is verified on its whole sets.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from plexigraph.session import discard, materialize
 
 SHINGLE = 5
 CHUNK = 2 << 20
+#: Words of the parity table of a set: bit k is 1 if an odd number of its shingles fall on k.
+PARITY = [f"b{k}" for k in range(8)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,9 +101,31 @@ def _names(g: np.ndarray, count: np.ndarray) -> list[bytes]:
     return [xxh3_128_digest(data[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def _alike(na: Column, nb: Column) -> Column:
-    """Sizes that allow a similarity of 0.8."""
-    return 4 * F.greatest(na, nb) <= 5 * F.least(na, nb)
+def _parities(g: np.ndarray, count: np.ndarray) -> pa.Array:
+    """The parity table of each set."""
+    width = 64 * len(PARITY)
+    out = np.zeros((len(count), width // 8), np.uint8)
+    ends = np.cumsum(count)
+    for s in range(0, len(count), 1024):  # 4 MB of counts
+        own = g[ends[s] - count[s] : ends[min(s + 1024, len(count)) - 1]]
+        doc = np.repeat(np.arange(len(count[s : s + 1024])), count[s : s + 1024])
+        held = np.bincount(doc * width + ((own >> np.uint64(16)) % np.uint64(width)).astype(np.int64), minlength=width * len(count[s : s + 1024]))
+        out[s : s + 1024] = np.packbits((held & 1).astype(np.uint8).reshape(-1, width), axis=1)
+    words = out.view(np.int64)
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(words[:, k])) for k in range(len(PARITY))], PARITY)
+
+
+def _odd(na: Column, x: str, nb: Column, y: str) -> Column:
+    """Whether parity tables allow a similarity of 0.8: each bit in which they differ has a shingle that only one set holds, of which there are at most a ninth of both sizes."""
+    return 9 * reduce(Column.__add__, (F.bit_count(F.col(f"{x}.{k}").bitwiseXOR(F.col(f"{y}.{k}"))) for k in PARITY)) <= na + nb
+
+
+def _first(na: Column, i: Column, nb: Column, j: Column) -> Column:
+    """Whether two sets of ``na`` and ``nb`` shingles, whose first common one stands behind i and j others, may have a similarity of 0.8.
+
+    They share no more than is left from there on.  A later common shingle allows less, so a similar pair passes at its first one at least.
+    """
+    return 9 * F.least(na - i, nb - j) >= 4 * (na + nb)
 
 
 def _numbered(sets: DataFrame) -> DataFrame:
@@ -123,7 +149,7 @@ def similar_labels(docs: DataFrame) -> DataFrame:
             size = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
             first = g[flat(np.cumsum(n) - n, size)] if len(g) else g
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(first.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(_names(g, n), pa.binary()), pa.array(n), pa.array(prints.view(np.int64)), lists], ["doc_id", "h", "key", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(_names(g, n), pa.binary()), pa.array(n), pa.array(prints.view(np.int64)), lists, _parities(g, n)], ["doc_id", "h", "key", "n", "fp", "prefix", "bits"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(sent.value, np.uint8)
@@ -155,18 +181,18 @@ def similar_labels(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
-    made = materialize(texts.mapInArrow(prefixes, f"doc_id {kind}, h long, key binary, n long, fp long, prefix array<long>"), "prefixes")
-    sets = materialize(_numbered(made.select("key", "h", "n", "fp", "prefix").dropDuplicates(["key"])), "sets")
+    made = materialize(texts.mapInArrow(prefixes, f"doc_id {kind}, h long, key binary, n long, fp long, prefix array<long>, bits struct<{', '.join(f'{k}: long' for k in PARITY)}>"), "prefixes")
+    sets = materialize(_numbered(made.select("key", "h", "n", "fp", "prefix", "bits").dropDuplicates(["key"])), "sets")
     rows = materialize(made.select("doc_id", "h", "key"), "names")
     discard(made)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of (a, b), the links.  Bounds by the prefixes and by sketches (16 bits a shingle) come first; whole sets move only for what passes both."""
-        if "both" not in pairs.columns:  # how many shingles of their prefixes they share
-            x = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-            y = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
-            pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("both"))
+        # how many shingles of their prefixes they share
+        x = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+        y = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+        pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("both"))
         rest = F.ceil(4 * F.greatest("na", "nb") / 5) - 1  # behind the longer set's prefix
         likely = materialize(pairs.where(9 * (F.col("both") + rest) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "likely")
         used = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
@@ -201,12 +227,12 @@ def similar_labels(docs: DataFrame) -> DataFrame:
     same = sets.join(prints, "fp").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     ends = near.join(prints.toDF("src", "a"), "src").join(prints.toDF("dst", "b"), "dst").select("a", "b")
     # pairs by shared shingles
-    tokens = sets.select("id", "n", F.explode("prefix").alias("tok"))
+    tokens = sets.select("id", "n", F.posexplode("prefix").alias("at", "tok"))
     often = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = materialize(tokens.join(often, "tok"), "shared")
     weight = shared.groupBy("id").agg(F.sum("df").alias("w"))
-    hubs = shared.join(weight, "id").groupBy("tok").agg(F.max(F.struct("w", "id", "n")).alias("hub"))
-    met = shared.join(hubs, "tok").where((F.col("id") != F.col("hub.id")) & _alike(F.col("n"), F.col("hub.n"))).select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
+    hubs = shared.join(weight, "id").groupBy("tok").agg(F.max(F.struct("w", "id", "n", "at")).alias("hub"))
+    met = shared.join(hubs, "tok").where((F.col("id") != F.col("hub.id")) & _first(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"))).select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
     pairs = same.unionAll(ends).unionAll(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = materialize(pairs, "stars")
     found = verified(stars).select("a", "b")
@@ -215,16 +241,18 @@ def similar_labels(docs: DataFrame) -> DataFrame:
         labels = weak_components(links.toDF("src", "dst"))
         return table.join(labels.toDF("lid", "l"), F.col("id") == F.col("lid"), "left").select(*table.columns, F.coalesce("l", "id").alias("label"))
 
-    held = materialize(placed(shared.select("id", "n", "tok"), found), "parts")
+    held = materialize(placed(shared.select("id", "n", "at", "tok"), found), "parts")
     discard(shared)
     mixed = held.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("tok")
-    parts = materialize(held.join(mixed, "tok", "left_semi").select("id", "n", "tok", "label"), "mixed")
+    parts = materialize(held.join(mixed, "tok", "left_semi").join(sets.select("id", "bits"), "id").select("id", "n", "at", "tok", "label", "bits"), "mixed")
     discard(held)
-    x, y = parts.toDF("a", "na", "tok", "la"), parts.toDF("b", "nb", "tok", "lb")
-    apart = x.join(y, "tok").where((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _alike(F.col("na"), F.col("nb")))
-    # a pair comes once for each shingle that both prefixes hold
-    counted = apart.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("both"))
-    rest = materialize(counted.join(stars, ["a", "b"], "left_anti"), "apart")
+    # the smaller set of a similar pair holds a common shingle in its first ninth, so only those look for others
+    x, y = parts.where("9 * at <= n").toDF("a", "na", "i", "tok", "la", "x"), parts.toDF("b", "nb", "j", "tok", "lb", "y")
+    order = F.struct("na", "a") < F.struct("nb", "b")
+    na, nb = F.col("na"), F.col("nb")
+    apart = x.join(y, "tok").where((F.col("la") != F.col("lb")) & order & _first(na, F.col("i"), nb, F.col("j")) & _odd(na, "x", nb, "y"))
+    ends = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = materialize(ends.join(stars, ["a", "b"], "left_anti"), "apart")
     for t in (stars, parts):
         discard(t)
     more = verified(rest).select("a", "b")
